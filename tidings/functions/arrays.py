@@ -55,13 +55,10 @@ def contains_all(labels: Column, wanted: list[str]) -> Column:
 
 def repeated_elements(items: Column) -> Column:
     """Distinct elements that occur more than once, sorted."""
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("seen"))
-
-    def step(acc: Column, x: Column) -> Column:
-        again = F.when(acc["last"] == x, F.array_union(acc["seen"], F.array(x))).otherwise(acc["seen"])
-        return F.struct(x.alias("last"), again.alias("seen"))
-
-    return F.aggregate(F.array_sort(items), start, step, lambda acc: acc["seen"])
+    ordered = F.array_sort(items)
+    n = F.greatest(F.size(items) - 1, F.lit(0))
+    neighbours = F.arrays_zip(F.slice(ordered, 1, n).alias("a"), F.slice(ordered, 2, n).alias("b"))
+    return F.array_distinct(F.filter(neighbours, lambda p: p["a"] == p["b"]).getField("a"))
 
 
 def softmax(logits: Column) -> Column:

@@ -153,7 +153,7 @@ def ordered_lists(df: DataFrame, key: str | Sequence[str], order: str, *columns:
     """Columns of a document's rows as parallel lists in sentence order."""
     keys = [key] if isinstance(key, str) else list(key)
     packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("_s"))
-    return packed.select(*keys, *[F.transform("_s", lambda s, c=c: s[c]).alias(c) for c in columns])
+    return packed.select(*keys, *[F.col("_s").getField(c).alias(c) for c in columns])
 
 
 def collect_by_key(df: DataFrame, key: str, value: str) -> DataFrame:

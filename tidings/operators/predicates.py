@@ -135,7 +135,7 @@ def drop_error_sentences(df: DataFrame, error_probs: str, arrays_to_cut: Sequenc
         F.arrays_zip(*[F.col(c) for c in arrays_to_cut], F.col(error_probs).alias("_p")), lambda x: x["_p"] < limit
     )
     kept = df.withColumn("_kept", packed).where(F.size("_kept") > 0)
-    return kept.withColumns({c: F.transform("_kept", lambda x, c=c: x[c]) for c in arrays_to_cut}).drop("_kept")
+    return kept.withColumns({c: F.col("_kept").getField(c) for c in arrays_to_cut}).drop("_kept")
 
 
 def label_filter(df: DataFrame, column: str, drop: Sequence[str]) -> DataFrame:
