@@ -55,17 +55,25 @@ def contains_all(labels: Column, wanted: list[str]) -> Column:
 
 def repeated_elements(items: Column) -> Column:
     """Distinct elements that occur more than once, sorted."""
-    ordered = F.array_sort(items)
+    ordered = F.sort_array(items)
     n = F.greatest(F.size(items) - 1, F.lit(0))
     neighbours = F.arrays_zip(F.slice(ordered, 1, n).alias("a"), F.slice(ordered, 2, n).alias("b"))
     return F.array_distinct(F.filter(neighbours, lambda p: p["a"] == p["b"]).getField("a"))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, for values that a lambda looks at per element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp((x - top).cast("double")))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(powers, lambda p: p / total)
+    def powers(top: Column) -> Column:
+        return F.transform(logits, lambda x: F.exp((x - top).cast("double")))
+
+    def normalised(p: Column) -> Column:
+        return let(F.aggregate(p, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(p, lambda x: x / total))
+
+    return let(let(F.array_max(logits), powers), normalised)
 
 
 def argmax_index(values: Column) -> Column:
@@ -109,7 +117,7 @@ def sort_by_priority(items: Column, label_field: str, priority: dict[str, int])
             i.alias("i"), x.alias("x"),
         ),
     )
-    return F.transform(F.array_sort(keyed), lambda k: k["x"])
+    return F.transform(F.sort_array(keyed), lambda k: k["x"])
 
 
 def discourse_id(label: Column) -> Column:

@@ -23,17 +23,16 @@ def collapse_spaces(text: Column) -> Column:
 def transliterate(text: Column) -> Column:
     """ASCII form of a text: accents dropped, typographic signs replaced, the rest removed.
 
-    One-to-one forms go through ``translate``. The one-to-many forms are rare, so their
-    replacements run only where the text holds such a sign.
+    One-to-one forms go through ``translate``, which settles most texts. Only where something
+    else is left do the one-to-many replacements run.
     """
     single = lexicon.SINGLE_FORMS
     out = F.translate(text, "".join(single), "".join(single.values()))
-    rare = out
+    expanded = out
     for sign, form in lexicon.MULTIPLE_FORMS.items():
-        rare = F.replace(rare, F.lit(sign), F.lit(form))
-    signs = "[" + "".join(lexicon.MULTIPLE_FORMS) + "]"
-    out = F.when(out.rlike(signs), rare).otherwise(out)
-    return F.regexp_replace(out, r"[^\x00-\x7F]", "")
+        expanded = F.replace(expanded, F.lit(sign), F.lit(form))
+    other = r"[^\x00-\x7F]"
+    return F.when(out.rlike(other), F.regexp_replace(expanded, other, "")).otherwise(out)
 
 
 def normalize_text(text: Column) -> Column:

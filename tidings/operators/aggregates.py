@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidings.plans.shape import unpack
 from tidings.plans.skew import row_numbers, running_sum, top_rows
 
 
@@ -120,7 +121,7 @@ def total_list_size(df: DataFrame, column: str) -> DataFrame:
 # ---- frequent values ----------------------------------------------------------------------------
 def frequent_by_mentions(df: DataFrame, items: str, above: float = 0.01) -> DataFrame:
     """Elements that make up more than a share of all mentions."""
-    mentions = df.select(F.explode(items).alias("ent")).where(F.col("ent").isNotNull())
+    mentions = unpack(df, [], F.col(items), "ent")
     total = mentions.select(F.count(F.lit(1))).scalar()
     counted = mentions.groupBy("ent").agg(_count("_n"))
     return counted.select("ent", (F.col("_n") / total).alias("share")).where(F.col("share") > above)
@@ -152,18 +153,18 @@ def frequent_by_documents(
 def ordered_lists(df: DataFrame, key: str | Sequence[str], order: str, *columns: str) -> DataFrame:
     """Columns of a document's rows as parallel lists in sentence order."""
     keys = [key] if isinstance(key, str) else list(key)
-    packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("_s"))
+    packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, *columns))).alias("_s"))
     return packed.select(*keys, *[F.col("_s").getField(c).alias(c) for c in columns])
 
 
 def collect_by_key(df: DataFrame, key: str, value: str) -> DataFrame:
     """List of a key's non-null values, sorted."""
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias(value))
+    return df.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias(value))
 
 
 def union_lists(df: DataFrame, key: str, lists: str) -> DataFrame:
     """Distinct union of a list column per key, made distinct before anything is collected."""
-    elements = df.select(key, F.explode(lists).alias(lists)).distinct()
+    elements = unpack(df, [key], F.col(lists), lists).distinct()
     return collect_by_key(elements, key, lists)
 
 
@@ -171,7 +172,7 @@ def concat_by_key(df: DataFrame, key: str | Sequence[str], value: str, order: st
     """Values of a key as one string, in a given order."""
     keys = [key] if isinstance(key, str) else list(key)
     packed = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("string").alias("v")))).alias("_s")
+        F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("string").alias("v")))).alias("_s")
     )
     joined = F.array_join(F.transform("_s", lambda s: s["v"]), separator)
     return packed.select(*keys, joined.alias(name or value))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidings.functions import dates, urls
 from tidings.plans.asof import DAY, last_before
+from tidings.plans.shape import unpack
 from tidings.plans.skew import HOT_ROWS, salted_join, top_rows
 
 
@@ -42,7 +43,7 @@ def join_entities_to_texts(ents: DataFrame, texts: DataFrame, key: str) -> DataF
 
 def earliest_capture(captures: DataFrame, url: str = "url", stamp: str = "timestamp") -> DataFrame:
     """Earliest capture per URL; a sentinel text counts as no capture."""
-    ts = F.col(stamp) if captures.schema[stamp].dataType.typeName() == "timestamp" else dates.parse_date(F.col(stamp))
+    ts = F.col(stamp) if captures.schema[stamp].dataType.typeName().startswith("timestamp") else dates.parse_date(F.col(stamp))
     return captures.groupBy(url).agg(F.min(ts).alias(stamp))
 
 
@@ -88,9 +89,9 @@ def lookup_list_values(
     df: DataFrame, table: DataFrame, row_id: str, column: str, key: str, value: str, name: str
 ) -> DataFrame:
     """Value of a lookup table for every element of a list column, in list order."""
-    items = df.select(row_id, F.posexplode(column).alias("_i", "_k"))
+    items = unpack(df, [row_id], F.col(column), "_k", "_i")
     found = salted_join(items, table.select(F.col(key).alias("_k"), F.col(value).alias("_v")), ["_k"], "left")
-    lists = found.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_s"))
+    lists = found.groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_s"))
     return df.join(lists.select(row_id, F.transform("_s", lambda s: s["_v"]).alias(name)), row_id, "left")
 
 
@@ -138,31 +139,42 @@ def join_mapping_twice(mapping: DataFrame, docs: DataFrame, doc_id: str, value:
     return mapping.join(as_article, "article_url").join(as_release, "press_release_url")
 
 
-def sentence_rows(docs: DataFrame, doc_id: str, sents: str, prefix: str) -> DataFrame:
+def sentence_rows(docs: DataFrame, doc_id: str, sents: Column, prefix: str) -> DataFrame:
     """One row per distinct sentence of a document, at its first position.
 
     Distinct per document before pairing: duplicates of either side would multiply pairs that
     the pair table drops again.
     """
     return (
-        docs.select(F.col(doc_id).alias(f"{prefix}_url"), F.posexplode(sents).alias("_i", f"{prefix}_sents"))
+        unpack(docs, [F.col(doc_id).alias(f"{prefix}_url")], sents, f"{prefix}_sents", "_i")
         .groupBy(f"{prefix}_url", f"{prefix}_sents")
         .agg(F.min("_i").alias(f"{prefix}_idx"))
     )
 
 
 def pair_sentences(
-    mapping: DataFrame, article_sents: DataFrame, release_sents: DataFrame, hot_rows: int = HOT_ROWS
+    mapping: DataFrame,
+    article_sents: DataFrame,
+    release_sents: DataFrame,
+    hot_rows: int = HOT_ROWS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Article sentences next to the release sentences of every mapped document pair.
 
     Takes sentence rows (see ``sentence_rows``) with whatever further columns they carry. The
     pair of texts is distinct per document pair and keeps the smallest positions. Both joins
-    are salted: a document in very many pairs would otherwise land in one task.
+    are salted: a document in very many pairs would otherwise land in one task. How many rows
+    an article will meet is counted from the mapping, which is read several times: store it
+    first if it is expensive.
     """
-    pairs = mapping.select("article_url", "press_release_url").distinct()
+    # few mapping rows become very many pairs: a fixed number of partitions keeps them spread
+    n = partitions or int(mapping.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = mapping.select("article_url", "press_release_url").repartition(n, "article_url", "press_release_url").distinct()
+    n_sents = release_sents.groupBy("press_release_url").agg(F.count(F.lit(1)).alias("_n"))
+    load = pairs.join(n_sents, "press_release_url").groupBy("article_url").agg(F.sum("_n").alias("_n"))
+    busy = load.where(F.col("_n") > hot_rows).select("article_url", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_shares"))
     with_release = salted_join(pairs, release_sents, ["press_release_url"], hot_rows=hot_rows)
-    return salted_join(with_release, article_sents, ["article_url"], hot_rows=hot_rows)
+    return salted_join(with_release, article_sents, ["article_url"], hot=busy)
 
 
 def pair_with_candidates(article_sents: DataFrame, candidates: DataFrame, on: str = "doc_id") -> DataFrame:
@@ -175,35 +187,44 @@ def join_on_text(a: DataFrame, b: DataFrame, doc: str = "doc_id", text: str = "s
 
 
 # ---- shared entities ------------------------------------------------------------------------------------
-def entity_rows(docs: DataFrame, doc_id: str, ents: str, excluded: DataFrame | None = None) -> DataFrame:
-    """Distinct (document, entity) rows without nulls and without excluded entities."""
-    rows = (
-        docs.select(F.col(doc_id).alias("doc"), F.explode(F.array_distinct(ents)).alias("ent"))
-        .where(F.col("ent").isNotNull())
-        .distinct()
-    )
+def entity_rows(
+    docs: DataFrame, doc_id: str, ents: str | Column, excluded: DataFrame | None = None, one_row_per_doc: bool = False
+) -> DataFrame:
+    """Distinct (doc, ent) rows without nulls and without excluded entities.
+
+    Where each document is a single row, duplicates go inside the row and nothing is shuffled.
+    """
+    items = F.array_distinct(F.col(ents) if isinstance(ents, str) else ents)
+    rows = unpack(docs, [F.col(doc_id).alias("doc")], items, "ent")
+    if not one_row_per_doc:
+        rows = rows.distinct()
     if excluded is not None:
         rows = rows.join(excluded.select(F.col(excluded.columns[0]).alias("ent")), "ent", "left_anti")
     return rows
 
 
-def shared_entity_counts(targets: DataFrame, archive: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def shared_entity_counts(
+    targets: DataFrame, archive: DataFrame, hot_rows: int = HOT_ROWS, hot: DataFrame | None = None
+) -> DataFrame:
     """(target, archive, shared) for document pairs with at least one entity in common.
 
     Works on the output of ``entity_rows``: an equi-join per entity followed by a partial
     count. Excluding general entities beforehand is part of the method and what keeps the
-    pairs few; what is still frequent is spread over salts.
+    pairs few; the archive rows of what is still frequent are spread over salts. ``hot`` is for
+    callers that have counted the archive's entities already (ent, _shares).
     """
     t = targets.select("ent", F.col("doc").alias("target"))
     a = archive.select("ent", F.col("doc").alias("archive"))
-    return salted_join(t, a, ["ent"], hot_rows=hot_rows).groupBy("target", "archive").agg(
+    return salted_join(a, t, ["ent"], hot_rows=hot_rows, hot=hot).groupBy("target", "archive").agg(
         F.count(F.lit(1)).alias("shared")
     )
 
 
-def entity_overlap(targets: DataFrame, archive: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def entity_overlap(
+    targets: DataFrame, archive: DataFrame, hot_rows: int = HOT_ROWS, hot: DataFrame | None = None
+) -> DataFrame:
     """Distinct (target, archive) pairs that share an entity."""
-    return shared_entity_counts(targets, archive, hot_rows).select("target", "archive")
+    return shared_entity_counts(targets, archive, hot_rows, hot).select("target", "archive")
 
 
 def entity_cosine(targets: DataFrame, archive: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -226,7 +247,7 @@ def archive_lists(pairs: DataFrame, list_rows: int = 100_000) -> DataFrame:
         pairs.join(parts, "target")
         .withColumn("part", F.pmod(F.xxhash64("archive"), F.col("_parts")).cast("int"))
         .groupBy("target", "part")
-        .agg(F.array_sort(F.collect_list("archive")).alias("archive_list"))
+        .agg(F.sort_array(F.collect_list("archive")).alias("archive_list"))
     )
 
 
@@ -238,8 +259,8 @@ def exploded_key_chain(
     Explode the keys of the seeds, make them distinct, find the ids that hold one, and go back
     to the rows: the last two steps are semi-joins, so nothing multiplies or is collected.
     """
-    wanted = seeds.select(F.explode(seed_keys).alias("_key")).where(F.col("_key").isNotNull()).distinct()
-    ids = rows.select(row_id, F.explode(row_keys).alias("_key")).join(wanted, "_key", "left_semi").select(row_id)
+    wanted = unpack(seeds, [], seed_keys, "_key").distinct()
+    ids = unpack(rows, [row_id], row_keys, "_key").join(wanted, "_key", "left_semi").select(row_id)
     return rows.join(ids, row_id, "left_semi")
 
 
@@ -273,7 +294,7 @@ def prior_coverage(
     moments = (
         top_rows(facts, ["_key", "_time"], ["_e"], k)
         .groupBy("_key", "_time")
-        .agg(F.array_sort(F.collect_list("_e")).alias("_docs"))
+        .agg(F.sort_array(F.collect_list("_e")).alias("_docs"))
     )
     summaries = _newest_until(moments, k, bucket_seconds)
     probes = articles.where(F.col(time).isNotNull() & F.col(key).isNotNull()).select(
@@ -301,7 +322,7 @@ def _newest_until(moments: DataFrame, k: int, bucket_seconds: int) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    cut = lambda c: F.slice(F.array_sort(F.flatten(c)), 1, k)
+    cut = lambda c: F.slice(F.sort_array(F.flatten(c)), 1, k)
     bucketed = moments.withColumn("_b", F.floor(F.unix_micros("_time") / (bucket_seconds * 1_000_000)))
     inside = Window.partitionBy("_key", "_b").orderBy("_time").rowsBetween(-(k - 1), 0)
     tail = (

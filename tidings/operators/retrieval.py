@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tidings import lexicon
 from tidings.functions import text
 from tidings.functions.dates import parse_interval
+from tidings.plans.shape import unpack
 from tidings.plans.skew import HOT_ROWS, salted_join, top_rows
 
 K1, B = 1.2, 0.75
@@ -21,7 +22,7 @@ K1, B = 1.2, 0.75
 
 def term_counts(docs: DataFrame, doc_id: str, body: str, stop_words: list[str] | None = None) -> DataFrame:
     """(doc, term, tf): tokens are counted inside each row's partition before any shuffle."""
-    rows = docs.select(F.col(doc_id).alias("doc"), F.explode(text.tokens(F.col(body))).alias("term"))
+    rows = unpack(docs, [F.col(doc_id).alias("doc")], text.tokens(F.col(body)), "term")
     if stop_words:
         rows = rows.where(~F.col("term").isin(stop_words))
     return rows.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tidings import lexicon
 from tidings.functions import arrays, text
 from tidings.operators.aggregates import passages_by_label
+from tidings.plans.shape import unpack
 
 Scorer = Callable[..., list]
 ScorerFactory = Callable[[], Scorer]
@@ -183,13 +184,17 @@ def filter_errors(
     """
     parts = [F.col(sents).alias("s")] + ([F.col(words).alias("w")] if words else [])
     shaped = F.filter(F.arrays_zip(*parts), lambda x: text.readable_sentence(x["s"]))
-    scored = F.transform(
-        shaped,
-        lambda x, i: F.struct(
-            x.alias("x"), probability(x["s"]).alias("p"), best_class(i, F.size(shaped)).alias("c")
-        ),
-    )
-    kept = docs.withColumn("_k", F.filter(scored, lambda y: y["p"] < limit)).where(F.size("_k") > 0)
+
+    def scored(rows: Column) -> Column:
+        return arrays.let(
+            F.size(rows),
+            lambda n: F.transform(
+                rows,
+                lambda x, i: F.struct(x.alias("x"), probability(x["s"]).alias("p"), best_class(i, n).alias("c")),
+            ),
+        )
+
+    kept = docs.withColumn("_k", F.filter(arrays.let(shaped, scored), lambda y: y["p"] < limit)).where(F.size("_k") > 0)
     columns = {sents: F.transform("_k", lambda y: y["x"]["s"]), "best_class": F.transform("_k", lambda y: y["c"])}
     if words:
         columns[words] = F.transform("_k", lambda y: y["x"]["w"])
@@ -198,8 +203,8 @@ def filter_errors(
 
 def score_discourse(docs: DataFrame, doc_id: str, sents: str, best_class=position_class) -> DataFrame:
     """One row per sentence with its discourse label; the scorer sees place and document length."""
-    rows = docs.where(F.size(sents) > 0).select(
-        F.col(doc_id).alias("doc_id"), F.size(sents).alias("_n"), F.posexplode(sents).alias("sent_idx", "sentences")
+    rows = unpack(
+        docs, [F.col(doc_id).alias("doc_id"), F.size(sents).alias("_n")], F.col(sents), "sentences", "sent_idx"
     )
     return rows.withColumn("discourse_preds", best_class(F.col("sent_idx"), F.col("_n"))).drop("_n")
 
@@ -334,7 +339,7 @@ def extract_entities(
         return found
     listed = gazetteer.select(F.col(gazetteer.columns[0]).alias("_e")).distinct()
     hits = found.select(row_id, F.explode(name).alias("_e")).join(listed, "_e", "left_semi")
-    lists = hits.groupBy(row_id).agg(F.array_sort(F.collect_list("_e")).alias("_l"))
+    lists = hits.groupBy(row_id).agg(F.sort_array(F.collect_list("_e")).alias("_l"))
     return found.join(lists, row_id, "left").withColumn(
         name, F.coalesce("_l", F.array().cast("array<string>"))
     ).drop("_l")
@@ -354,7 +359,7 @@ def summarise_groups(
 
 def sentence_documents(df: DataFrame, body: str, keep: Callable[[Column], Column] = text.acceptable_sentence):
     """Accepted sentences of each document and the words of each."""
-    sents = F.filter(text.sentences(F.col(body)), keep)
+    sents = F.filter(text.sentences(F.col(body)), lambda s: keep(s))
     return df.withColumn("sent_lists", sents).withColumn(
         "word_lists", F.transform("sent_lists", text.words)
     )
@@ -380,7 +385,7 @@ def example_block(examples: DataFrame, order: str, release: str, sentences: str,
     item = F.struct(
         F.col(order).alias("o"), F.substring(one_line_text(F.col(release)), 1, 500).alias("r"), F.col(sentences).alias("s")
     )
-    packed = ranked.agg(F.array_sort(F.collect_list(item)).alias("_e"))  # at most ``first`` rows
+    packed = ranked.agg(F.sort_array(F.collect_list(item)).alias("_e"))  # at most ``first`` rows
     return packed.select(
         F.array_join(
             F.transform(

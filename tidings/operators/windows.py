@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.functions import arrays
+from tidings.plans.shape import unpack
 from tidings.plans.skew import HOT_ROWS, row_numbers, running_sum, top_rows
 
 
@@ -54,8 +55,10 @@ def last_versions(df: DataFrame, release: str, time: str, story: str) -> DataFra
 # ---- positions --------------------------------------------------------------------------------------
 def with_position(df: DataFrame, items: str, index: str, value: str, keep_empty: bool = False) -> DataFrame:
     """One row per list element with its position from 0."""
-    fn = F.posexplode_outer if keep_empty else F.posexplode
-    return df.select(*[c for c in df.columns if c != items], fn(items).alias(index, value))
+    keys = [c for c in df.columns if c != items]
+    if keep_empty:
+        return df.select(*keys, F.posexplode_outer(items).alias(index, value))
+    return unpack(df, keys, F.col(items), value, index)
 
 
 def zip_explode(df: DataFrame, keys: Sequence[str], *columns: str) -> DataFrame:

@@ -46,15 +46,19 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join in which the left rows of each hot key are cut into shares.
 
-    A left row takes its share from a hash of the whole row, so a recomputed task assigns the
-    same share; the right rows of a hot key are repeated once per share. Keys that are not
-    hot keep a single share. ``right`` and ``full`` joins would repeat unmatched right rows
-    and are refused.
+    Hot keys are counted first, in a job of its own over the key columns of the left side, unless
+    the caller knows them already (``hot``: keys and ``_shares``). Mostly there is none and the
+    join is an ordinary one. A left row takes its share from a hash of the whole row, so a
+    recomputed task assigns the same share; the right rows of a hot key are repeated once per
+    share. ``right`` and ``full`` joins would repeat unmatched right rows and are refused.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot run a {how!r} join")
     on = list(on)
-    shares = F.broadcast(hot if hot is not None else hot_keys(left, on, hot_rows))
+    shares = materialize(hot if hot is not None else hot_keys(left, on, hot_rows), "hot-keys")
+    if shares.isEmpty():
+        return left.join(right, on, how)
+    shares = F.broadcast(shares)
     n = F.coalesce(F.col("_shares"), F.lit(1))
     salted_left = (
         left.withColumn("_h", _row_hash(left))
@@ -116,7 +120,7 @@ def running_sum(
     keys, order = list(keys), [_as_column(o) for o in order]
     if not keys:
         return _split_running_sum(df, keys, order, value, name)
-    hot = hot_keys(df, keys, hot_rows).drop("_shares")
+    hot = materialize(hot_keys(df, keys, hot_rows).drop("_shares"), "hot-keys")
     frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     if hot.isEmpty():
         return df.withColumn(name, F.sum(value).over(frame))

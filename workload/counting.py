@@ -71,7 +71,7 @@ WITH tok AS (SELECT unnest({words_sql('text')}) AS ent FROM documents)
 SELECT ent, round(count(*) / (SELECT count(*) FROM tok), 8) AS share FROM tok
 GROUP BY ent HAVING count(*) / (SELECT count(*) FROM tok) > 0.01""")
 def frequent_terms_by_mention(t):
-    docs = t.documents.select(text.tokens(F.col("text")).alias("terms"))
+    docs = t.spread("documents", "doc_id").select(text.tokens(F.col("text")).alias("terms"))
     return agg.frequent_by_mentions(docs, "terms").select("ent", F.round("share", 8).alias("share"))
 
 
@@ -83,7 +83,8 @@ SELECT ent, round(share, 8) AS share FROM shares WHERE share > 0.03""")
 def frequent_terms_by_document(t):
     from tidings.operators.joins import entity_rows
 
-    rows = entity_rows(t.documents.select("doc_id", text.tokens(F.col("text")).alias("terms")), "doc_id", "terms")
+    docs = t.spread("documents", "doc_id")
+    rows = entity_rows(docs, "doc_id", text.tokens(F.col("text")), one_row_per_doc=True)
     known = rows.sparkSession.createDataFrame([("the",), ("of",)], "ent string")
     n = t.documents.select(F.count(F.lit(1))).scalar()
     return agg.frequent_by_documents(rows, n, known).select("ent", F.round("share", 8).alias("share"))
@@ -93,7 +94,7 @@ def frequent_terms_by_document(t):
 SELECT term, count(*) AS n FROM (SELECT unnest({words_sql('text')}) AS term FROM documents)
 GROUP BY term ORDER BY n DESC, term LIMIT 3""")
 def top_terms(t):
-    return agg.value_counts(t.documents.select(F.explode(text.tokens(F.col("text"))).alias("term")), "term", 3)
+    return agg.value_counts(t.spread("documents", "doc_id").select(F.explode_outer(text.tokens(F.col("text"))).alias("term")), "term", 3)
 
 
 @query("""
@@ -118,7 +119,7 @@ def collected_lists(t):
 WITH tok AS (SELECT DISTINCT lang, unnest({words_sql('text')}) AS term FROM documents)
 SELECT lang, count(*) AS n_terms, md5(string_agg(term, ' ' ORDER BY term)) AS terms FROM tok GROUP BY lang""")
 def list_union(t):
-    docs = t.documents.select("lang", text.tokens(F.col("text")).alias("terms"))
+    docs = t.spread("documents", "doc_id").select("lang", text.tokens(F.col("text")).alias("terms"))
     return agg.union_lists(docs, "lang", "terms").select(
         "lang", F.size("terms").cast("long").alias("n_terms"), F.md5(F.array_join("terms", " ")).alias("terms")
     )
@@ -305,7 +306,7 @@ WITH tok AS (SELECT doc_id, unnest({words_sql('text')}) AS term FROM documents),
 rep AS (SELECT doc_id, term FROM tok GROUP BY doc_id, term HAVING count(*) > 1)
 SELECT doc_id, count(*) AS n, md5(string_agg(term, ' ' ORDER BY term)) AS terms FROM rep GROUP BY doc_id""")
 def repeated_terms(t):
-    rep = t.documents.select("doc_id", arrays.repeated_elements(text.tokens(F.col("text"))).alias("r"))
+    rep = t.spread("documents", "doc_id").select("doc_id", arrays.repeated_elements(text.tokens(F.col("text"))).alias("r"))
     return rep.where(F.size("r") > 0).select(
         "doc_id", F.size("r").cast("long").alias("n"), F.md5(F.array_join("r", " ")).alias("terms")
     )
@@ -342,7 +343,7 @@ def roc_auc(t):
 
 @query(f"SELECT CAST(sum(len({words_sql('text')})) AS BIGINT) AS n FROM documents")
 def total_list_size(t):
-    return agg.total_list_size(t.documents.select(text.tokens(F.col("text")).alias("w")), "w")
+    return agg.total_list_size(t.spread("documents", "doc_id").select(text.tokens(F.col("text")).alias("w")), "w")
 
 
 @query("""

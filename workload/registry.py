@@ -38,6 +38,15 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A text table for heavy work per row: handed out to all cores if it came as fewer splits.
+
+        A table of many files has splits enough and stays as it is.
+        """
+        df = getattr(self, name)
+        cores = self._spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
 
 def query(sql: str | None = None, name: str | None = None):
     """Register a function of the tables as a query named after it."""

@@ -127,7 +127,7 @@ SELECT conv_id, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY CASE role WHEN 's
          ELSE 2147483647 END, turn) AS turns FROM conversations GROUP BY conv_id""")
 def custom_order(t):
     packed = t.conversations.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns")
+        F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("turns")
     )
     out = win.sort_list_by_label(packed, "turns", "role", {"system": 0, "assistant": 1})
     return out.select("conv_id", F.array_join(F.col("turns").getField("turn").cast("array<string>"), ",").alias("turns"))
@@ -317,10 +317,10 @@ def label_filter(t):
 
 
 @query(f"""
-SELECT doc_id FROM documents WHERE list_has_any({words_sql('text')}, ['thereou', 'ionan', 'zumsch', 'lasen'])""")
+SELECT doc_id FROM documents WHERE list_has_any({words_sql('text')}, ['acher', 'achlich', 'achzu', 'adoado'])""")
 def shares_any(t):
     rows = t.documents.select("doc_id", text.tokens(F.col("text")).alias("w"))
-    return pred.documents_sharing(rows, "w", ["thereou", "ionan", "zumsch", "lasen"]).select("doc_id")
+    return pred.documents_sharing(rows, "w", ["acher", "achlich", "achzu", "adoado"]).select("doc_id")
 
 
 # ---- dates -------------------------------------------------------------------------------------------------
