@@ -74,8 +74,13 @@ def split_marked_sentences(text: Column, marker: str = "<NEW_SENT>") -> Column:
 
 
 def content_word_count(sentence: Column, stop_words: list[str] | None = None) -> Column:
-    stops = _strings(lexicon.STOP_WORDS if stop_words is None else stop_words)
-    return F.size(F.filter(words(sentence), lambda w: ~F.array_contains(stops, F.lower(w))))
+    """White-space separated words that are not stop words, counted by pattern, without an array."""
+    stops = lexicon.STOP_WORDS if stop_words is None else stop_words
+    n = F.regexp_count(sentence, F.lit(r"\S+"))
+    if not stops:
+        return n
+    listed = "|".join(rf"\Q{w}\E" for w in stops)
+    return n - F.regexp_count(F.lower(sentence), F.lit(rf"(?<!\S)(?:{listed})(?!\S)"))
 
 
 def acceptable_sentence(sentence: Column, min_words: int = 3, max_words: int = 50, stop_words=None) -> Column:
@@ -86,9 +91,9 @@ def acceptable_sentence(sentence: Column, min_words: int = 3, max_words: int = 5
 
 def readable_sentence(sentence: Column) -> Column:
     """Under 1000 characters, under 10 line ends, more than 4 words per line on average."""
-    lines = F.split(sentence, "\n")
-    total = F.aggregate(F.transform(lines, lambda x: F.size(words(x))), F.lit(0), lambda a, b: a + b)
-    return (F.length(sentence) < 1000) & (F.size(lines) - 1 < 10) & (total / F.size(lines) > 4)
+    line_ends = F.length(sentence) - F.length(F.replace(sentence, F.lit("\n"), F.lit("")))
+    n_words = F.regexp_count(sentence, F.lit(r"\S+"))
+    return (F.length(sentence) < 1000) & (line_ends < 10) & (n_words / (line_ends + 1) > 4)
 
 
 def prepare_for_resolution(sents: Column, max_words: int = 3000) -> Column:

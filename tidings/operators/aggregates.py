@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.plans.shape import unpack
@@ -245,38 +245,57 @@ LEVEL_2 = {"contradiction": ("top_k_mean", 8), "entailment": ("top_k_mean", 8),
 METHODS = ("top_k_mean", "bottom_k_mean", "mean", "median")
 
 
-def _roll_up(scores: DataFrame, keys: list[str], methods: Mapping[str, tuple[str, int | None]]) -> DataFrame:
-    """One value per (keys, score) out of long rows (keys, score, value).
+def _rank_order(methods: Mapping[str, tuple[str, int | None]]) -> Column:
+    """Sort value that puts what a k-mean keeps first."""
+    lowest = [s for s, (m, _) in methods.items() if m == "bottom_k_mean"]
+    return F.when(F.col("score").isin(lowest), F.col("value")).otherwise(-F.col("value")) if lowest else -F.col("value")
+
+
+def _k_of(methods: Mapping[str, tuple[str, int | None]]) -> Column:
+    out = F.lit(None).cast("int")
+    for score, (_, k) in methods.items():
+        out = F.when(F.col("score") == score, F.lit(k)).otherwise(out)
+    return out
+
+
+def _named(methods, *kinds: str) -> list[str]:
+    return [s for s, (m, _) in methods.items() if m in kinds]
+
+
+def _reduce_large(scores: DataFrame, keys: list[str], methods: Mapping[str, tuple[str, int | None]]) -> DataFrame:
+    """One value per (keys, score) out of long rows (keys, score, value), many rows per key.
 
     The rows of a k-mean are first cut to the k best of their group and score. Spark does that
-    per map task before the shuffle, so no more than k rows per group and task travel.
+    per map task before the shuffle, so no more than k rows per group and task travel. Means
+    are partial sums and medians partial value counts; they read the rows again only if used.
     """
-    for method, _ in methods.values():
-        if method not in METHODS:
-            raise ValueError(f"unknown method {method!r}")
     parts = []
-    named = lambda kind: [s for s, (m, _) in methods.items() if m in kind]
-    cut = named(("top_k_mean", "bottom_k_mean"))
+    cut = _named(methods, "top_k_mean", "bottom_k_mean")
     if cut:
         chosen = scores.where(F.col("score").isin(cut) & F.col("value").isNotNull())
-        low_first = F.when(F.col("score").isin(named(("bottom_k_mean",))), F.col("value")).otherwise(-F.col("value"))
-        k_of = reduce(
-            lambda c, s: c.when(F.col("score") == s, methods[s][1]), cut[1:],
-            F.when(F.col("score") == cut[0], methods[cut[0]][1]),
-        )
-        ranked = top_rows(
-            chosen.withColumn("_o", low_first), [*keys, "score"], ["_o"], max(methods[s][1] for s in cut), "_rn"
-        )
-        parts.append(ranked.where(F.col("_rn") <= k_of).groupBy(*keys, "score").agg(F.avg("value").alias("value")))
-    if named(("mean",)):
-        plain = scores.where(F.col("score").isin(named(("mean",))))
-        parts.append(plain.groupBy(*keys, "score").agg(F.avg("value").alias("value")))
-    if named(("median",)):
-        plain = scores.where(F.col("score").isin(named(("median",))))
-        parts.append(plain.groupBy(*keys, "score").agg(F.median("value").alias("value")))
+        most = max(methods[s][1] for s in cut)
+        ranked = top_rows(chosen.withColumn("_o", _rank_order(methods)), [*keys, "score"], ["_o"], most, "_rn")
+        kept = ranked.where(F.col("_rn") <= _k_of(methods))
+        parts.append(kept.groupBy(*keys, "score").agg(F.avg("value").alias("value")))
+    for kind, fn in (("mean", F.avg), ("median", F.median)):
+        if _named(methods, kind):
+            plain = scores.where(F.col("score").isin(_named(methods, kind)))
+            parts.append(plain.groupBy(*keys, "score").agg(fn("value").alias("value")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _reduce_small(scores: DataFrame, keys: list[str], methods: Mapping[str, tuple[str, int | None]]) -> DataFrame:
+    """The same in one pass whatever the methods, for groups of the size of a document."""
+    window = Window.partitionBy(*keys, "score").orderBy("_o")
+    known = scores.where(F.col("value").isNotNull()).withColumn("_o", _rank_order(methods))
+    ranked = known.withColumn("_rn", F.row_number().over(window))
+    at = lambda *kinds: F.col("score").isin(_named(methods, *kinds))
+    best = F.avg(F.when(at("top_k_mean", "bottom_k_mean") & (F.col("_rn") <= _k_of(methods)), F.col("value")))
+    mean = F.avg(F.when(at("mean"), F.col("value")))
+    middle = [F.median(F.when(at("median"), F.col("value")))] if _named(methods, "median") else []
+    return ranked.groupBy(*keys, "score").agg(F.coalesce(best, mean, *middle).alias("value"))
+
+
 def two_level_scores(
     pairs: DataFrame,
     document_keys: Sequence[str] = ("article_url", "press_release_url"),
@@ -289,14 +308,17 @@ def two_level_scores(
     Level 1 reduces the scores of each release sentence, level 2 those of each document pair.
     A method is (``top_k_mean`` | ``bottom_k_mean`` | ``mean`` | ``median``, k).
     """
+    for method, _ in [*level_1.values(), *level_2.values()]:
+        if method not in METHODS:
+            raise ValueError(f"unknown method {method!r}")
     docs, names = list(document_keys), list(level_1)
     long = pairs.select(
         *docs, sentence_key,
         F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("value")) for s in names]))
         .alias("_s"),
     ).select(*docs, sentence_key, "_s.score", "_s.value")
-    per_sentence = _roll_up(long, [*docs, sentence_key], level_1)
-    per_pair = _roll_up(per_sentence, docs, level_2)
+    per_sentence = _reduce_large(long, [*docs, sentence_key], level_1)
+    per_pair = _reduce_small(per_sentence, docs, level_2)
     return per_pair.groupBy(*docs).agg(*[F.max(F.when(F.col("score") == s, F.col("value"))).alias(s) for s in names])
 
 
