@@ -57,7 +57,8 @@ def evaluate_text_classifier(train: DataFrame, test: DataFrame, body: str, label
 def _fit_and_test(train: DataFrame, test: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
     assemble = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     model = Pipeline(stages=[assemble, LogisticRegression(labelCol=target, featuresCol="features")]).fit(train)
-    scored = model.transform(test).withColumn("p", vector_to_array("probability")[1])
+    scored = model.transform(test).select(target, "prediction", vector_to_array("probability")[1].alias("p"))
+    scored = materialize(scored, "scored")  # read by both measures
     f1 = f1_by_class(scored, target, "prediction").where(F.col("label") == 1).agg(
         F.coalesce(F.max("f1"), F.lit(0.0)).alias("f1")
     )

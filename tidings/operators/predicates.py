@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidings import lexicon
 from tidings.functions import arrays, text, urls
+from tidings.plans.shape import hold
 from tidings.plans.skew import row_numbers
 
 
@@ -134,7 +135,7 @@ def drop_error_sentences(df: DataFrame, error_probs: str, arrays_to_cut: Sequenc
     packed = F.filter(
         F.arrays_zip(*[F.col(c) for c in arrays_to_cut], F.col(error_probs).alias("_p")), lambda x: x["_p"] < limit
     )
-    kept = df.withColumn("_kept", packed).where(F.size("_kept") > 0)
+    kept = hold(df, _kept=packed).where(F.size("_kept") > 0)
     return kept.withColumns({c: F.col("_kept").getField(c) for c in arrays_to_cut}).drop("_kept")
 
 

@@ -15,7 +15,7 @@ from tidings import lexicon
 from tidings.functions import text
 from tidings.functions.dates import parse_interval
 from tidings.plans.shape import unpack
-from tidings.plans.skew import HOT_ROWS, salted_join, top_rows
+from tidings.plans.skew import HOT_ROWS, hot_keys, salted_join, top_rows
 
 K1, B = 1.2, 0.75
 
@@ -190,11 +190,15 @@ def pair_cosines(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b:
     """Cosine of two weight vectors for every given pair; 0 when they share no term.
 
     The pairs lead: each pair picks up its left vector, then meets the right one on (doc, term),
-    so no two documents are compared that nobody asked for.
+    so no two documents are compared that nobody asked for. Documents in very many pairs are
+    salted; they are counted among the pairs, before vectors come in. Both vector tables are
+    read several times by callers that rank: store them first.
     """
     keys = pairs.select(a, b).distinct()
-    lefts = keys.join(left.select(F.col("doc").alias(a), "term", F.col("weight").alias("_wa")), a)
-    both = salted_join(lefts, right.select(F.col("doc").alias(b), "term", F.col("weight").alias("_wb")), [b, "term"])
+    busy = hot_keys(keys, [b])
+    lefts = salted_join(keys, left.select(F.col("doc").alias(a), "term", F.col("weight").alias("_wa")), [a])
+    rights = right.select(F.col("doc").alias(b), "term", F.col("weight").alias("_wb"))
+    both = salted_join(lefts, rights, [b, "term"], hot=busy)
     dots = both.groupBy(a, b).agg(F.sum(F.col("_wa") * F.col("_wb")).alias(name))
     return pairs.join(dots, [a, b], "left").na.fill(0.0, [name])
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tidings import lexicon
 from tidings.functions import arrays, text
 from tidings.operators.aggregates import passages_by_label
-from tidings.plans.shape import unpack
+from tidings.plans.shape import hold, unpack
 
 Scorer = Callable[..., list]
 ScorerFactory = Callable[[], Scorer]
@@ -152,7 +152,7 @@ def score_sentences(df: DataFrame, sentence: str = "sentence", features=quote_fe
     labels = list(evidence)
     probs = arrays.softmax(F.array(*[e.cast("double") for e in evidence.values()]))
     return (
-        df.withColumn("_p", probs)
+        hold(df, _p=probs)
         .withColumn("quote_type_probs", arrays.label_probabilities(F.col("_p"), labels))
         .withColumn("quote_type", arrays.argmax_label(F.col("_p"), labels))
         .drop("_p")
@@ -194,10 +194,10 @@ def filter_errors(
             ),
         )
 
-    kept = docs.withColumn("_k", F.filter(arrays.let(shaped, scored), lambda y: y["p"] < limit)).where(F.size("_k") > 0)
-    columns = {sents: F.transform("_k", lambda y: y["x"]["s"]), "best_class": F.transform("_k", lambda y: y["c"])}
+    kept = hold(docs, _k=F.filter(arrays.let(shaped, scored), lambda y: y["p"] < limit)).where(F.size("_k") > 0)
+    columns = {sents: F.col("_k").getField("x").getField("s"), "best_class": F.col("_k").getField("c")}
     if words:
-        columns[words] = F.transform("_k", lambda y: y["x"]["w"])
+        columns[words] = F.col("_k").getField("x").getField("w")
     return kept.withColumns(columns).drop("_k")
 
 
@@ -238,15 +238,14 @@ def attribute_sources(docs: DataFrame, doc_id: str, sents: str) -> DataFrame:
     The full text starts with the fixed attribution phrase. One row per sentence; no source
     gives ''. Start and end come in either order and are put right before the cut.
     """
-    clean = docs.select(F.col(doc_id), F.transform(sents, text.normalize_text).alias("_s"))
+    clean = hold(docs.select(doc_id, sents), _s=F.transform(sents, text.normalize_text))
     full = F.concat(F.lit(lexicon.ATTRIBUTION_PREFIX), F.array_join("_s", " "))
     name = r"([A-Z][\w.\-]*(?: [A-Z][\w.\-]*)*)"
     verbs = "|".join(lexicon.SPEECH_VERBS)
     before = F.regexp_extract("sentence", rf"{name} (?:{verbs})\b", 1)
     after = F.regexp_extract("sentence", rf"\b(?:{verbs}) {name}", 1)
-    rows = clean.select(doc_id, full.alias("_text"), F.posexplode("_s").alias("sent_idx", "sentence")).withColumn(
-        "_head", F.when(before != "", before).otherwise(after)
-    )
+    rows = unpack(hold(clean, _text=full), [doc_id, "_text"], F.col("_s"), "sentence", "sent_idx")
+    rows = hold(rows, _head=F.when(before != "", before).otherwise(after))
     start = F.expr("locate(_head, _text)") - 1
     span = arrays.cut_span(F.col("_text"), start, start + F.length("_head") - 1)
     return rows.select(doc_id, "sent_idx", "sentence", F.when(F.col("_head") == "", "").otherwise(span).alias("attribution"))
@@ -277,6 +276,7 @@ def source_spans(docs: DataFrame, doc_id: str, doc: str = "doc", include_unsourc
     """
     usable = docs.where(~arrays.has_ambiguous_source(F.transform(doc, lambda s: s["head"])))
     cleaned = clean_quotes(usable, doc)
+    cleaned = hold(cleaned, **{doc: F.col(doc)})
     rows = cleaned.select(
         doc_id, F.array_join(F.transform(doc, lambda s: s["sent"]), " ").alias("_text"), F.posexplode(doc).alias("sent_idx", "_s")
     )
@@ -359,10 +359,8 @@ def summarise_groups(
 
 def sentence_documents(df: DataFrame, body: str, keep: Callable[[Column], Column] = text.acceptable_sentence):
     """Accepted sentences of each document and the words of each."""
-    sents = F.filter(text.sentences(F.col(body)), lambda s: keep(s))
-    return df.withColumn("sent_lists", sents).withColumn(
-        "word_lists", F.transform("sent_lists", text.words)
-    )
+    with_sents = hold(df, sent_lists=F.filter(text.sentences(F.col(body)), lambda s: keep(s)))
+    return hold(with_sents, word_lists=F.transform("sent_lists", text.words))
 
 
 def sentence_chain(df: DataFrame, body: str, low: int = 1, high: int = 16_383, partitions: int | None = None):

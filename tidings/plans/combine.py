@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidings.functions import arrays, html
 from tidings.operators.joins import attach_capture_times, drop_matching
 from tidings.operators.predicates import articles_with_release_link, is_release_link
+from tidings.plans.shape import hold
 
 
 def extract_articles(
@@ -18,7 +19,8 @@ def extract_articles(
 ) -> DataFrame:
     """Raw pages to text and marked links, skipping what was extracted before."""
     todo = drop_matching(raw, fetched, [key]) if fetched is not None else raw
-    parsed = todo.withColumn("_d", html.links_with_offsets(page)).withColumns(
+    # held: a filter on the links must not parse the pages again
+    parsed = hold(todo, _d=html.links_with_offsets(page)).withColumns(
         {
             "article_text": F.col("_d.article_text"),
             "links": F.transform(

@@ -18,3 +18,14 @@ def unpack(
     """
     rows = F.posexplode_outer(items).alias(index, value) if index else F.explode_outer(items).alias(value)
     return df.select(*keys, rows).where(F.col(value).isNotNull())
+
+
+def hold(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated once per row, however often later steps refer to them.
+
+    A later filter on an ordinary computed column is pushed below it and evaluates the
+    expression a second time. A generated column stops that.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    row = F.struct(*[expr.alias(name) for name, expr in columns.items()])
+    return df.select(*kept, F.inline_outer(F.array(row)))

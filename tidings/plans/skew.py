@@ -47,8 +47,8 @@ def salted_join(
     """Equi-join in which the left rows of each hot key are cut into shares.
 
     Hot keys are counted first, in a job of its own over the key columns of the left side, unless
-    the caller knows them already (``hot``: keys and ``_shares``). Mostly there is none and the
-    join is an ordinary one. A left row takes its share from a hash of the whole row, so a
+    the caller knows them already (``hot``: ``_shares`` and some or all of the keys). Mostly there
+    is none and the join is an ordinary one. A left row takes its share from a hash of the whole row, so a
     recomputed task assigns the same share; the right rows of a hot key are repeated once per
     share. ``right`` and ``full`` joins would repeat unmatched right rows and are refused.
     """
@@ -58,16 +58,17 @@ def salted_join(
     shares = materialize(hot if hot is not None else hot_keys(left, on, hot_rows), "hot-keys")
     if shares.isEmpty():
         return left.join(right, on, how)
+    known = [c for c in shares.columns if c != "_shares"]
     shares = F.broadcast(shares)
     n = F.coalesce(F.col("_shares"), F.lit(1))
     salted_left = (
         left.withColumn("_h", _row_hash(left))
-        .join(shares, on, "left")
+        .join(shares, known, "left")
         .withColumn("_salt", F.pmod(F.col("_h"), n).cast("int"))
         .drop("_h", "_shares")
     )
     salted_right = (
-        right.join(shares, on, "left")
+        right.join(shares, known, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
         .drop("_shares")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidings.functions import text, urls
+from tidings.plans.shape import hold, unpack
 
 Paths = str | Sequence[str]
 
@@ -84,7 +85,7 @@ def parse_crawl_index(lines: DataFrame, packet: str = "url string, status string
     """Key, stamp, date and parsed packet of crawl lines; rows whose key is not two tokens go."""
     line = F.col("line")
     return (
-        lines.withColumn("_k", urls.crawl_key_parts(line)).where(F.size("_k") == 2)
+        hold(lines, _k=urls.crawl_key_parts(line)).where(F.size("_k") == 2)
         .select(
             urls.clean_url(F.get("_k", 0)).alias("url"), F.get("_k", 1).alias("ts"),
             urls.crawl_date(line).alias("date"), urls.crawl_packet(line, packet).alias("packet"),
@@ -156,30 +157,37 @@ def read_date_partitions(
 def read_annotation_pairs(spark: SparkSession, docs: Paths, annotations: Paths) -> DataFrame:
     """Sentences with their labels from pairs of text and annotation files.
 
-    A text file has one ``URL ``, at most one ``H `` and many ``S<n> `` lines, an annotation file
-    ``indicator<TAB>label<TAB>S<n>`` lines; speech labels do not count. Files pair up by the key
-    in their path.
+    Files pair up by the key in their path.
     """
     whole = lambda p: spark.read.option("wholetext", True).text(_paths(p)).select(
         urls.split_key(F.input_file_name()).alias("key"), "value"
     )
-    texts = whole(docs).select(
-        "key", text.prefixed_value(F.col("value"), "URL ").alias("url"),
-        text.prefixed_value(F.col("value"), "H ").alias("headline"),
-        F.explode(text.prefixed_lines(F.col("value"), "S")).alias("_line"),
+    return pair_annotations(whole(docs), whole(annotations))
+
+
+def pair_annotations(docs: DataFrame, annotations: DataFrame, key: str = "key") -> DataFrame:
+    """Sentences with their labels, from (key, value) tables of whole files.
+
+    A text file has one ``URL ``, at most one ``H `` and many ``S<n> `` lines, an annotation file
+    ``indicator<TAB>label<TAB>S<n>`` lines; speech labels do not count.
+    """
+    value = F.col("value")
+    lines = unpack(
+        docs, [key, text.prefixed_value(value, "URL ").alias("url"), text.prefixed_value(value, "H ").alias("headline")],
+        text.prefixed_lines(value, "S"), "_line",
     )
     parts = text.words(F.col("_line"))
-    sentences = texts.select(
-        "key", "url", "headline", F.get(parts, 0).alias("sent_id"),
+    sentences = lines.select(
+        key, "url", "headline", F.get(parts, 0).alias("sent_id"),
         F.array_join(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), " ").alias("sentence"),
     )
     fields = F.split("_line", "\t")
     labels = (
-        whole(annotations).select("key", F.explode(F.split("value", "\n")).alias("_line"))
+        unpack(annotations, [key], F.split(value, "\n"), "_line")
         .where((F.size(fields) == 3) & ~F.lower(F.get(fields, 1)).contains("speech"))
-        .select("key", F.trim(F.get(fields, 2)).alias("sent_id"), text.first_token(F.get(fields, 1)).alias("label"))
+        .select(key, F.trim(F.get(fields, 2)).alias("sent_id"), text.first_token(F.get(fields, 1)).alias("label"))
     )
-    return sentences.join(labels, ["key", "sent_id"])
+    return sentences.join(labels, [key, "sent_id"])
 
 
 def read_rule_lists(spark: SparkSession, paths: Paths) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidings.functions import arrays, text
 from tidings.operators import aggregates as agg
 from tidings.operators import reports
+from tidings.plans.shape import hold
 from workload.registry import query, words_sql
 
 LANGS = ["en", "fr", "de", "es"]
@@ -306,7 +307,8 @@ WITH tok AS (SELECT doc_id, unnest({words_sql('text')}) AS term FROM documents),
 rep AS (SELECT doc_id, term FROM tok GROUP BY doc_id, term HAVING count(*) > 1)
 SELECT doc_id, count(*) AS n, md5(string_agg(term, ' ' ORDER BY term)) AS terms FROM rep GROUP BY doc_id""")
 def repeated_terms(t):
-    rep = t.spread("documents", "doc_id").select("doc_id", arrays.repeated_elements(text.tokens(F.col("text"))).alias("r"))
+    tokens = hold(t.spread("documents", "doc_id").select("doc_id", "text"), w=text.tokens(F.col("text")))
+    rep = hold(tokens, r=arrays.repeated_elements(F.col("w")))
     return rep.where(F.size("r") > 0).select(
         "doc_id", F.size("r").cast("long").alias("n"), F.md5(F.array_join("r", " ")).alias("terms")
     )

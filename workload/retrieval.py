@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidings.operators import evaluate, joins, retrieval
+from tidings.plans.storage import materialize
 from workload.registry import query, words_sql
 
 BM25_SQL = f"""
@@ -134,7 +135,7 @@ WITH {TFIDF_SQL}, {CANDIDATES_SQL}
 SELECT target, candidate, round(coalesce(sum(x.w * y.w), 0), 6) AS cosine FROM c
 LEFT JOIN tfidf x ON x.doc_id = target LEFT JOIN tfidf y ON y.doc_id = candidate AND y.term = x.term GROUP BY target, candidate""")
 def pair_cosines(t):
-    weights = _tfidf(t)
+    weights = materialize(_tfidf(t), "vectors")
     out = retrieval.pair_cosines(_candidates(t), weights, weights, "target", "candidate")
     return out.withColumn("cosine", F.round("cosine", 6))
 
@@ -151,7 +152,7 @@ SELECT target, candidate, -1, CAST(row_number() OVER (PARTITION BY target ORDER
 WHERE NOT (target IN (FROM many) AND target IN (FROM vec)) QUALIFY rank <= 10""")
 def similar_top_k(t):
     given = _candidates(t).withColumn("position", F.col("candidate"))
-    out = retrieval.similar_top_k(given, _tfidf(t), "target", "candidate", "position", digits=6)
+    out = retrieval.similar_top_k(given, materialize(_tfidf(t), "vectors"), "target", "candidate", "position", digits=6)
     return out.withColumn("cosine", F.coalesce("cosine", F.lit(-1.0)))
 
 
@@ -238,6 +239,4 @@ def _label_features(t):
 
 @query()
 def verdict_classifier(t):
-    from tidings.plans.storage import materialize
-
     return evaluate.verdict_classifier(materialize(_label_features(t)), "article_url", splits=2)
