@@ -84,7 +84,8 @@ def verdict_classifier(
         part = part.withColumn("_y", F.col(column).cast("int"))
         for seed in range(splits):
             marked = split_rows(part, key, seed)
-            train = balance_classes(marked.where(F.col("split") == "train"), "_y", key, seed)
+            # fitting goes over the rows again and again
+            train = materialize(balance_classes(marked.where(F.col("split") == "train"), "_y", key, seed), "train")
             result = _fit_and_test(train, marked.where(F.col("split") == "test"), "_y", features)
             rows.append(result.select(F.lit(q).alias("question"), F.lit(seed).alias("seed"), "f1", "auc"))
     return reduce(DataFrame.unionByName, rows)

@@ -80,7 +80,7 @@ def document_columns(t):
     path = _path(t, "columns")
     packed = F.sort_array(F.collect_list(F.struct(F.col("turn").alias("sent_idx"), F.col("role").alias("label"))))
     lists = t.conversations.groupBy("conv_id").agg(packed.alias("p"))
-    lists.select(F.to_json(F.struct(F.col("p.sent_idx"), F.col("p.label"))).alias("value")).write.text(path)
+    lists.select(F.to_json(F.struct(F.col("p.sent_idx").alias("sent_idx"), F.col("p.label").alias("label"))).alias("value")).write.text(path)
     return readers.read_document_lists(t._spark, path, "sent_idx long, label string", columns=True)
 
 
