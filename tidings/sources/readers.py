@@ -159,7 +159,7 @@ def read_annotation_pairs(spark: SparkSession, docs: Paths, annotations: Paths)
 
     Files pair up by the key in their path.
     """
-    whole = lambda p: spark.read.option("wholetext", True).text(_paths(p)).select(
+    whole = lambda p: spark.read.text(_paths(p), wholetext=True).select(
         urls.split_key(F.input_file_name()).alias("key"), "value"
     )
     return pair_annotations(whole(docs), whole(annotations))

