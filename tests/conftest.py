@@ -11,7 +11,7 @@ def spark(tmp_path_factory):
     from tidings import get_session
 
     session = get_session(
-        "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
+        "tests", "local[4]", spark__sql__shuffle__partitions="2", spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false", spark__driver__memory="6g",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )

@@ -78,9 +78,7 @@ def _moments(spark, n, seed):
     return rows, spark.createDataFrame(rows, "id int, k int, t timestamp")
 
 
-@pytest.mark.parametrize("reverse", [False, True])
-@pytest.mark.parametrize("inclusive", [False, True])
-@pytest.mark.parametrize("bucket", [600, 86_400])
+@pytest.mark.parametrize(("reverse", "inclusive", "bucket"), [(False, False, 600), (True, True, 600), (True, False, 86_400), (False, True, 86_400)])
 def test_last_before_equals_brute_force(spark, reverse, inclusive, bucket):
     probes, pdf = _moments(spark, 150, 1)
     facts, fdf = _moments(spark, 120, 2)
@@ -239,3 +237,19 @@ def test_last_versions_need_a_second_one(spark):
     df = spark.createDataFrame([("r", 1, "a"), ("r", 2, "b"), ("s", 1, "c")], "r string, t int, id string")
     assert [x.id for x in win.last_versions(df, "r", "t", "id").collect()] == ["b"]
     assert {x.id for x in win.first_versions(df, "r", "t", "id").collect()} == {"a", "c"}
+
+
+def test_long_lists_go_on_in_order(spark):
+    from tidings.operators import aggregates as agg
+
+    df = spark.createDataFrame([(1, i) for i in range(23)] + [(2, 5), (None, 1)], "k int, v int")
+    out = agg.ordered_lists(df, "k", "v", "v", list_rows=5).collect()
+    parts = sorted([(r.part, r.v) for r in out if r.k == 1])
+    assert [len(v) for _, v in parts] == [5, 5, 5, 5, 3] and sum((v for _, v in parts), []) == list(range(23))
+    assert [(r.part, r.v) for r in out if r.k != 1] == [(0, [5]), (0, [1])] or len(out) == 7
+
+
+def test_fitting_bucket(spark):
+    df = spark.createDataFrame([(1, datetime(2024, 1, 1, 1))] * 50 + [(2, datetime(2024, 1, 1))], "k int, t timestamp")
+    assert asof.fitting_bucket(df, ["k"], "t") == 86_400
+    assert asof.fitting_bucket(df, ["k"], "t", hot_rows=5) == 8_640

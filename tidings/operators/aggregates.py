@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.plans.shape import unpack
-from tidings.plans.skew import row_numbers, running_sum, top_rows
+from tidings.plans.skew import LIST_ROWS, list_parts, row_numbers, running_sum, top_rows
 
 
 
@@ -150,32 +150,43 @@ def frequent_by_documents(
 
 
 # ---- lists per document ---------------------------------------------------------------------------
-def ordered_lists(df: DataFrame, key: str | Sequence[str], order: str, *columns: str) -> DataFrame:
+# Every list operator returns a ``part`` column: 0, unless a key has more than ``list_rows`` rows.
+def _packed(
+    df: DataFrame, keys: list[str], order: str, columns: Sequence[str], list_rows: int
+) -> DataFrame:
+    item = F.struct(F.col(order).alias("_o"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    parts = list_parts(df.select(*keys, order, *[c for c in columns if c not in (*keys, order)]), keys, [order, *columns], list_rows=list_rows)
+    return parts.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(item)).alias("_s"))
+
+
+def ordered_lists(
+    df: DataFrame, key: str | Sequence[str], order: str, *columns: str, list_rows: int = LIST_ROWS
+) -> DataFrame:
     """Columns of a document's rows as parallel lists in sentence order."""
     keys = [key] if isinstance(key, str) else list(key)
-    packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, *columns))).alias("_s"))
-    return packed.select(*keys, *[F.col("_s").getField(c).alias(c) for c in columns])
+    packed = _packed(df, keys, order, columns, list_rows)
+    return packed.select(*keys, "part", *[F.col("_s").getField(f"_v{i}").alias(c) for i, c in enumerate(columns)])
 
 
-def collect_by_key(df: DataFrame, key: str, value: str) -> DataFrame:
+def collect_by_key(df: DataFrame, key: str, value: str, list_rows: int = LIST_ROWS) -> DataFrame:
     """List of a key's non-null values, sorted."""
-    return df.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias(value))
+    return ordered_lists(df.where(F.col(value).isNotNull()), key, value, value, list_rows=list_rows)
 
 
-def union_lists(df: DataFrame, key: str, lists: str) -> DataFrame:
+def union_lists(df: DataFrame, key: str, lists: str, list_rows: int = LIST_ROWS) -> DataFrame:
     """Distinct union of a list column per key, made distinct before anything is collected."""
-    elements = unpack(df, [key], F.col(lists), lists).distinct()
-    return collect_by_key(elements, key, lists)
+    return collect_by_key(unpack(df, [key], F.col(lists), lists).distinct(), key, lists, list_rows)
 
 
-def concat_by_key(df: DataFrame, key: str | Sequence[str], value: str, order: str, separator: str = ",", name=None):
+def concat_by_key(
+    df: DataFrame, key: str | Sequence[str], value: str, order: str, separator: str = ",", name: str | None = None,
+    list_rows: int = LIST_ROWS,
+) -> DataFrame:
     """Values of a key as one string, in a given order."""
     keys = [key] if isinstance(key, str) else list(key)
-    packed = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("string").alias("v")))).alias("_s")
-    )
-    joined = F.array_join(F.transform("_s", lambda s: s["v"]), separator)
-    return packed.select(*keys, joined.alias(name or value))
+    packed = _packed(df.where(F.col(value).isNotNull()), keys, order, [value], list_rows)
+    strings = F.col("_s").getField("_v0").cast("array<string>")
+    return packed.select(*keys, "part", F.array_join(strings, separator).alias(name or value))
 
 
 def passages_by_label(df: DataFrame, doc: str, label: str, sentence: str, order: str) -> DataFrame:
@@ -196,17 +207,17 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
     return df.where(x.between(low, high)).groupBy(bin_.alias("bin")).agg(_count("n"))
 
 
-def exact_percentiles(df: DataFrame, key: str | None, value: str, points: Mapping[str, float]) -> DataFrame:
+def exact_percentiles(
+    df: DataFrame, key: str | Sequence[str] | None, value: str, points: Mapping[str, float]
+) -> DataFrame:
     """Interpolated percentiles per group, exact at any group size.
 
     Equal values are counted together first; a running total over the distinct values (cut for
     hot groups) tells which value covers which position, and only the values next to a wanted
     position are aggregated. No task holds the values of a group.
     """
-    keys = [key] if key else []
-    known = df.where(F.col(value).isNotNull())
-    if key:
-        known = known.where(F.col(key).isNotNull())
+    keys = [key] if isinstance(key, str) else list(key or ())
+    known = df.na.drop(subset=[*keys, value])
     counts = known.groupBy(*keys, F.col(value).alias("_x")).agg(_count("_c"))
     upto = running_sum(counts, keys, ["_x"], F.col("_c"), "_upto")
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
@@ -277,10 +288,12 @@ def _reduce_large(scores: DataFrame, keys: list[str], methods: Mapping[str, tupl
         ranked = top_rows(chosen.withColumn("_o", _rank_order(methods)), [*keys, "score"], ["_o"], most, "_rn")
         kept = ranked.where(F.col("_rn") <= _k_of(methods))
         parts.append(kept.groupBy(*keys, "score").agg(F.avg("value").alias("value")))
-    for kind, fn in (("mean", F.avg), ("median", F.median)):
-        if _named(methods, kind):
-            plain = scores.where(F.col("score").isin(_named(methods, kind)))
-            parts.append(plain.groupBy(*keys, "score").agg(fn("value").alias("value")))
+    if _named(methods, "mean"):
+        plain = scores.where(F.col("score").isin(_named(methods, "mean")))
+        parts.append(plain.groupBy(*keys, "score").agg(F.avg("value").alias("value")))
+    if _named(methods, "median"):
+        plain = scores.where(F.col("score").isin(_named(methods, "median")))
+        parts.append(exact_percentiles(plain, [*keys, "score"], "value", {"value": 0.5}))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.functions import dates, urls
-from tidings.plans.asof import DAY, last_before
+from tidings.plans.asof import DAY, fitting_bucket, last_before
 from tidings.plans.shape import unpack
-from tidings.plans.skew import HOT_ROWS, salted_join, top_rows
+from tidings.plans.skew import HOT_ROWS, LIST_ROWS, list_parts, salted_join, top_rows
 
 
 # ---- lookups -----------------------------------------------------------------------------------
@@ -237,17 +237,13 @@ def entity_cosine(targets: DataFrame, archive: DataFrame, hot_rows: int = HOT_RO
     )
 
 
-def archive_lists(pairs: DataFrame, list_rows: int = 100_000) -> DataFrame:
-    """The pairs of ``entity_overlap`` packed as lists per target.
+def archive_lists(pairs: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
+    """The pairs of ``entity_overlap`` packed as sorted lists per target.
 
     A list holds at most ``list_rows`` addresses; a longer one goes on in the next ``part``.
     """
-    parts = pairs.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / list_rows).cast("int").alias("_parts"))
-    return (
-        pairs.join(parts, "target")
-        .withColumn("part", F.pmod(F.xxhash64("archive"), F.col("_parts")).cast("int"))
-        .groupBy("target", "part")
-        .agg(F.sort_array(F.collect_list("archive")).alias("archive_list"))
+    return list_parts(pairs, ["target"], ["archive"], list_rows=list_rows).groupBy("target", "part").agg(
+        F.sort_array(F.collect_list("archive")).alias("archive_list")
     )
 
 
@@ -273,7 +269,7 @@ def prior_coverage(
     key: str = "key",
     days: float = 30,
     newest: int = 20,
-    bucket_seconds: int = DAY,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """For each article the newest earlier documents that share a key.
 
@@ -286,6 +282,7 @@ def prior_coverage(
     its own time. The best of all keys are among the best of each key, so the cut is exact.
     """
     archive = articles if archive is None else archive
+    bucket_seconds = bucket_seconds or fitting_bucket(archive, [key], time)
     k = newest + 1  # one spare for the article itself
     entry = F.struct((-F.unix_micros(F.col(time).cast("timestamp"))).alias("t"), F.col(doc_id).alias("d"))
     facts = archive.where(F.col(time).isNotNull() & F.col(key).isNotNull()).select(
@@ -350,7 +347,7 @@ def nearest_capture(
     mode: str = "time",
     status: str | None = None,
     name: str = "capture",
-    bucket_seconds: int = DAY,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Capture nearest to the target time: strictly before, strictly after, or either side.
 
@@ -360,6 +357,9 @@ def nearest_capture(
     """
     if status is not None:
         captures = captures.where(F.coalesce(F.col(status), F.lit("")) != "-")
+    bucket_seconds = bucket_seconds or min(
+        fitting_bucket(captures, on, capture_time), fitting_bucket(targets, on, target_time)
+    )
     facts = captures.withColumn("_cap", F.struct(F.col(capture_time).alias("t"), F.col(payload).alias("v")))
     look = lambda df, out, **kw: last_before(
         df, facts, on, target_time, capture_time, "_cap", out, bucket_seconds=bucket_seconds, **kw

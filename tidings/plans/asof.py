@@ -7,9 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidings.plans.skew import HOT_ROWS
+
 DAY = 86_400
 
 
+def fitting_bucket(df: DataFrame, on: Sequence[str], time: str, hot_rows: int = HOT_ROWS) -> int:
+    """Seconds per time bucket: a day, or less if some key has more than ``hot_rows`` rows in a day.
+
+    Costs one count per key and day; a single number comes back.
+    """
+    day = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (DAY * 1_000_000))
+    most = df.groupBy(*on, day.alias("_day")).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    return DAY if most <= hot_rows else max(1, DAY * hot_rows // most)
+
+
 def last_before(
     probes: DataFrame,
     facts: DataFrame,

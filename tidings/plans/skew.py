@@ -151,3 +151,26 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     """
     window = Window.partitionBy(*keys).orderBy(*[_as_column(o) for o in order])
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
+
+
+LIST_ROWS = 1_000_000  # a list of one key holds at most this many rows
+
+
+def list_parts(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "part", list_rows: int = LIST_ROWS
+) -> DataFrame:
+    """Number the parts that the rows of a key are to be collected in, in order.
+
+    Keys of ordinary size are one part, number 0. A longer key goes on in part 1, 2 and so on,
+    so that no list, and no task that builds one, holds more than ``list_rows`` rows.
+    """
+    keys = list(keys)
+    hot = materialize(hot_keys(df, keys, list_rows).drop("_shares"), "long-lists")
+    if hot.isEmpty():
+        return df.withColumn(name, F.lit(0))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    hot = F.broadcast(hot.alias("r"))  # at most rows / list_rows keys
+    short = df.alias("l").join(hot, same, "left_anti").withColumn(name, F.lit(0))
+    ranked = row_numbers(df.alias("l").join(hot, same, "left_semi"), order, keys, "_at", list_rows)
+    long = ranked.withColumn(name, F.floor((F.col("_at") - 1) / list_rows).cast("int")).drop("_at")
+    return short.unionByName(long)

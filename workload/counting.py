@@ -155,14 +155,14 @@ SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), '|||' ORDER BY o_order
 FROM orders GROUP BY o_custkey""")
 def group_concat(t):
     ordered = t.orders.select("o_custkey", "o_orderkey", F.struct("o_orderdate", "o_orderkey").alias("o"))
-    return agg.concat_by_key(ordered, "o_custkey", "o_orderkey", "o", "|||", "keys")
+    return agg.concat_by_key(ordered, "o_custkey", "o_orderkey", "o", "|||", "keys").drop("part")
 
 
 @query("""
 SELECT conv_id, role, md5(string_agg(text, ' ' ORDER BY turn)) AS passage FROM conversations GROUP BY conv_id, role""")
 def passages_by_label(t):
     out = agg.passages_by_label(t.conversations, "conv_id", "role", "text", "turn")
-    return out.withColumn("passage", F.md5("passage"))
+    return out.select("conv_id", "role", F.md5("passage").alias("passage"))
 
 
 @query("""

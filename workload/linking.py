@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidings.functions import text
 from tidings.operators import aggregates as agg
 from tidings.operators import joins, reports, scoring
+from tidings.operators.windows import first_per_key, top_k_per_group
 from tidings.plans import linkage
 from workload.registry import query, sentences_sql, words_sql
 
@@ -123,12 +124,12 @@ def list_lookup(t):
 
 
 @query("""
-SELECT s.user_id, s.event_id AS story_event_id, r.event_id AS release_event_id FROM events s JOIN events r
-ON s.user_id = r.user_id AND s.event_type = 'purchase' AND r.event_type = 'error'""")
+SELECT o_orderkey, l_partkey AS story_l_partkey, l_linenumber AS story_l_linenumber, o_totalprice AS release_o_totalprice
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def bundle_pairs(t):
-    rows = t.events.select("user_id", "event_id", "event_type")
-    out = joins.bundle_pairs(rows.where("event_type = 'error'"), rows.where("event_type = 'purchase'"), "user_id")
-    return out.select("user_id", "story_event_id", "release_event_id")
+    """Orders as releases, their lines as stories."""
+    stories = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_linenumber")
+    return joins.bundle_pairs(t.orders.select("o_orderkey", "o_totalprice"), stories, "o_orderkey")
 
 
 @query("""
@@ -158,11 +159,12 @@ def star_join(t):
 
 
 @query("""
-SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.source = b.source AND a.text = b.text""")
+SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY source, text) AS b FROM documents""")
 def text_equality_join(t):
+    """Every document next to the first one of its source with the same text."""
     left = t.documents.select("source", "text", F.col("doc_id").alias("a"))
-    right = t.documents.select("source", "text", F.col("doc_id").alias("b"))
-    return joins.join_on_text(left, right, "source", "text").select("a", "b")
+    first = first_per_key(t.documents.select("source", "text", F.col("doc_id").alias("b")), ["source", "text"], ["b"])
+    return joins.join_on_text(left, first, "source", "text").select("a", "b")
 
 
 @query("""
@@ -270,7 +272,7 @@ SELECT event_id, archive_id, rank FROM (
   FROM events a JOIN events b ON a.event_type = b.event_type AND a.event_type = 'purchase' AND b.ts < a.ts AND b.ts > a.ts - INTERVAL 2 DAYS)
 WHERE rank <= 20""")
 def prior_coverage_hot_key(t):
-    """One key holds every row: the time buckets do the splitting."""
+    """One key holds every row: time buckets do the splitting."""
     rows = t.events.where("event_type = 'purchase'").select("event_id", "ts", "event_type")
     return joins.prior_coverage(rows, doc_id="event_id", key="event_type", days=2, bucket_seconds=3600)
 
@@ -353,15 +355,16 @@ def release_coverage(t):
 SELECT c.conv_id AS doc_idx, c.turn AS article_sent_idx, b.turn AS archive_headline_idx,
   round(CASE WHEN len(x) > 0 THEN len(list_intersect(x, y)) / len(x) ELSE 0 END, 6) AS model_prediction
 FROM (SELECT conv_id, turn, list_distinct({words_sql('text')}) AS x FROM conversations WHERE role = 'user') c
-JOIN (SELECT conv_id, turn, list_distinct({words_sql('text')}) AS y FROM conversations WHERE role = 'assistant') b USING (conv_id)""")
+JOIN (SELECT conv_id, turn, list_distinct({words_sql('text')}) AS y FROM conversations WHERE role = 'assistant'
+      QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 20) b USING (conv_id)""")
 def consistency_scores(t):
-    """User turns against assistant turns of their conversation, scored batch by batch in Python."""
+    """User turns against the newest 20 assistant turns of their conversation, scored in batches."""
     side = lambda role, i, s: t.conversations.where(F.col("role") == role).select(
         F.col("conv_id").alias("doc_idx"), F.col("turn").alias(i), F.col("text").alias(s)
     )
-    pairs = joins.pair_with_candidates(
-        side("user", "article_sent_idx", "article_sentence"), side("assistant", "archive_headline_idx", "archive_headline"), "doc_idx"
-    )
+    archive = side("assistant", "archive_headline_idx", "archive_headline")
+    newest = top_k_per_group(archive, ["doc_idx"], [F.desc("archive_headline_idx")], 20).drop("rank")
+    pairs = joins.pair_with_candidates(side("user", "article_sent_idx", "article_sentence"), newest, "doc_idx")
     out = scoring.score_consistency(pairs)
     return out.select("doc_idx", "article_sent_idx", "archive_headline_idx", F.round("model_prediction", 6).alias("model_prediction"))
 

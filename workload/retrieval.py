@@ -39,33 +39,39 @@ def bm25_top10(t):
     return retrieval.search(_index(t), t.benchmark, "item_id", "text", cutoff=10, digits=6)
 
 
-def _languages(t, langs):
-    """(query, doc) table: every query with the documents of some languages, by two equi-joins on a shared parity key."""
-    docs = t.documents.where(F.col("lang").isin(langs)).select(F.col("doc_id").alias("doc"), (F.col("doc_id") % 2).alias("p"))
-    items = t.benchmark.select(F.col("item_id").alias("query"), (F.col("item_id") % 2).alias("p"))
-    return items.join(docs, "p").drop("p")
+def _long_word_pairs(t):
+    """(query, doc) pairs that share a word of ten letters or more."""
+    from tidings.functions import text
+
+    long_words = F.filter(text.tokens(F.col("text")), lambda w: F.length(w) > 9)
+    return joins.entity_overlap(
+        joins.entity_rows(t.benchmark, "item_id", long_words, one_row_per_doc=True),
+        joins.entity_rows(t.spread("documents", "doc_id"), "doc_id", long_words, one_row_per_doc=True),
+    ).select(F.col("target").alias("query"), F.col("archive").alias("doc"))
 
 
 FILTERED_SQL = f"""
-WITH {BM25_SQL}, s AS (SELECT item_id, doc_id, round({GAIN_SQL}, 6) AS score
+WITH {BM25_SQL}, long AS (SELECT DISTINCT q.item_id, tf.doc_id FROM q JOIN tf USING (term) WHERE length(term) > 9),
+s AS (SELECT item_id, doc_id, round({GAIN_SQL}, 6) AS score
   FROM q JOIN tf USING (term) JOIN df USING (term) JOIN rel USING (doc_id) JOIN documents d USING (doc_id), n
   WHERE {{where}} GROUP BY item_id, doc_id)
 SELECT item_id AS "query", doc_id AS doc, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
 FROM s QUALIFY rank <= 10"""
 
 
-@query(FILTERED_SQL.replace("{where}", "d.lang IN ('en', 'de') AND item_id % 2 = doc_id % 2 AND d.lang <> 'de'"))
+@query(FILTERED_SQL.replace("{where}", "(item_id, doc_id) IN (FROM long) AND lang <> 'de'"))
 def bm25_filtered(t):
+    allowed = materialize(_long_word_pairs(t), "allowed")
+    german = allowed.join(t.documents.where("lang = 'de'").select(F.col("doc_id").alias("doc")), "doc")
     return retrieval.search(
-        _index(t), t.benchmark, "item_id", "text", cutoff=10, digits=6,
-        include=_languages(t, ["en", "de"]), exclude=_languages(t, ["de"]),
+        _index(t), t.benchmark, "item_id", "text", cutoff=10, digits=6, include=allowed, exclude=german
     )
 
 
-@query(FILTERED_SQL.replace("{where}", "NOT (d.lang = 'en' AND item_id % 2 = doc_id % 2)"))
+@query(FILTERED_SQL.replace("{where}", "(item_id, doc_id) NOT IN (FROM long)"))
 def bm25_excluding(t):
     return retrieval.search(
-        _index(t), t.benchmark, "item_id", "text", cutoff=10, digits=6, exclude=_languages(t, ["en"])
+        _index(t), t.benchmark, "item_id", "text", cutoff=10, digits=6, exclude=_long_word_pairs(t)
     )
 
 
@@ -81,16 +87,10 @@ SELECT item_id AS "query", doc_id AS doc, score, CAST(row_number() OVER (PARTITI
        strftime(d.ts, '%Y-%m-%d %H') AS doc_time FROM s JOIN d USING (doc_id) QUALIFY rank <= 10""")
 def retrieve_archive(t):
     """Candidates share a long word with the release and lie in its time window; dates come from the ids."""
-    from tidings.functions import text
-
-    long_words = F.filter(text.tokens(F.col("text")), lambda w: F.length(w) > 9)
     at = lambda start, hours: F.lit(start).cast("timestamp") + F.make_dt_interval(hours=hours.cast("int"))
     releases = t.benchmark.select(F.col("item_id").alias("query"), at("2024-03-01", F.col("item_id") * 7).alias("query_time"))
     dated = t.documents.select(F.col("doc_id").alias("doc"), at("2024-01-01", F.col("doc_id") * 37 % 2400).alias("doc_time"))
-    shared = joins.entity_overlap(
-        joins.entity_rows(t.benchmark, "item_id", long_words, one_row_per_doc=True),
-        joins.entity_rows(t.spread("documents", "doc_id"), "doc_id", long_words, one_row_per_doc=True),
-    ).select(F.col("target").alias("query"), F.col("archive").alias("doc"))
+    shared = _long_word_pairs(t)
     candidates = shared.join(releases, "query").join(dated, "doc")
     out = retrieval.retrieve_archive(_index(t), candidates, t.benchmark, "item_id", "text", digits=6)
     return out.withColumn("doc_time", F.date_format("doc_time", "yyyy-MM-dd HH"))
@@ -174,11 +174,12 @@ def row_pair_cosines(t):
     from tidings.operators.aggregates import passages_by_label
 
     passages = passages_by_label(t.conversations, "conv_id", "role", "text", "turn")
-    wide = passages.groupBy("conv_id").agg(
+    wide = passages.groupBy("conv_id", "part").agg(
         F.max(F.when(F.col("role") == "user", F.col("passage"))).alias("a"),
         F.max(F.when(F.col("role") == "assistant", F.col("passage"))).alias("b"),
     )
-    out = retrieval.row_pair_cosines(wide, "conv_id", "a", "b", stop_words=[])
+    wide = wide.withColumn("row", F.concat_ws("/", "conv_id", "part"))
+    out = retrieval.row_pair_cosines(wide, "row", "a", "b", stop_words=[])
     return out.select("conv_id", F.round("cosine", 6).alias("cosine"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidings.functions import arrays, dates, text
 from tidings.operators import predicates as pred
 from tidings.operators import windows as win
+from tidings.operators.aggregates import ordered_lists
 from workload.registry import query, sentences_sql, words_sql
 
 
@@ -126,9 +127,8 @@ def multi_sort(t):
 SELECT conv_id, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'assistant' THEN 1
          ELSE 2147483647 END, turn) AS turns FROM conversations GROUP BY conv_id""")
 def custom_order(t):
-    packed = t.conversations.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("turns")
-    )
+    pairs = t.conversations.select("conv_id", "turn", F.struct("turn", "role").alias("turns"))
+    packed = ordered_lists(pairs, "conv_id", "turn", "turns")
     out = win.sort_list_by_label(packed, "turns", "role", {"system": 0, "assistant": 1})
     return out.select("conv_id", F.array_join(F.col("turns").getField("turn").cast("array<string>"), ",").alias("turns"))
 
@@ -260,8 +260,6 @@ WITH d AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) F
            FROM lineitem GROUP BY l_orderkey)
 SELECT l_orderkey, array_to_string(kept, ',') AS kept FROM d WHERE len(kept) > 0""")
 def error_sentence_filter(t):
-    from tidings.operators.aggregates import ordered_lists
-
     rows = t.lineitem.select("l_orderkey", F.struct("l_linenumber", "l_partkey").alias("o"), "l_partkey", "l_discount")
     docs = ordered_lists(rows, "l_orderkey", "o", "l_partkey", "l_discount")
     out = pred.drop_error_sentences(docs, "l_discount", ["l_partkey"], limit=0.05)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidings.operators.aggregates import concat_by_key, ordered_lists
 from tidings.operators.predicates import code_filter
 from tidings.plans import combine
 from tidings.plans.storage import new_path
@@ -68,8 +69,8 @@ def document_lists(t):
     record = F.struct(
         F.col("turn").alias("sent_idx"), F.col("conv_id").alias("doc_id"), F.col("role").alias("label"), F.col("text").alias("sentence")
     )
-    lines = t.conversations.groupBy("conv_id").agg(F.to_json(F.sort_array(F.collect_list(record))).alias("value"))
-    lines.select("value").write.text(path)
+    docs = ordered_lists(t.conversations.select("conv_id", "turn", record.alias("r")), "conv_id", "turn", "r")
+    docs.select(F.to_json("r")).write.text(path)
     fields = "doc_id long, sent_idx long, label string, sentence string"
     return readers.read_document_lists(t._spark, path, fields).select("doc_id", "sent_idx", "label", "sentence")
 
@@ -78,9 +79,8 @@ def document_lists(t):
 def document_columns(t):
     """One line per conversation holding a record of lists."""
     path = _path(t, "columns")
-    packed = F.sort_array(F.collect_list(F.struct(F.col("turn").alias("sent_idx"), F.col("role").alias("label"))))
-    lists = t.conversations.groupBy("conv_id").agg(packed.alias("p"))
-    lists.select(F.to_json(F.struct(F.col("p.sent_idx").alias("sent_idx"), F.col("p.label").alias("label"))).alias("value")).write.text(path)
+    docs = ordered_lists(t.conversations, "conv_id", "turn", "turn", "role")
+    docs.select(F.to_json(F.struct(F.col("turn").alias("sent_idx"), F.col("role").alias("label")))).write.text(path)
     return readers.read_document_lists(t._spark, path, "sent_idx long, label string", columns=True)
 
 
@@ -145,10 +145,8 @@ def annotation_pairs(t):
         "conv_id", "turn", F.concat(sent, F.lit(" "), flat).alias("t"), F.concat(F.lit("T1\t"), label, F.lit("\t"), sent).alias("a")
     )
     for kind, column, head in (("txt", "t", "URL http://a.org\nH head\n"), ("ann", "a", "")):
-        body = F.concat(
-            F.lit(head), F.array_join(F.sort_array(F.collect_list(F.struct("turn", column))).getField(column), "\n")
-        )
-        files = lines.groupBy("conv_id").agg(body.alias("value")).select("value", F.concat(F.col("conv_id"), F.lit(f".{kind}")).alias("name"))
+        bodies = concat_by_key(lines, "conv_id", column, "turn", "\n", "body")
+        files = bodies.select(F.concat(F.lit(head), "body").alias("value"), F.concat(F.col("conv_id"), F.lit(f".{kind}")).alias("name"))
         files.write.partitionBy("name").text(f"{root}/validation/{kind}")
     folder = lambda kind: f"{root}/validation/{kind}/name=*"
     # the file key is the folder name here, so pairs are read through it
@@ -216,10 +214,12 @@ SELECT 'article_to_href', (SELECT count(*) FROM events)""")
 def combined_tables(t):
     """The four tables out of articles made from events, written and counted."""
     key = F.format_string("com,site)/%d", "user_id")
-    links = F.collect_list(F.struct(F.format_string("https://a.org/%d", "event_id").alias("href"), F.col("event_type").alias("text")))
-    articles = t.events.groupBy("user_id").agg(
-        F.collect_set("event_type").alias("ents"), links.alias("links"), F.array(F.lit("A"), F.lit("B")).alias("article_authors")
-    ).select(key.alias("article_url"), "ents", "links", "article_authors", F.lit("site").alias("source"))
+    link = F.struct(F.format_string("https://a.org/%d", "event_id").alias("href"), F.col("event_type").alias("text"))
+    links = ordered_lists(t.events.select("user_id", "event_id", link.alias("links")), "user_id", "event_id", "links")
+    kinds = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("ents"))
+    articles = links.join(kinds, "user_id").select(
+        key.alias("article_url"), "ents", "links", F.array(F.lit("A"), F.lit("B")).alias("article_authors"), F.lit("site").alias("source")
+    )
     captures = t.events.select(
         F.format_string("https://site.com/%d", "user_id").alias("url"), F.date_format("ts", "yyyyMMddHHmmss").alias("timestamp")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidings.functions import arrays, html, text, urls
 from tidings.operators import predicates as pred
 from tidings.operators import scoring
+from tidings.operators.aggregates import concat_by_key, ordered_lists
 from tidings.operators.windows import keep_first_duplicate, zip_explode
 from tidings.plans.combine import extract_articles
 from tidings.sources.readers import enrich_packets, parse_crawl_index
@@ -139,8 +140,8 @@ def articles_with_release_link(t):
         F.format_string("https://%s.com/%d", "event_type", "event_id").alias("href"),
         F.when(F.col("value") > 95, "we announce").otherwise("here").alias("text"),
     )
-    articles = t.events.groupBy("user_id").agg(F.collect_list(link).alias("links"))
-    return pred.articles_with_release_link(articles, "links", ["view"]).select("user_id")
+    articles = ordered_lists(t.events.select("user_id", "event_id", link.alias("links")), "user_id", "event_id", "links")
+    return pred.articles_with_release_link(articles, "links", ["view"]).select("user_id").distinct()
 
 
 @query("""
@@ -223,8 +224,6 @@ WITH m AS (SELECT conv_id, string_agg(text, '<NEW_SENT>' ORDER BY turn) AS docs
 SELECT conv_id, CAST(i - 1 AS INTEGER) AS sent_idx, string_split(docs, '<NEW_SENT>')[i] AS sentence
 FROM m, LATERAL (SELECT unnest(range(1, len(string_split(docs, '<NEW_SENT>')) + 1)) AS i)""")
 def marked_sentences(t):
-    from tidings.operators.aggregates import concat_by_key
-
     docs = concat_by_key(t.conversations, "conv_id", "text", "turn", "<NEW_SENT>", "docs")
     return docs.select("conv_id", F.posexplode(text.split_marked_sentences(F.col("docs"))).alias("sent_idx", "sentence"))
 
@@ -234,8 +233,6 @@ WITH m AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS t FROM convers
 SELECT conv_id, array_to_string((list_filter(regexp_split_to_array(replace(replace(t, ' .', '.'), chr(10), ' '), '\s+'),
   lambda x: x <> ''))[1:200], ' ') AS prepared FROM m""")
 def prepared_for_resolution(t):
-    from tidings.operators.aggregates import ordered_lists
-
     docs = ordered_lists(t.conversations, "conv_id", "turn", "text")
     return docs.select("conv_id", text.prepare_for_resolution(F.col("text"), 200).alias("prepared"))
 
@@ -284,8 +281,6 @@ def part_name_differences(t):
 @query("""
 SELECT md5(string_agg(p_type, '' ORDER BY p_partkey)) AS joined, count(*) AS n FROM part GROUP BY p_brand""")
 def ordered_concat(t):
-    from tidings.operators.aggregates import concat_by_key
-
     joined = concat_by_key(t.part, "p_brand", "p_type", "p_partkey", "", "joined")
     n = t.part.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
     return joined.join(n, "p_brand").select(F.md5("joined").alias("joined"), "n")
@@ -325,8 +320,6 @@ WITH d AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber, l_partkey
            FROM lineitem GROUP BY l_orderkey)
 SELECT l_orderkey, a[i] AS l_linenumber, b[i] AS l_partkey FROM d, LATERAL (SELECT unnest(range(1, len(a) + 1)) AS i)""")
 def zipped_lists(t):
-    from tidings.operators.aggregates import ordered_lists
-
     rows = t.lineitem.select("l_orderkey", F.struct("l_linenumber", "l_partkey").alias("o"), "l_linenumber", "l_partkey")
     docs = ordered_lists(rows, "l_orderkey", "o", "l_linenumber", "l_partkey")
     return zip_explode(docs, ["l_orderkey"], "l_linenumber", "l_partkey")
@@ -404,9 +397,8 @@ def group_summaries(t):
 
 @query()
 def discourse_pipeline(t):
-    docs = t.conversations.groupBy(F.col("conv_id").alias("url")).agg(
-        F.array_join(F.sort_array(F.collect_list(F.struct("turn", "text"))).getField("text"), "<NEW_SENT>").alias("docs")
-    )
+    turns = t.conversations.withColumnRenamed("conv_id", "url")
+    docs = concat_by_key(turns, "url", "text", "turn", "<NEW_SENT>", "docs")
     return scoring.marked_sentences_pipeline().fit(docs).transform(docs)
 
 
