@@ -131,6 +131,9 @@ def rows_of_largest_group(df: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(largest), key, "left_semi")  # one row
 
 
+PAIRS_PER_TASK = 2_000  # mapped document pairs one task should expand
+
+
 # ---- mapped sentence pairs ---------------------------------------------------------------------------
 def join_mapping_twice(mapping: DataFrame, docs: DataFrame, doc_id: str, value: str) -> DataFrame:
     """Mapping rows with the same document table joined as article and as release."""
@@ -167,8 +170,10 @@ def pair_sentences(
     an article will meet is counted from the mapping, which is read several times: store it
     first if it is expensive.
     """
-    # few mapping rows become very many pairs: a fixed number of partitions keeps them spread
-    n = partitions or int(mapping.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few mapping rows become very many pairs, which Spark cannot tell from their size: keep them spread
+    spark = mapping.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or min(most, max(spark.sparkContext.defaultParallelism, mapping.count() // PAIRS_PER_TASK + 1))
     pairs = mapping.select("article_url", "press_release_url").repartition(n, "article_url", "press_release_url").distinct()
     n_sents = release_sents.groupBy("press_release_url").agg(F.count(F.lit(1)).alias("_n"))
     load = pairs.join(n_sents, "press_release_url").groupBy("article_url").agg(F.sum("_n").alias("_n"))

@@ -396,7 +396,7 @@ def group_summaries(t):
 
 
 @query()
-def discourse_pipeline(t):
+def marked_sentence_labels(t):
     turns = t.conversations.withColumnRenamed("conv_id", "url")
     docs = concat_by_key(turns, "url", "text", "turn", "<NEW_SENT>", "docs")
     return scoring.marked_sentences_pipeline().fit(docs).transform(docs)
