@@ -3,20 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidings.llm.common import new_path
+from tidings.llm.decontaminate import benchmark_hits
+from tidings.llm.language import identified
+from tidings.llm.mixing import mix
 from tidings.llm.near_dedup import near_duplicates
+from tidings.llm.sharding import assign_shards
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no language that the model knows go."""
+    return identified(docs).where("accepted").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    groups = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["doc_id"]), "left_semi")
+    """One document of each group of near copies stays: the one with the smallest id.
+
+    Rows that repeat an id with the same text are one group as well and leave one row.
+    """
+    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    return stay.dropDuplicates(["doc_id", "text"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with benchmark passages go."""
+    return benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit = 0").select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample with target shares of sources, languages and topics."""
+    return mix(docs).where("kept").select(docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document gets its training shard and its place in it."""
+    return assign_shards(docs, 16)
 
 
-STAGES = [("near_dedup", near_dedup)]
-ORACLE_SQL = None
+STAGES = [
+    ("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding),
+]
+ORACLE_SQL = None  # no SQL for a trained model; tests/llm compare the stages with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

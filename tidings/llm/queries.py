@@ -4,23 +4,98 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidings.llm.decontaminate import benchmark_hits
+from tidings.llm.language import identified
+from tidings.llm.mixing import mix
 from tidings.llm.near_dedup import near_duplicates
+from tidings.llm.repeats import remove_repeats
+from tidings.llm.sharding import assign_shards
+from tidings.llm.url_rules import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+# fixed values of the task: host, path, verdict
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
 
 
-def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/documents.parquet")
+def table(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def sha256(column: str | Column) -> Column:
+    return F.sha2(column, 256)
+
+
+@query
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    return identified(table(spark, folder).select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
 @query
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(documents(spark, folder))
+    return near_duplicates(table(spark, folder))
+
+
+@query
+def op3_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = remove_repeats(table(spark, folder).select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", sha256("kept_bytes").alias("kept_sha256"))
+
+
+@query
+def op4_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
+
+
+_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+ORACLE["op4_url_rules"] = f"""
+WITH rules(rh, rp, rv) AS (VALUES {_RULES_SQL}),
+parts AS (
+    SELECT page_id, url, row_number() OVER () AS r,
+        translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path
+    FROM pages
+),
+fits AS (
+    SELECT p.*, rh || rp AS rule, rv,
+        row_number() OVER (PARTITION BY r ORDER BY length(rh || rp) DESC NULLS LAST, length(rh) DESC, rh || rp DESC) AS k
+    FROM parts p LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+)
+SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM fits WHERE k = 1
+"""
+
+
+@query
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = benchmark_hits(table(spark, folder).select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        sha256(F.array_join("items", ",")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return assign_shards(table(spark, folder).select("doc_id", "text"), 16).drop("text")
+
+
+@query
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder)).select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept")
