@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidings.llm.common import new_path
+from tidings.llm.common import materialize, new_path, row_key
 from tidings.llm.decontaminate import benchmark_hits
 from tidings.llm.language import identified
 from tidings.llm.mixing import mix
@@ -22,9 +23,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat an id with the same text are one group as well and leave one row.
     """
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "text"])
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    rows = materialize(kept.groupBy("_id", "_hash").count(), "kept")
+    key = row_key("doc_id", "text")[1]
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k2") == F.col("_hash"))
+    stay = docs.withColumn("_k2", key).join(rows.drop("count"), same, "left_semi").drop("_k2")
+    # only a table that repeats rows is dealt anew
+    return stay if rows.where("count > 1").isEmpty() else stay.dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,7 +208,7 @@ def long_list_links(long: DataFrame, texts: DataFrame, block_rows: int = 1_000)
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
+    """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``text_hash``.
 
     ``component_id`` is the smallest id reachable over links, the row's own included; ``kept`` says
     that the row has that id. Null and blank texts have no shingles and no links. Null ids never
@@ -255,8 +255,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     labelled = classes.select("cls", "root").join(known.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "root", label.alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("root").alias("component_id"))
     found = labelled.join(smallest, "label").select("cls", "component_id")
-    out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(found, "cls", "left")
+    out = rows.select("id", "k2", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(found, "cls", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(
-        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
+        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"),
+        F.col("k2").alias("text_hash"),
     )

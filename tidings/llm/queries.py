@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings.llm.decontaminate import benchmark_hits
+from tidings.llm.fingerprints import fingerprints
 from tidings.llm.language import identified
 from tidings.llm.mixing import mix
 from tidings.llm.near_dedup import near_duplicates
 from tidings.llm.repeats import remove_repeats
+from tidings.llm.secrets import BASE_RULES, RULES, find_secrets, joined_spans
 from tidings.llm.sharding import assign_shards
 from tidings.llm.url_rules import judge_urls
 
@@ -82,6 +84,16 @@ SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM fits WHE
 """
 
 
+@query
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_secrets(table(spark, folder).select("doc_id", "text"))
+    base = {r.kind: f"spans_{r.kind}" for r in BASE_RULES}
+    return found.select(
+        "doc_id", *[F.size(c).cast("long").alias(f"n_{kind}") for kind, c in base.items()],
+        sha256(joined_spans(base)).alias("base_sha256"), joined_spans({r.kind: f"spans_{r.kind}" for r in RULES}).alias("spans"),
+    )
+
+
 @query
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = benchmark_hits(table(spark, folder).select("doc_id", "text"), table(spark, folder, "benchmark"))
@@ -91,6 +103,11 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints(table(spark, folder).select("doc_id", "text"))
+
+
 @query
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return assign_shards(table(spark, folder).select("doc_id", "text"), 16).drop("text")
