@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidings.llm.decontaminate import benchmark_hits
 from tidings.llm.fingerprints import fingerprints
 from tidings.llm.language import identified
+from tidings.llm.lm_scores import score_documents
 from tidings.llm.mixing import mix
 from tidings.llm.near_dedup import near_duplicates
 from tidings.llm.repeats import remove_repeats
@@ -84,6 +85,34 @@ SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM fits WHE
 """
 
 
+@query
+def op5_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    found = score_documents(table(spark, folder))
+    return found.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("mean_score", 6).alias("mean_score"))
+
+
+ORACLE["op5_lm_scores"] = """
+WITH w AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\x09-\\x0D]+') AS words
+    FROM documents
+),
+marked AS (SELECT r, doc_id, len(words) AS n_words, CASE WHEN len(words) > 0 THEN [' begin'] || words || [' end'] ELSE [] END AS m FROM w),
+pairs AS (SELECT r, unnest(m[:-2]) AS a, unnest(m[2:]) AS b FROM marked WHERE n_words > 0),
+c1 AS (SELECT a, count(*) AS n FROM pairs GROUP BY a),
+c2 AS (SELECT b, count(*) AS n FROM pairs GROUP BY b),
+c12 AS (SELECT a, b, count(*) AS n FROM pairs GROUP BY a, b),
+t AS (SELECT count(*) AS n FROM pairs),
+s AS (
+    SELECT r, sum(ln(CASE WHEN c12.n >= 2 THEN c12.n / c1.n ELSE 0.4 * c2.n / t.n END)) AS score
+    FROM pairs JOIN c12 USING (a, b) JOIN c1 USING (a) JOIN c2 USING (b) CROSS JOIN t GROUP BY r
+)
+SELECT doc_id, n_words, round(coalesce(score, 0.0), 4) AS score,
+    CASE WHEN n_words > 0 THEN round(score / (n_words + 1), 6) END AS mean_score
+FROM marked LEFT JOIN s USING (r)
+"""
+
+
 @query
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = find_secrets(table(spark, folder).select("doc_id", "text"))
