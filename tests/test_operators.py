@@ -250,10 +250,12 @@ def test_summaries_take_the_first_documents(spark):
 
 def test_prompts(spark):
     ex = spark.createDataFrame([(2, "<p>Two é</p>", "n2"), (1, "One\n one", "n1")], "o int, r string, n string")
-    block = scoring.example_block(ex, "o", "r", "n")
-    p = scoring.prompts(spark.createDataFrame([("T" * 2000,)], "r string"), "r", block).first()["prompt"]
-    assert p.index("EXAMPLE: 1") < p.index('"One one"') < p.index("EXAMPLE: 2") and "Two e" in p
-    assert "T" * 1000 in p and "T" * 1001 not in p and p.endswith("NEWS SENTENCES:")
+    block = scoring.example_block(ex, "o", "r", "n", template="{sentences} from {release}")
+    targets = spark.createDataFrame([("T" * 2000,)], "r string")
+    p = scoring.prompts(targets, "r", block, template="<{examples}>{other}<{release}>").first()["prompt"]
+    assert p == "<n1 from One one\n\nn2 from  Two e >{other}<" + "T" * 2000 + ">"
+    cut = scoring.prompts(targets, "r", scoring.example_block(ex, "o", "r", "n", first=1), release_chars=1000).first()["prompt"]
+    assert "One one" in cut and "Two" not in cut and "T" * 1000 in cut and "T" * 1001 not in cut
 
 
 def test_marked_pipeline(spark):

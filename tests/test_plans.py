@@ -216,10 +216,12 @@ def test_captures_cannot_multiply_articles(spark):
     assert [r.article_url for r in joins.unknown_crawl_prefixes(arts).collect()] == ["com,zzz)/b"]
 
 
-def test_archive_lists_go_on_in_parts(spark):
+def test_archive_lists_are_whole_or_an_error(spark):
     pairs = spark.range(25).select(F.lit("T").alias("target"), F.col("id").cast("string").alias("archive"))
-    lists = joins.archive_lists(pairs, list_rows=5).collect()
-    assert len(lists) > 1 and sorted(int(x) for r in lists for x in r.archive_list) == list(range(25))
+    lists = joins.archive_lists(pairs).collect()
+    assert len(lists) == 1 and sorted(int(x) for x in lists[0].archive_list) == list(range(25))
+    with pytest.raises(Exception, match="a list of .* bytes"):
+        joins.archive_lists(pairs, list_bytes=50).collect()
 
 
 # ---- windows ---------------------------------------------------------------------------------------------
@@ -239,14 +241,33 @@ def test_last_versions_need_a_second_one(spark):
     assert {x.id for x in win.first_versions(df, "r", "t", "id").collect()} == {"a", "c"}
 
 
-def test_long_lists_go_on_in_order(spark):
+def test_lists_are_whole_or_an_error(spark):
     from tidings.operators import aggregates as agg
 
     df = spark.createDataFrame([(1, i) for i in range(23)] + [(2, 5), (None, 1)], "k int, v int")
-    out = agg.ordered_lists(df, "k", "v", "v", list_rows=5).collect()
-    parts = sorted([(r.part, r.v) for r in out if r.k == 1])
-    assert [len(v) for _, v in parts] == [5, 5, 5, 5, 3] and sum((v for _, v in parts), []) == list(range(23))
-    assert [(r.part, r.v) for r in out if r.k != 1] == [(0, [5]), (0, [1])] or len(out) == 7
+    out = agg.ordered_lists(df, "k", "v", "v")
+    assert out.columns == ["k", "v"]
+    assert {r.k: r.v for r in out.collect()} == {1: list(range(23)), 2: [5], None: [1]}
+    with pytest.raises(Exception, match="a list of .* bytes"):
+        agg.ordered_lists(df, "k", "v", "v", list_bytes=100).collect()
+
+
+def test_bridges_never_multiply(spark):
+    from tidings.operators.reports import star_report
+
+    facts = spark.createDataFrame([(1,), (2,)], "k int")
+    bridge = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(5)], "k int, v int")
+    out = star_report(facts, {}, {"a": (bridge, "k", "v", "v"), "b": (bridge, "k", "v", "v")}).collect()
+    assert sorted(tuple(r) for r in out) == [(k, "0,1,2,3,4", "0,1,2,3,4") for k in (1, 2)]
+
+
+@pytest.mark.parametrize("how", [{}, {"reverse": True}, {"inclusive": True}])
+def test_null_keys_match_nothing(spark, how):
+    at = lambda h: datetime(2024, 1, 1, h)
+    probes = spark.createDataFrame([(None, 1, at(12)), ("a", 1, at(12)), ("a", None, at(12)), ("b", 1, None)], "k string, j int, t timestamp")
+    facts = spark.createDataFrame([(None, 1, at(11), "x"), (None, 1, at(13), "x"), ("a", 1, at(11), "y"), ("a", 1, at(13), "z"), ("a", None, at(11), "x"), ("b", 1, None, "x")], "k string, j int, u timestamp, p string")
+    found = {(r.k, r.j): r.found for r in asof.last_before(probes, facts, ["k", "j"], "t", "u", "p", **how).collect()}
+    assert found == {(None, 1): None, ("a", 1): "z" if "reverse" in how else "y", ("a", None): None, ("b", 1): None}
 
 
 def test_fitting_bucket(spark):

@@ -96,10 +96,11 @@ def readable_sentence(sentence: Column) -> Column:
     return (F.length(sentence) < 1000) & (line_ends < 10) & (n_words / (line_ends + 1) > 4)
 
 
-def prepare_for_resolution(sents: Column, max_words: int = 3000) -> Column:
-    """One text out of sentences: joined, ``' .'`` closed up, one line, at most ``max_words`` words."""
+def prepare_for_resolution(sents: Column, max_words: int | None = None) -> Column:
+    """One text out of sentences: joined, ``' .'`` closed up, one line, at most ``max_words`` words if given."""
     text = F.replace(F.replace(F.array_join(sents, " "), F.lit(" ."), F.lit(".")), F.lit("\n"), F.lit(" "))
-    return F.array_join(F.slice(words(text), 1, max_words), " ")
+    found = words(text)
+    return F.array_join(found if max_words is None else F.slice(found, 1, max_words), " ")
 
 
 def count_pieces(text: Column, part: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.plans.shape import unpack
-from tidings.plans.skew import LIST_ROWS, list_parts, row_numbers, running_sum, top_rows
+from tidings.plans.skew import LIST_BYTES, bytes_of, row_numbers, running_sum, top_rows, whole_list
 
 
 
@@ -131,13 +131,13 @@ def frequent_by_documents(
     rows: DataFrame,
     n_docs: Column | int,
     already: DataFrame | None = None,
-    top: int | None = 50,
+    top: int | None = None,
     above: float = 0.03,
 ) -> DataFrame:
     """Entities found in more than a share of the documents.
 
-    ``rows`` are distinct (doc, ent). Only the ``top`` most frequent that are not excluded
-    already come into question; ``top=None`` looks at all. The exclusion set of several files
+    ``rows`` are distinct (doc, ent). With ``top``, only that many most frequent ones that are not
+    excluded already come into question. The exclusion set of several files
     is the union of what each file yields.
     """
     counts = rows.groupBy("ent").agg(_count("_n"))
@@ -150,43 +150,42 @@ def frequent_by_documents(
 
 
 # ---- lists per document ---------------------------------------------------------------------------
-# Every list operator returns a ``part`` column: 0, unless a key has more than ``list_rows`` rows.
+# A list is for what one key holds by its nature, such as the sentences of a document. One beyond ``list_bytes`` is an error.
 def _packed(
-    df: DataFrame, keys: list[str], order: str, columns: Sequence[str], list_rows: int
+    df: DataFrame, keys: list[str], order: str, columns: Sequence[str], list_bytes: int
 ) -> DataFrame:
     item = F.struct(F.col(order).alias("_o"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)])
-    parts = list_parts(df.select(*keys, order, *[c for c in columns if c not in (*keys, order)]), keys, [order, *columns], list_rows=list_rows)
-    return parts.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(item)).alias("_s"))
+    return df.groupBy(*keys).agg(whole_list(item, bytes_of(df, [order, *columns]), list_bytes).alias("_s"))
 
 
 def ordered_lists(
-    df: DataFrame, key: str | Sequence[str], order: str, *columns: str, list_rows: int = LIST_ROWS
+    df: DataFrame, key: str | Sequence[str], order: str, *columns: str, list_bytes: int = LIST_BYTES
 ) -> DataFrame:
     """Columns of a document's rows as parallel lists in sentence order."""
     keys = [key] if isinstance(key, str) else list(key)
-    packed = _packed(df, keys, order, columns, list_rows)
-    return packed.select(*keys, "part", *[F.col("_s").getField(f"_v{i}").alias(c) for i, c in enumerate(columns)])
+    packed = _packed(df, keys, order, columns, list_bytes)
+    return packed.select(*keys, *[F.col("_s").getField(f"_v{i}").alias(c) for i, c in enumerate(columns)])
 
 
-def collect_by_key(df: DataFrame, key: str, value: str, list_rows: int = LIST_ROWS) -> DataFrame:
+def collect_by_key(df: DataFrame, key: str, value: str, list_bytes: int = LIST_BYTES) -> DataFrame:
     """List of a key's non-null values, sorted."""
-    return ordered_lists(df.where(F.col(value).isNotNull()), key, value, value, list_rows=list_rows)
+    return ordered_lists(df.where(F.col(value).isNotNull()), key, value, value, list_bytes=list_bytes)
 
 
-def union_lists(df: DataFrame, key: str, lists: str, list_rows: int = LIST_ROWS) -> DataFrame:
+def union_lists(df: DataFrame, key: str, lists: str, list_bytes: int = LIST_BYTES) -> DataFrame:
     """Distinct union of a list column per key, made distinct before anything is collected."""
-    return collect_by_key(unpack(df, [key], F.col(lists), lists).distinct(), key, lists, list_rows)
+    return collect_by_key(unpack(df, [key], F.col(lists), lists).distinct(), key, lists, list_bytes)
 
 
 def concat_by_key(
     df: DataFrame, key: str | Sequence[str], value: str, order: str, separator: str = ",", name: str | None = None,
-    list_rows: int = LIST_ROWS,
+    list_bytes: int = LIST_BYTES,
 ) -> DataFrame:
     """Values of a key as one string, in a given order."""
     keys = [key] if isinstance(key, str) else list(key)
-    packed = _packed(df.where(F.col(value).isNotNull()), keys, order, [value], list_rows)
+    packed = _packed(df.where(F.col(value).isNotNull()), keys, order, [value], list_bytes)
     strings = F.col("_s").getField("_v0").cast("array<string>")
-    return packed.select(*keys, "part", F.array_join(strings, separator).alias(name or value))
+    return packed.select(*keys, F.array_join(strings, separator).alias(name or value))
 
 
 def passages_by_label(df: DataFrame, doc: str, label: str, sentence: str, order: str) -> DataFrame:
@@ -249,6 +248,7 @@ def year_stats(df: DataFrame, key: str, time: str) -> DataFrame:
 
 
 # ---- two-level roll-up of pair scores ------------------------------------------------------------------
+# fixed values: methods per score and level
 LEVEL_1 = {
     "contradiction": ("top_k_mean", 3), "entailment": ("top_k_mean", 3), "neutral": ("bottom_k_mean", 3),
 }

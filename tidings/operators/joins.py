@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidings.functions import dates, urls
 from tidings.plans.asof import DAY, fitting_bucket, last_before
 from tidings.plans.shape import unpack
-from tidings.plans.skew import HOT_ROWS, LIST_ROWS, list_parts, salted_join, top_rows
+from tidings.plans.skew import HOT_ROWS, LIST_BYTES, bytes_of, salted_join, top_rows, whole_list
 
 
 # ---- lookups -----------------------------------------------------------------------------------
@@ -172,8 +172,7 @@ def pair_sentences(
     """
     # few mapping rows become very many pairs, which Spark cannot tell from their size: keep them spread
     spark = mapping.sparkSession
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = partitions or min(most, max(spark.sparkContext.defaultParallelism, mapping.count() // PAIRS_PER_TASK + 1))
+    n = partitions or max(spark.sparkContext.defaultParallelism, mapping.count() // PAIRS_PER_TASK + 1)
     pairs = mapping.select("article_url", "press_release_url").repartition(n, "article_url", "press_release_url").distinct()
     n_sents = release_sents.groupBy("press_release_url").agg(F.count(F.lit(1)).alias("_n"))
     load = pairs.join(n_sents, "press_release_url").groupBy("article_url").agg(F.sum("_n").alias("_n"))
@@ -242,14 +241,9 @@ def entity_cosine(targets: DataFrame, archive: DataFrame, hot_rows: int = HOT_RO
     )
 
 
-def archive_lists(pairs: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
-    """The pairs of ``entity_overlap`` packed as sorted lists per target.
-
-    A list holds at most ``list_rows`` addresses; a longer one goes on in the next ``part``.
-    """
-    return list_parts(pairs, ["target"], ["archive"], list_rows=list_rows).groupBy("target", "part").agg(
-        F.sort_array(F.collect_list("archive")).alias("archive_list")
-    )
+def archive_lists(pairs: DataFrame, list_bytes: int = LIST_BYTES) -> DataFrame:
+    """The pairs of ``entity_overlap`` packed as sorted lists per target; one beyond ``list_bytes`` is an error."""
+    return pairs.groupBy("target").agg(whole_list(F.col("archive"), bytes_of(pairs, ["archive"]), list_bytes).alias("archive_list"))
 
 
 def exploded_key_chain(
@@ -382,7 +376,7 @@ def nearest_capture(
 
 
 # ---- named joins of one report each --------------------------------------------------------------------------
-def bundle_pairs(releases: DataFrame, stories: DataFrame, on: str = "bunch_id") -> DataFrame:
+def bundle_pairs(releases: DataFrame, stories: DataFrame, on: str = "bundle_id") -> DataFrame:
     """Releases x stories of one bundle, with the columns of both sides prefixed."""
     prefix = lambda df, p: df.withColumnsRenamed({c: f"{p}_{c}" for c in df.columns if c != on})
     return salted_join(prefix(stories, "story"), prefix(releases, "release"), [on])

@@ -8,6 +8,7 @@ rules: deterministic, testable, and a stand-in for a model the caller brings.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -19,6 +20,7 @@ from tidings import lexicon
 from tidings.functions import arrays, text
 from tidings.operators.aggregates import passages_by_label
 from tidings.plans.shape import hold, unpack
+from tidings.plans.skew import whole_list
 
 Scorer = Callable[..., list]
 ScorerFactory = Callable[[], Scorer]
@@ -318,22 +320,21 @@ def pronoun_resolver() -> Scorer:
 
 
 def resolve_coreference(
-    docs: DataFrame, sents: str = "sent_lists", factory: ScorerFactory = pronoun_resolver, max_words: int = 3000
+    docs: DataFrame, sents: str = "sent_lists", factory: ScorerFactory = pronoun_resolver, max_words: int | None = None
 ) -> DataFrame:
-    """Sentences with mentions replaced, after the text was put together and cut to length."""
+    """Sentences with mentions replaced, after the text was put together (and cut to ``max_words``, if given)."""
     ready = docs.withColumn("_text", text.prepare_for_resolution(F.col(sents), max_words))
     out = T.StructType([T.StructField("coref_resolved_sents", T.ArrayType(T.StringType()))])
     return score_batches(ready, ["_text"], out, factory).drop("_text")
 
 
 def extract_entities(
-    df: DataFrame, body: str, n_sentences: int = 5, gazetteer: DataFrame | None = None, row_id: str | None = None,
+    df: DataFrame, body: str, n_sentences: int | None = None, gazetteer: DataFrame | None = None, row_id: str | None = None,
     name: str = "ents",
 ) -> DataFrame:
-    """Entities of the first sentences: capitalised phrases, kept only if listed when a gazetteer is given."""
-    head = F.array_join(
-        text.first_sentences(text.sentences(F.replace(F.col(body), F.lit("\n"), F.lit(" "))), n_sentences), " "
-    )
+    """Entities of a text, or of its first sentences: capitalised phrases, kept only if listed when a gazetteer is given."""
+    found = text.sentences(F.replace(F.col(body), F.lit("\n"), F.lit(" ")))
+    head = F.array_join(found if n_sentences is None else text.first_sentences(found, n_sentences), " ")
     found = df.withColumn(name, text.capitalised_phrases(head))
     if gazetteer is None:
         return found
@@ -346,10 +347,10 @@ def extract_entities(
 
 
 def summarise_groups(
-    rows: DataFrame, doc: str, label: str, sentence: str, order: str, first_docs: int | None = 100,
+    rows: DataFrame, doc: str, label: str, sentence: str, order: str, first_docs: int | None = None,
     summary: Callable[[Column], Column] = lambda passage: F.get(text.sentences(passage), 0),
 ) -> DataFrame:
-    """One summary per document and discourse label, for the first documents by id (None: all)."""
+    """One summary per document and discourse label, for all documents or the first by id."""
     if first_docs is not None:
         chosen = rows.select(doc).distinct().orderBy(doc).limit(first_docs)
         rows = rows.join(chosen, doc, "left_semi")
@@ -363,9 +364,9 @@ def sentence_documents(df: DataFrame, body: str, keep: Callable[[Column], Column
     return hold(with_sents, word_lists=F.transform("sent_lists", text.words))
 
 
-def sentence_chain(df: DataFrame, body: str, low: int = 1, high: int = 16_383, partitions: int | None = None):
+def sentence_chain(df: DataFrame, body: str, low: int = 1, high: int | None = None, partitions: int | None = None):
     """Length filter, spread, sentences, non-empty, junk filter: the whole preparation as one plan."""
-    sized = df.where(F.length(body).between(low, high))
+    sized = df.where(F.length(body) >= low if high is None else F.length(body).between(low, high))
     spread = sized.repartition(partitions) if partitions else sized
     return filter_errors(sentence_documents(spread, body).where(F.size("sent_lists") > 0), words="word_lists")
 
@@ -377,36 +378,41 @@ def one_line_text(html_or_text: Column) -> Column:
     return F.regexp_replace(F.replace(text.transliterate(bare), F.lit("\n"), F.lit(" ")), " +", " ")
 
 
-def example_block(examples: DataFrame, order: str, release: str, sentences: str, first: int = 50) -> DataFrame:
-    """The first examples as one numbered text: release cut to 500 characters, and its sentences."""
-    ranked = examples.orderBy(order).limit(first)
-    item = F.struct(
-        F.col(order).alias("o"), F.substring(one_line_text(F.col(release)), 1, 500).alias("r"), F.col(sentences).alias("s")
-    )
-    packed = ranked.agg(F.sort_array(F.collect_list(item)).alias("_e"))  # at most ``first`` rows
-    return packed.select(
-        F.array_join(
-            F.transform(
-                "_e",
-                lambda e, i: F.concat(
-                    F.lit("-------------EXAMPLE: "), (i + 1).cast("string"), F.lit(':\nPRESS RELEASE: "'), e["r"],
-                    F.lit('"\nNEWS SENTENCES: "'), e["s"], F.lit('"'),
-                ),
-            ),
-            "\n\n",
-        ).alias("examples")
-    )
+PROMPT = "Write the news coverage of an announcement, sentence by sentence.\n\n{examples}\n\nAnnouncement: {release}\nCoverage:"
+EXAMPLE = "Announcement: {release}\nCoverage: {sentences}"
 
 
-def prompts(targets: DataFrame, release: str, block: DataFrame, name: str = "prompt") -> DataFrame:
-    """One few-shot prompt per target release, cut to 1000 characters; all share the example block."""
-    shared = block.select("examples").scalar()
-    return targets.withColumn(
-        name,
-        F.concat(
-            F.lit("You are a journalist who writes news based on press releases.\n\n"
-                  "Here are some examples of what you need to do:\n\n"),
-            shared, F.lit("\n\n-------------Now it's your turn:\n\nPRESS RELEASE: "),
-            F.substring(one_line_text(F.col(release)), 1, 1000), F.lit("\n\nNEWS SENTENCES:"),
-        ),
-    )
+def _filled(template: str, **parts: Column) -> Column:
+    """A template with columns in the place of its ``{names}``."""
+    pieces = _pieces(template)
+    return F.concat(*[parts[p[1:-1]] if p[:1] == "{" and p[1:-1] in parts else F.lit(p) for p in pieces if p])
+
+
+def _pieces(template: str) -> list[str]:
+    return re.split(r"(\{\w+\})", template)
+
+
+def example_block(
+    examples: DataFrame, order: str, release: str, sentences: str, first: int | None = None, release_chars: int | None = None,
+    template: str = EXAMPLE,
+) -> DataFrame:
+    """Examples in order as one text. A prompt holds a few: hand over those few, or name how many to take.
+
+    With ``release_chars`` the release of an example is cut to that many characters.
+    """
+    body = one_line_text(F.col(release))
+    shown = body if release_chars is None else F.substring(body, 1, release_chars)
+    filled = _filled(template, release=F.coalesce(shown, F.lit("")), sentences=F.coalesce(F.col(sentences), F.lit("")))
+    ranked = examples.select(F.col(order).alias("o"), filled.alias("e"))
+    ranked = ranked if first is None else ranked.orderBy("o", "e").limit(first)
+    packed = ranked.agg(whole_list(F.struct("o", "e"), F.octet_length("e").cast("long")).alias("_e"))
+    return packed.select(F.array_join(F.col("_e.e"), "\n\n").alias("examples"))
+
+
+def prompts(
+    targets: DataFrame, release: str, block: DataFrame, name: str = "prompt", release_chars: int | None = None, template: str = PROMPT
+) -> DataFrame:
+    """One few-shot prompt per target release; all share the example block."""
+    body = one_line_text(F.col(release))
+    shown = body if release_chars is None else F.substring(body, 1, release_chars)
+    return targets.withColumn(name, _filled(template, examples=block.select("examples").scalar(), release=F.coalesce(shown, F.lit(""))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def last_before(
 
     ``reverse`` looks for the first later fact instead, ``inclusive`` admits equal times. Of
     several facts at one time the one with the smallest payload wins; probes without a hit
-    get null. Probes and facts are merged into one time line per (key, time bucket), so the
+    get null, and so do probes with a null in their key or no time: null keys match nothing. Probes and facts are merged into one time line per (key, time bucket), so the
     work is linear in their sum and a hot key is cut by time. A bucket learns what happened
     before it from a table with one row per (key, bucket).
     """
@@ -52,7 +53,8 @@ def last_before(
         *on, tick(probe_time).alias("_t"), F.lit(probe_rank).alias("_rank"),
         F.struct(*[F.col(c) for c in probes.columns]).alias("_probe"),
     )
-    f = facts.where(F.col(fact_time).isNotNull()).select(
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on], F.col(fact_time).isNotNull())
+    f = facts.where(known).select(
         *on, tick(fact_time).alias("_t"), F.lit(fact_rank).alias("_rank"), F.col(payload).alias("_payload")
     )
     line = p.unionByName(f, allowMissingColumns=True).withColumn(

@@ -153,24 +153,25 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
 
 
-LIST_ROWS = 1_000_000  # a list of one key holds at most this many rows
+LIST_BYTES = 1 << 30  # what the values of one list may add up to; Spark cannot hold twice that in one row
 
 
-def list_parts(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "part", list_rows: int = LIST_ROWS
-) -> DataFrame:
-    """Number the parts that the rows of a key are to be collected in, in order.
+def whole_list(item: Column, size: Column, list_bytes: int = LIST_BYTES) -> Column:
+    """Aggregate: all of a key's items, sorted.
 
-    Keys of ordinary size are one part, number 0. A longer key goes on in part 1, 2 and so on,
-    so that no list, and no task that builds one, holds more than ``list_rows`` rows.
+    For keys whose lists are bounded by what they stand for, a document say. A list of more than
+    ``list_bytes`` (``size``: bytes of an item) is an error, never a part of the list.
     """
-    keys = list(keys)
-    hot = materialize(hot_keys(df, keys, list_rows).drop("_shares"), "long-lists")
-    if hot.isEmpty():
-        return df.withColumn(name, F.lit(0))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    hot = F.broadcast(hot.alias("r"))  # at most rows / list_rows keys
-    short = df.alias("l").join(hot, same, "left_anti").withColumn(name, F.lit(0))
-    ranked = row_numbers(df.alias("l").join(hot, same, "left_semi"), order, keys, "_at", list_rows)
-    long = ranked.withColumn(name, F.floor((F.col("_at") - 1) / list_rows).cast("int")).drop("_at")
-    return short.unionByName(long)
+    total = F.sum(size)
+    message = F.concat(F.lit("a list of "), total.cast("string"), F.lit(f" bytes; at most {list_bytes} fit: keep these rows in long form"))
+    return F.when(total > list_bytes, F.raise_error(message)).otherwise(F.sort_array(F.collect_list(item)))
+
+
+def bytes_of(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Bytes that the values of a row take, roughly."""
+    sizes = []
+    for c in columns:
+        kind = df.schema[c].dataType
+        plain = F.octet_length(c) if isinstance(kind, (T.StringType, T.BinaryType)) else F.length(F.to_json(F.struct(c))) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else F.lit(8)
+        sizes.append(F.coalesce(plain, F.lit(0)))
+    return sum(sizes, F.lit(16)).cast("long")

@@ -63,9 +63,9 @@ def read_document_lists(spark: SparkSession, paths: Paths, record: str, columns:
 
 def read_csv(
     spark: SparkSession, paths: Paths, schema: str, columns: Sequence[str] | None = None, drop: Sequence[str] = (),
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """CSV with a header; ``drop`` takes index columns out."""
+    """CSV with a header; ``drop`` takes index columns out. Files with line ends in quotes need ``multi_line`` and are not split."""
     reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", multi_line)
     df = reader.csv(_paths(paths)).drop(*drop)
     return df.select(*columns) if columns else df

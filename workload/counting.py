@@ -79,7 +79,7 @@ def frequent_terms_by_mention(t):
 @query(f"""
 WITH tok AS (SELECT DISTINCT doc_id, unnest({words_sql('text')}) AS ent FROM documents),
 shares AS (SELECT ent, count(*) / (SELECT count(*) FROM documents) AS share FROM tok WHERE ent NOT IN ('the', 'of')
-           GROUP BY ent ORDER BY count(*) DESC, ent LIMIT 50)
+           GROUP BY ent)
 SELECT ent, round(share, 8) AS share FROM shares WHERE share > 0.03""")
 def frequent_terms_by_document(t):
     from tidings.operators.joins import entity_rows
@@ -155,7 +155,7 @@ SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), '|||' ORDER BY o_order
 FROM orders GROUP BY o_custkey""")
 def group_concat(t):
     ordered = t.orders.select("o_custkey", "o_orderkey", F.struct("o_orderdate", "o_orderkey").alias("o"))
-    return agg.concat_by_key(ordered, "o_custkey", "o_orderkey", "o", "|||", "keys").drop("part")
+    return agg.concat_by_key(ordered, "o_custkey", "o_orderkey", "o", "|||", "keys")
 
 
 @query("""

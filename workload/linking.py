@@ -379,7 +379,7 @@ def viewer_graph(t):
 
 @query(f"""
 WITH m AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS main_event FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-f AS (SELECT conv_id, text FROM conversations WHERE turn = 0 ORDER BY conv_id LIMIT 50)
+f AS (SELECT conv_id, text FROM conversations WHERE turn = 0)
 SELECT conv_id, f.text, main_event FROM f JOIN m USING (conv_id)""")
 def main_event_pairs(t):
     releases = t.conversations.where("turn = 0").select("conv_id", "text")

@@ -134,10 +134,10 @@ def custom_order(t):
 
 
 @query(f"""
-SELECT doc_id, len({words_sql('text')}) AS n FROM documents ORDER BY n DESC, doc_id LIMIT 50""")
+SELECT doc_id, len({words_sql('text')}) AS n FROM documents""")
 def longest_documents(t):
     rows = t.documents.select("doc_id", text.tokens(F.col("text")).alias("w"))
-    out = win.sort_by_length(rows, "w", "doc_id").limit(50)
+    out = win.sort_by_length(rows, "w", "doc_id")
     return out.select("doc_id", F.size("w").cast("long").alias("n"))
 
 
@@ -231,9 +231,9 @@ WITH codes AS (SELECT o_custkey, list(DISTINCT o_orderpriority) AS c FROM orders
 SELECT o_custkey FROM codes WHERE NOT list_has_any(c, ['1-URGENT']) AND list_has_any(c, ['2-HIGH', '5-LOW'])""")
 def code_overlap_filter(t):
     codes = t.orders.groupBy("o_custkey").agg(
-        F.collect_set(F.struct(F.col("o_orderpriority").alias("nicode_val"))).alias("nicodes")
+        F.collect_set(F.struct(F.col("o_orderpriority").alias("code"))).alias("codes")
     )
-    values = F.transform("nicodes", lambda x: x["nicode_val"])
+    values = F.transform("codes", lambda x: x["code"])
     return pred.code_filter(codes, values, ["1-URGENT"], ["2-HIGH", "5-LOW"]).select("o_custkey")
 
 

@@ -34,7 +34,7 @@ def csv_round_trip(t):
     """CSV with quotes and line ends in a field; columns chosen on reading."""
     path = _path(t, "csv")
     writers.write_csv(t.documents.withColumn("index", F.col("doc_id")), path, "gzip")
-    return readers.read_csv(t._spark, path, f"{DOCUMENT}, index long", ["doc_id", "lang", "n_chars"], drop=["index"])
+    return readers.read_csv(t._spark, path, f"{DOCUMENT}, index long", ["doc_id", "lang", "n_chars"], drop=["index"], multi_line=True)
 
 
 @query("""
@@ -111,7 +111,7 @@ def files_by_pattern(t):
     root = _path(t, "outlets")
     for lang in ("en", "fr", "de"):
         rows = t.documents.where(F.col("lang") == lang).select("doc_id")
-        writers.append_jsonl(rows.coalesce(1), f"{root}/{lang}-articles-parsed")
+        writers.append_jsonl(rows, f"{root}/{lang}-articles-parsed")
     df = t._spark.read.schema("doc_id long").option("recursiveFileLookup", True).json(f"{root}/*-articles-parsed")
     named = df.withColumn("_folder", F.element_at(F.split(F.input_file_name(), "/"), -2))
     from tidings.functions import urls
@@ -201,8 +201,8 @@ def compacted_files(t):
     small, large, single = _path(t, "small"), _path(t, "large"), _path(t, "single")
     rows = t.lineitem.select("l_orderkey", "l_linenumber")
     rows.repartition(16).write.parquet(small)
-    writers.compact(t._spark.read.parquet(small).coalesce(2), large, "parquet", 20_000)
-    writers.write_single_json(t._spark.read.parquet(large), single, files=2)
+    writers.compact(t._spark.read.parquet(small), large, "parquet", 20_000)
+    writers.write_single_json(t._spark.read.parquet(large), single, rows_per_file=40_000)
     return readers.read_jsonl(t._spark, single, "l_orderkey long, l_linenumber int")
 
 
@@ -274,7 +274,7 @@ def stream_new_pairs(t):
         F.col("o_custkey").cast("string").alias("article_url"), F.year("o_orderdate").cast("string").alias("press_release_url"), "o_orderkey"
     )
     for half in (0, 1):
-        pairs.where(F.col("o_orderkey") % 2 == half).drop("o_orderkey").coalesce(1).write.mode("append").json(landing)
+        pairs.where(F.col("o_orderkey") % 2 == half).drop("o_orderkey").write.mode("append").json(landing)
         stream = ingest.stream_files(t._spark, landing, "article_url string, press_release_url string")
         score = lambda d: d.withColumn("entailment", F.lit(0.0))
         ingest.stream_new_pairs(stream, score, out, state).awaitTermination()
@@ -287,6 +287,6 @@ SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_orderp
 def coded_archive_rows(t):
     """Archive rows with a struct array of codes, some to be left out, none required."""
     rows = t.orders.groupBy("o_custkey").agg(
-        F.collect_set(F.struct(F.col("o_orderpriority").alias("nicode_val"))).alias("nicodes")
+        F.collect_set(F.struct(F.col("o_orderpriority").alias("code"))).alias("codes")
     )
-    return code_filter(rows, F.col("nicodes.nicode_val"), ["1-URGENT"]).select("o_custkey")
+    return code_filter(rows, F.col("codes.code"), ["1-URGENT"]).select("o_custkey")

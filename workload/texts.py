@@ -75,10 +75,10 @@ def crawl_index(t):
     kept = pred.crawl_filter(
         parsed, F.col("url"), F.col("packet.status"), F.col("date"), url_part="click", statuses=[200], since="20240105"
     )
-    first = keep_first_duplicate(kept, ["url"], ["ts"])
-    enriched = enrich_packets(first).select("article_url", F.col("scrape_timestamp").alias("ts"))
-    return first.join(enriched.withColumnRenamed("ts", "_ts"), first["url"] == enriched["article_url"]).select(
-        "url", "ts", "date", "packet.status", "article_url"
+    first = keep_first_duplicate(kept, ["url"], ["ts", F.to_json("packet")])
+    stamp = F.col("scrape_timestamp")
+    return enrich_packets(first).select(
+        F.col("article_url").alias("url"), stamp.alias("ts"), stamp.alias("date"), "status", "article_url"
     )
 
 
@@ -231,10 +231,10 @@ def marked_sentences(t):
 @query(r"""
 WITH m AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
 SELECT conv_id, array_to_string((list_filter(regexp_split_to_array(replace(replace(t, ' .', '.'), chr(10), ' '), '\s+'),
-  lambda x: x <> ''))[1:200], ' ') AS prepared FROM m""")
+  lambda x: x <> '')), ' ') AS prepared FROM m""")
 def prepared_for_resolution(t):
     docs = ordered_lists(t.conversations, "conv_id", "turn", "text")
-    return docs.select("conv_id", text.prepare_for_resolution(F.col("text"), 200).alias("prepared"))
+    return docs.select("conv_id", text.prepare_for_resolution(F.col("text")).alias("prepared"))
 
 
 @query(f"""
