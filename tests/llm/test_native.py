@@ -111,7 +111,7 @@ def test_raking_meets_the_marginals(spark):
         "_s": spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.2)], "_s string, share double"),
         "_t": spark.createDataFrame([("x", 0.6), ("y", 0.4)], "_t string, share double"),
     }
-    found = rake(cells, targets, rounds=15).toPandas()
+    found = rake(cells, targets, tolerance=1e-9).toPandas()
     total = found.tokens.sum()
     assert abs(found.fitted.sum() - total) < 1e-6
     assert (found.groupby("_s").fitted.sum() / total - [0.5, 0.3, 0.2]).abs().max() < 1e-6

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tidings.llm.common import materialize, prepare
 
-ROUNDS = 10  # passes over the marginals
+ROUNDS = 50  # most passes over the marginals
+TOLERANCE = 1e-6  # change of a marginal that no longer counts
 CAPPING_ROUNDS = 12  # each fixes the cells whose probability has reached one
 MAX_BROADCAST_CELLS = 100_000
 
@@ -38,25 +39,36 @@ def form_topic(text_column: str) -> Column:
 def tempered(cells: DataFrame, column: str, power: float) -> DataFrame:
     """Target shares that lean from the present shares (power 1) to equal ones (power 0)."""
     held = cells.groupBy(column).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("_p")).where("_p > 0")
-    return held.crossJoin(F.broadcast(held.agg(F.sum("_p").alias("_all")))).select(column, (F.col("_p") / F.col("_all")).alias("share"))
+    total = held.agg(F.sum("_p")).first()[0] or 1.0
+    return held.select(column, (F.col("_p") / total).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` with ``fitted``: tokens scaled to the target shares of each column of ``targets``.
 
-    A value without a target keeps its tokens. Each round is stored, so a lost executor costs one round.
+    A value without a target keeps its tokens. Rounds end when the last one changed no marginal by more than
+    ``tolerance`` of itself. Each round is stored, so a lost executor costs one round. Joins are
+    shuffled: the number of cells has no bound.
     """
-    fitted = materialize(cells.withColumn("fitted", F.col("tokens").cast("double")), "cells")
-    total = fitted.agg(F.sum("fitted")).first()[0] or 0.0
-    targets = {column: materialize(share.withColumn("goal", F.col("share") * total).drop("share"), "targets") for column, share in targets.items()}
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    fitted = cells.withColumn("fitted", F.col("tokens").cast("double"))
+    for column, share in targets.items():
+        fitted = fitted.join(share.select(column, (F.col("share") * total).alias(f"{column}_goal")).hint("shuffle_hash"), column, "left")
+    fitted = materialize(fitted, "cells")
     for _ in range(rounds):
-        for column, goal in targets.items():
-            factor = fitted.groupBy(column).agg(F.sum("fitted").alias("_sum")).join(goal, column, "left").select(
-                column, F.when(F.col("goal").isNotNull() & (F.col("_sum") > 0), F.col("goal") / F.col("_sum")).otherwise(1.0).alias("_factor")
-            )
-            fitted = fitted.join(factor, column).withColumn("fitted", F.col("fitted") * F.col("_factor")).drop("_factor")
+        fitted = fitted.withColumn("_moved", F.lit(0.0))
+        for column in targets:
+            goal = F.first(f"{column}_goal")
+            factor = fitted.groupBy(column).agg(F.when(goal.isNotNull() & (F.sum("fitted") > 0), goal / F.sum("fitted")).otherwise(1.0).alias("_factor"))
+            fitted = fitted.join(factor.hint("shuffle_hash"), column).withColumns(
+                {"fitted": F.col("fitted") * F.col("_factor"), "_moved": F.greatest("_moved", F.abs(F.col("_factor") - 1))}
+            ).drop("_factor")
         fitted = materialize(fitted, "cells")
-    return fitted
+        moved = fitted.agg(F.max("_moved")).first()[0] or 0.0
+        fitted = fitted.drop("_moved")
+        if moved <= tolerance:
+            break
+    return fitted.drop(*[f"{column}_goal" for column in targets])
 
 
 def calibrated(fitted: DataFrame, rate: float) -> DataFrame:
