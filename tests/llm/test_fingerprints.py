@@ -45,6 +45,10 @@ def test_differences_are_recovered():
         a, b = keys[: only_a + common], keys[only_a:]
         left, right = difference(a, b)
         assert set(left.tolist()) == set(a.tolist()) - set(b.tolist()) and set(right.tolist()) == set(b.tolist()) - set(a.tolist())
+    short = [bytes([c]) for c in range(97, 123)] * 40
+    digests = paragraph_digests(b"\n".join(short))
+    assert len(digests) == len(short)  # copies of one-letter paragraphs are told apart
+    assert len(difference(digests, digests[:0])[0]) == len(short)
     assert likeness(paragraph_digests(b"x.\nx.\ny"), paragraph_digests(b"y\nx.")) == 2 / 3
     assert Sketch(paragraph_digests(b"a\nb"), 24).text(2) == Sketch(paragraph_digests(b"b\na"), 24).text(2)
 

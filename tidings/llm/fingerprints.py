@@ -9,6 +9,7 @@ the size, both tables are built again with twice the cells.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -17,9 +18,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidings.llm.common import as_bytes, map_batches, mixed, odd_numbers, prepare
+from tidings.llm.common import mixed, odd_numbers, prepare
 
 CELLS = 24  # of a fingerprint; a multiple of three
 ROWS_PER_BUCKET = 2_000  # documents in id order that are handled together
@@ -36,8 +38,9 @@ def paragraph_digests(text: bytes) -> np.ndarray:
     for part in PARAGRAPH_END.split(text):
         if part:
             n = seen[part] = seen.get(part, 0) + 1
-            digests.append(xxhash.xxh3_64_intdigest(part, n))
-    return np.array(digests, np.uint64)
+            digest = xxhash.xxh3_64_intdigest(part)
+            digests.append(digest if n == 1 else xxhash.xxh3_64_intdigest(b"%d %d" % (n, digest)))
+    return np.unique(np.array(digests, np.uint64))  # a key that came twice could not be peeled
 
 
 class Sketch:
@@ -100,17 +103,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return common / total if total else 1.0
 
 
-def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """``id``, ``text`` and ``next_text``: the text that follows in the order of ids (numbers), after the last the first.
+def in_id_order(docs: DataFrame, id_column: str, text_column: str, rows_per_bucket: int) -> DataFrame:
+    """Rows (``bucket``, ``tail``, ``id``, ``text``) sorted within ranges of ids, each range in one task.
 
-    Ranges of ids are dealt to tasks and sorted there. The first row of a range also goes to the range
-    before it, so texts move once. Null ids come first; rows of one id are in the order of their texts.
+    The first row of a range also goes to the range before it, as its ``tail``, so texts move once.
     """
-    spark = prepare(docs.sparkSession)
-    n = docs.count()
-    if not n:
-        return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(text_column).alias("next_text"))
-    buckets = min(MAX_BUCKETS, -(-n // rows_per_bucket))
+    spark, n = docs.sparkSession, docs.count()
+    buckets = max(1, min(MAX_BUCKETS, -(-n // rows_per_bucket)))
     splits = sorted(set(docs.approxQuantile(id_column, [i / buckets for i in range(1, buckets)], 0.3 / buckets))) if buckets > 1 else []
     bounds = np.array(splits, np.float64)
 
@@ -127,45 +126,52 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     both = F.array(F.struct("bucket", F.lit(False).alias("tail")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("tail")))
     own = F.slice(both, 1, F.when(F.col("id").eqNullSafe(F.col("first")), 2).otherwise(1))
     dealt = marked.select("id", "text", F.explode(own).alias("b")).select("b.bucket", "b.tail", "id", "text")
-    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "tail", "id", "text")
-    out = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(text_column).alias("next_text")).schema
-    arrow = to_arrow_schema(out)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "tail", "id", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the row before, still without its next
-        for batch in batches:
-            rows: list[tuple] = []
-            for bucket, tail, key, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if held is not None and held[0] == bucket:
-                    rows.append((held[1], held[2], text))
-                held = None if tail else (bucket, key, text)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], arrow.field(i).type) for i in range(3)], schema=arrow)
 
-    return ordered.mapInArrow(run, out)
+def with_following(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Lists of (id, text, following text) from the batches of ``in_id_order``."""
+    held = None  # the row before, still without what follows
+    for batch in batches:
+        rows = []
+        for bucket, tail, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if held is not None and held[0] == bucket:
+                rows.append((held[1], held[2], text))
+            held = None if tail else (bucket, key, text)
+        yield rows
+
+
+def edited_text(text: str, following: str) -> str:
+    """The last fourth of the code points (rounded down) replaced by as many of the following text's first ones."""
+    cut = len(text) // 4
+    return text[: len(text) - cut] + following[:cut]
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Fingerprints of every text and of an edited version of it, and how alike they and the next document are.
 
-    The edited text has the last fourth of the code points (rounded down) replaced by as many of the next document's first
-    ones. Per document: ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``,
-    ``near_edited``, ``near_next``. Null texts are empty. Equal texts have equal fingerprints. Repeated
-    rows follow each other. A single document is its own next; an empty table stays empty.
+    The next document is the one that follows in the order of ids (numbers; null ids first, rows of one id in the order of
+    their texts), after the last the first. Per document: ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``,
+    ``edited_fingerprint``, ``near_edited``, ``near_next``. Null texts are empty. Equal texts have equal
+    fingerprints. A single document is its own next; an empty table stays empty.
     """
-    cut = F.floor(F.length("text") / 4).cast("int")
-    text, following = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("next_text"), F.lit(""))
-    edited = F.concat(F.substring(text, F.lit(1), F.length(text) - cut), F.substring(following, F.lit(1), cut))
-    rows = with_next(docs, id_column, text_column, rows_per_bucket).select("id", text.alias("text"), following.alias("next_text")).withColumn("edited", edited)
+    prepare(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
+    out = T.StructType.fromDDL(
+        f"`{id_column}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    )
+    arrow = to_arrow_schema(out)
 
-    def run(ids, sizes, hashes, texts, edits, nexts):
-        out = [[], [], [], []]
-        for text, edit, after in zip(as_bytes(texts), as_bytes(edits), as_bytes(nexts)):
-            own, new, other = paragraph_digests(text), paragraph_digests(edit), paragraph_digests(after)
-            for column, x in zip(out, (Sketch(own, CELLS).text(len(own)), Sketch(new, CELLS).text(len(new)), likeness(own, new), likeness(own, other))):
-                column.append(x)
-        return [ids, sizes, hashes, *out]
-
-    columns = [F.col("id"), F.length("text").cast("long").alias("n"), F.sha2("edited", 256).alias("h"), "text", "edited", "next_text"]
-    schema = f"`{id_column}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return map_batches(rows, columns, run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in with_following(batches):
+            made = []
+            for key, text, following in rows:
+                edit = edited_text(text, following).encode()
+                own, new, other = paragraph_digests(text.encode()), paragraph_digests(edit), paragraph_digests(following.encode())
+                made.append((
+                    key, len(text), hashlib.sha256(edit).hexdigest(), Sketch(own, CELLS).text(len(own)), Sketch(new, CELLS).text(len(new)),
+                    likeness(own, new), likeness(own, other),
+                ))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+    return in_id_order(docs, id_column, text_column, rows_per_bucket).mapInArrow(run, out)
