@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,85 +21,94 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidings.llm.common import mixed, odd_numbers, prepare
+from tidings.llm.common import prepare
 
 CELLS = 24  # of a fingerprint; a multiple of three
 ROWS_PER_BUCKET = 2_000  # documents in id order that are handled together
 MAX_BUCKETS = 20_000  # bound on the split points that every task knows
-PLACES = odd_numbers(3, 8)
-# a paragraph ends with its line, or with a sentence if the line goes on
-PARAGRAPH_END = re.compile(rb"\n+|(?<=[.!?])[ \t]+")
+GROWTH = 4  # times as many cells for another try
+SENTENCE_ENDS = (b". ", b"! ", b"? ")  # a paragraph ends with its line, or with a sentence if the line goes on
 
 
-def paragraph_digests(text: bytes) -> np.ndarray:
-    """64-bit digests of the paragraphs of a text; the second of two equal ones differs from the first."""
+def paragraph_digests(text: bytes) -> list[int]:
+    """Distinct 64-bit digests of the paragraphs of a text; the second of two equal ones differs from the first."""
     seen: dict[bytes, int] = {}
-    digests = []
-    for part in PARAGRAPH_END.split(text):
+    digests = set()  # a key that came twice could not be peeled
+    for end in SENTENCE_ENDS:
+        text = text.replace(end, end[:1] + b"\n")
+    for part in text.split(b"\n"):
         if part:
             n = seen[part] = seen.get(part, 0) + 1
             digest = xxhash.xxh3_64_intdigest(part)
-            digests.append(digest if n == 1 else xxhash.xxh3_64_intdigest(b"%d %d" % (n, digest)))
-    return np.unique(np.array(digests, np.uint64))  # a key that came twice could not be peeled
-
-
-class Sketch:
-    """Cells with a count, the XOR of keys and the XOR of the keys' checks."""
-
-    def __init__(self, keys: np.ndarray, cells: int):
-        self.cells = cells
-        self.count, self.key, self.check = np.zeros(cells, np.int32), np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
-        self.toggle(keys, 1)
-
-    def toggle(self, keys: np.ndarray, sign: int | np.ndarray) -> None:
-        third, checks = self.cells // 3, mixed(keys)
-        for part, factor in enumerate(PLACES):
-            at = (mixed(keys * factor) % np.uint64(third)).astype(np.int64) + part * third
-            np.add.at(self.count, at, sign)
-            np.bitwise_xor.at(self.key, at, keys)
-            np.bitwise_xor.at(self.check, at, checks)
-
-    def minus(self, other: Sketch) -> Sketch:
-        out = Sketch(np.zeros(0, np.uint64), self.cells)
-        out.count, out.key, out.check = self.count - other.count, self.key ^ other.key, self.check ^ other.check
-        return out
-
-    def peeled(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """Keys with a positive and with a negative count; None if some cells cannot be resolved."""
-        left, right = [], []
-        for _ in range(self.cells):
-            pure = np.flatnonzero((np.abs(self.count) == 1) & (self.check == mixed(self.key)))
-            if not len(pure):
-                break
-            keys, at = np.unique(self.key[pure], return_index=True)
-            signs = self.count[pure][at]
-            left.append(keys[signs > 0])
-            right.append(keys[signs < 0])
-            self.toggle(keys, -signs)
-        if self.count.any() or self.key.any() or self.check.any():
-            return None
-        none = [np.zeros(0, np.uint64)]
-        return np.concatenate(left + none), np.concatenate(right + none)
-
-    def text(self, n: int) -> str:
-        """``n`` paragraphs, then the cells."""
-        cells = self.count.astype("<i4").tobytes() + self.key.astype("<u8").tobytes() + (self.check & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
-        return f"{n}:{base64.b64encode(cells).decode()}"
-
-
-def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """Digests only in ``a`` and only in ``b``, by subtracting and peeling sketches of growing size."""
+            digests.add(digest if n == 1 else xxhash.xxh3_64_intdigest(b"%d %d" % (n, digest)))
+    return list(digests)
+
+
+def hashed(key: int) -> tuple[int, int, int, int]:
+    """Check of a key, and three numbers that say where it goes."""
+    h = xxhash.xxh3_128_intdigest(key.to_bytes(8, "little"))
+    return h & 0xFFFFFFFF, h >> 32 & 0xFFFFFFFF, h >> 64 & 0xFFFFFFFF, h >> 96
+
+
+class Fingerprint:
+    """The paragraphs of a text as tables of any size: per cell a count, the XOR of keys and the XOR of checks."""
+
+    def __init__(self, text: bytes):
+        self.keys = [(key, *hashed(key)) for key in paragraph_digests(text)]
+        self.tables: dict[int, tuple[list[int], list[int], list[int]]] = {}
+
+    def table(self, cells: int) -> tuple[list[int], list[int], list[int]]:
+        if cells not in self.tables:
+            third = cells // 3
+            count, keys, checks = [0] * cells, [0] * cells, [0] * cells
+            for key, check, x, y, z in self.keys:
+                for at in (x % third, third + y % third, 2 * third + z % third):
+                    count[at] += 1
+                    keys[at] ^= key
+                    checks[at] ^= check
+            self.tables[cells] = count, keys, checks
+        return self.tables[cells]
+
+    def __str__(self) -> str:
+        """The number of paragraphs, then the cells of the smallest table."""
+        count, keys, checks = self.table(CELLS)
+        return f"{len(self.keys)}:{base64.b64encode(struct.pack(f'<{CELLS}i{CELLS}Q{CELLS}I', *count, *keys, *checks)).decode()}"
+
+
+def peeled(count: list[int], keys: list[int], checks: list[int]) -> tuple[list[int], list[int]] | None:
+    """Keys with a positive and with a negative count in a difference of tables; None if some cells cannot be resolved."""
+    left, right, third = [], [], len(count) // 3
+    todo = list(range(len(count)))
+    while todo:
+        n, key = count[at := todo.pop()], keys[at]
+        if n in (1, -1):
+            check, x, y, z = hashed(key)
+            if check == checks[at]:
+                (left if n > 0 else right).append(key)
+                for at in (x % third, third + y % third, 2 * third + z % third):
+                    count[at] -= n
+                    keys[at] ^= key
+                    checks[at] ^= check
+                    todo.append(at)
+                if len(left) + len(right) > 2 * len(count):  # a false key goes round in circles
+                    return None
+    return None if any(count) or any(keys) or any(checks) else (left, right)
+
+
+def difference(a: Fingerprint, b: Fingerprint, cells: int = CELLS) -> tuple[list[int], list[int]]:
+    """Digests only in ``a`` and only in ``b``, by subtracting and peeling tables that grow until it succeeds."""
     while True:
-        found = Sketch(a, cells).minus(Sketch(b, cells)).peeled()
+        (n, k, c), (m, l, d) = a.table(cells), b.table(cells)
+        found = peeled([x - y for x, y in zip(n, m)], [x ^ y for x, y in zip(k, l)], [x ^ y for x, y in zip(c, d)])
         if found is not None:
             return found
-        cells *= 2
+        cells *= GROWTH
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: Fingerprint, b: Fingerprint) -> float:
     """Common paragraphs over all paragraphs; 1 for two texts without any."""
-    common = len(a) - len(difference(a, b)[0])
-    total = len(a) + len(b) - common
+    common = len(a.keys) - len(difference(a, b)[0])
+    total = len(a.keys) + len(b.keys) - common
     return common / total if total else 1.0
 
 
@@ -163,15 +172,16 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, own = None, None
         for rows in with_following(batches):
             made = []
             for key, text, following in rows:
+                if before != text:  # else it is the document that followed the last
+                    own = Fingerprint(text.encode())
                 edit = edited_text(text, following).encode()
-                own, new, other = paragraph_digests(text.encode()), paragraph_digests(edit), paragraph_digests(following.encode())
-                made.append((
-                    key, len(text), hashlib.sha256(edit).hexdigest(), Sketch(own, CELLS).text(len(own)), Sketch(new, CELLS).text(len(new)),
-                    likeness(own, new), likeness(own, other),
-                ))
+                new, after = Fingerprint(edit), Fingerprint(following.encode())
+                made.append((key, len(text), hashlib.sha256(edit).hexdigest(), str(own), str(new), likeness(own, new), likeness(own, after)))
+                before, own = following, after
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
     return in_id_order(docs, id_column, text_column, rows_per_bucket).mapInArrow(run, out)
