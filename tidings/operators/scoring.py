@@ -244,13 +244,19 @@ def attribute_sources(docs: DataFrame, doc_id: str, sents: str) -> DataFrame:
     full = F.concat(F.lit(lexicon.ATTRIBUTION_PREFIX), F.array_join("_s", " "))
     name = r"([A-Z][\w.\-]*(?: [A-Z][\w.\-]*)*)"
     verbs = "|".join(lexicon.SPEECH_VERBS)
-    before = F.regexp_extract("sentence", rf"{name} (?:{verbs})\b", 1)
-    after = F.regexp_extract("sentence", rf"\b(?:{verbs}) {name}", 1)
-    rows = unpack(hold(clean, _text=full), [doc_id, "_text"], F.col("_s"), "sentence", "sent_idx")
-    rows = hold(rows, _head=F.when(before != "", before).otherwise(after))
-    start = F.expr("locate(_head, _text)") - 1
-    span = arrays.cut_span(F.col("_text"), start, start + F.length("_head") - 1)
-    return rows.select(doc_id, "sent_idx", "sentence", F.when(F.col("_head") == "", "").otherwise(span).alias("attribution"))
+
+    def head(sentence: Column) -> Column:
+        before = F.regexp_extract(sentence, rf"{name} (?:{verbs})\b", 1)
+        return F.when(before != "", before).otherwise(F.regexp_extract(sentence, rf"\b(?:{verbs}) {name}", 1))
+
+    def attribution(whole: Column, sentence: Column) -> Column:
+        start = lambda h: F.position(h, whole) - 1
+        return arrays.let(head(sentence), lambda h: F.when(h == "", "").otherwise(arrays.cut_span(whole, start(h), start(h) + F.length(h) - 1)))
+
+    # inside the row of the document, so that its text is never copied to its sentences
+    found = arrays.let(full, lambda whole: F.transform("_s", lambda s: F.struct(s.alias("sentence"), attribution(whole, s).alias("attribution"))))
+    rows = unpack(hold(clean, _found=found), [doc_id], F.col("_found"), "_f", "sent_idx")
+    return rows.select(doc_id, "sent_idx", "_f.sentence", "_f.attribution")
 
 
 def clean_quotes(docs: DataFrame, doc: str, sents: str = "sents") -> DataFrame:
@@ -278,18 +284,22 @@ def source_spans(docs: DataFrame, doc_id: str, doc: str = "doc", include_unsourc
     """
     usable = docs.where(~arrays.has_ambiguous_source(F.transform(doc, lambda s: s["head"])))
     cleaned = clean_quotes(usable, doc)
-    cleaned = hold(cleaned, **{doc: F.col(doc)})
-    rows = cleaned.select(
-        doc_id, F.array_join(F.transform(doc, lambda s: s["sent"]), " ").alias("_text"), F.posexplode(doc).alias("sent_idx", "_s")
-    )
-    if not include_unsourced:
-        rows = rows.where(F.col("_s.head") != "")
-    heads = rows.withColumn("source", F.explode(F.split("_s.head", ";")))
-    # surrounding spaces of a head piece do not count when it is located
-    at = F.expr("locate(trim(source), _text)")
-    return heads.where(F.col("_text").contains(F.col("source"))).select(
-        doc_id, "source", (at - 1).alias("start"), (at + F.length(F.trim("source")) - 2).alias("end"),
-        "sent_idx", F.col("_s.sent").alias("sentence"), F.col("_s.quote_type").alias("quote_type"),
+    whole = F.array_join(F.transform(doc, lambda s: s["sent"]), " ")
+
+    def located(whole: Column, s: Column, i: Column) -> Column:
+        # surrounding spaces of a head piece do not count when it is located
+        piece = lambda head: F.struct(
+            head.alias("source"), (F.position(F.trim(head), whole) - 1).alias("start"), F.length(F.trim(head)).alias("size"), i.alias("sent_idx"),
+            s["sent"].alias("sentence"), s["quote_type"].alias("quote_type"), F.contains(whole, head).alias("held"),
+        )
+        heads = F.split(s["head"], ";")
+        return F.transform(heads if include_unsourced else F.filter(heads, lambda _: s["head"] != ""), piece)
+
+    # inside the row of the document, so that its text is never copied to its sentences
+    found = arrays.let(whole, lambda w: F.flatten(F.transform(doc, lambda s, i: located(w, s, i))))
+    rows = unpack(hold(hold(cleaned, **{doc: F.col(doc)}), _found=found), [doc_id], F.col("_found"), "_f")
+    return rows.where("_f.held").select(
+        doc_id, "_f.source", "_f.start", (F.col("_f.start") + F.col("_f.size") - 1).alias("end"), "_f.sent_idx", "_f.sentence", "_f.quote_type"
     )
 
 
