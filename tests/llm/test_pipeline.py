@@ -53,8 +53,3 @@ def test_stages(spark, folder, tmp_path):
     before, after = kept["sharding"]
     assert sorted(after, key=str) == sorted(before, key=str)
     assert docs.groupBy("shard").count().count() > 8
-
-
-def test_run(spark, folder):
-    out = corpus_pipeline.run(spark, folder)
-    assert {"doc_id", "text", "shard", "slot"} <= set(out.columns) and out.count() > 50
