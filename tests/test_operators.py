@@ -192,7 +192,8 @@ def test_native_and_batch_pair_scores_agree(spark):
     rows = [(0, "Profit rose today", "The profit rose"), (1, "It did not rise", "It did rise"), (2, "...", "a"), (3, "Été no", "été")]
     df = spark.createDataFrame(rows, "id int, article_sents string, press_release_sents string")
     native = scoring.lexical_pair_scores(scoring.token_features(scoring.token_features(df, "article_sents", "article"), "press_release_sents", "press_release"))
-    batch = scoring.score_pairs(df, partitions=2)
+    batch = scoring.score_pairs(df, scoring.lexical_pair_scorer, partitions=2)
+    assert "InPandas" not in plan_of(scoring.score_pairs(df))
     key = lambda d: {r.id: (r.entailment, r.neutral, r.contradiction) for r in d.collect()}
     assert key(native) == key(batch)
     assert key(native)[0][0] == 2 / 3 and key(native)[1][2] == 0.75 and key(native)[2] == (0.0, 1.0, 0.0)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.plans.shape import unpack
+from tidings.functions.draws import draw
 from tidings.plans.skew import LIST_BYTES, bytes_of, row_numbers, running_sum, top_rows, whole_list
 
 
@@ -376,8 +377,7 @@ def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
 
 def split_rows(df: DataFrame, key: str, seed: int = 0, test_percent: int = 20, name: str = "split") -> DataFrame:
     """Mark rows as train or test by a hash of their id: the same split in every run."""
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
-    return df.withColumn(name, F.when(draw < test_percent, "test").otherwise("train"))
+    return df.withColumn(name, F.when(draw(seed, key) % 100 < test_percent, "test").otherwise("train"))
 
 
 def split_by_prefix(df: DataFrame, path: str, train: Sequence[str] = ("train", "test")) -> DataFrame:
@@ -405,6 +405,6 @@ def balance_classes(df: DataFrame, label: str, key: str, seed: int = 0) -> DataF
                 F.sequence(F.col("_chunk") * chunk, F.least((F.col("_chunk") + 1) * chunk, largest) - 1)
             ),
         )
-        .select(label, "draw", F.pmod(F.xxhash64(F.col("draw"), F.lit(seed)), F.col("_n")).alias("_rn"))
+        .select(label, "draw", (draw(seed, "draw") % F.col("_n")).alias("_rn"))
     )
     return draws.join(numbered, [label, "_rn"]).drop("_rn").select(*df.columns, "draw")

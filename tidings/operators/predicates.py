@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidings.functions.draws import draw
 from tidings import lexicon
 from tidings.functions import arrays, text, urls
 from tidings.plans.shape import hold
@@ -172,7 +173,7 @@ def index_slice(df: DataFrame, order: Sequence[str], start: int, end: int) -> Da
 
 def seeded_order(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """Random order that is the same in every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+    return df.orderBy(draw(seed, key), F.col(key))
 
 
 def seeded_pick(df: DataFrame, key: str, seed: int = 0, n: int = 1) -> DataFrame:

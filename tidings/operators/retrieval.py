@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidings.functions.draws import draw
 from tidings import lexicon
 from tidings.functions import text
 from tidings.functions.dates import parse_interval
@@ -342,8 +343,7 @@ def hard_negatives(
         .where((F.col("doc_time") <= F.col("query_time")) & (F.col("doc_time") > since))
     )
     near = top_rows(dated, ["query"], ["rank"], first, "_rn")
-    draw = F.xxhash64("query", "doc", F.lit(seed))
-    return top_rows(near.withColumn("_draw", draw), ["query"], ["_draw", "doc"], 1, "_pick").select(
+    return top_rows(near.withColumn("_draw", draw(seed, "query", "doc")), ["query"], ["_draw", "doc"], 1, "_pick").select(
         "query", "doc", "rank"
     )
 

@@ -105,13 +105,19 @@ def lexical_pair_scorer() -> Scorer:
 
 def score_pairs(
     pairs: DataFrame,
-    factory: ScorerFactory = lexical_pair_scorer,
+    factory: ScorerFactory | None = None,
     a: str = "article_sents",
     r: str = "press_release_sents",
     partitions: int | None = None,
 ) -> DataFrame:
-    """Entailment, neutral and contradiction of every pair; stance is the same with another scorer."""
-    return score_batches(pairs, [a, r], PAIR_SCORES, factory, partitions)
+    """Entailment, neutral and contradiction of every pair; stance is the same with another scorer.
+
+    Without a scorer the lexical scores come from column expressions, and no row goes to Python.
+    """
+    if factory is not None:
+        return score_batches(pairs, [a, r], PAIR_SCORES, factory, partitions)
+    spread = pairs.repartition(partitions) if partitions else pairs
+    return lexical_pair_scores(token_features(token_features(spread, a, "_a"), r, "_r"), "_a", "_r")
 
 
 def score_consistency(
@@ -125,8 +131,8 @@ def score_consistency(
     Input columns are doc_idx, article_sentence, article_sent_idx, archive_headline and
     archive_headline_idx; the scorer is chosen by name.
     """
-    factory = {"lexical": lexical_pair_scorer, **(factories or {})}[scorer]
-    scored = score_batches(pairs, ["article_sentence", "archive_headline"], PAIR_SCORES, factory)
+    factory = {"lexical": None, **(factories or {})}[scorer]
+    scored = score_pairs(pairs, factory, "article_sentence", "archive_headline")
     scores = F.array("entailment", "neutral", "contradiction")
     prediction = arrays.argmax_label(scores, list(labels)) if labels else F.col("entailment")
     return scored.select(

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidings.functions.draws import draw
 from tidings.functions import arrays
 from tidings.plans.shape import unpack
 from tidings.plans.skew import HOT_ROWS, row_numbers, running_sum, top_rows
@@ -88,7 +89,7 @@ def round_robin(df: DataFrame, order: Sequence[str], workers: int, name: str = "
 
 
 def random_worker(df: DataFrame, key: str, workers: int, seed: int = 0, name: str = "worker") -> DataFrame:
-    return df.withColumn(name, F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(workers)).cast("int"))
+    return df.withColumn(name, (draw(seed, key) % workers).cast("int"))
 
 
 def chunk_offsets(chunks: DataFrame, doc: str, order: str, length: Column, name: str = "char_start") -> DataFrame:

@@ -55,9 +55,10 @@ def salted_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot run a {how!r} join")
     on = list(on)
-    shares = materialize(hot if hot is not None else hot_keys(left, on, hot_rows), "hot-keys")
+    shares = hot if hot is not None else hot_keys(left, on, hot_rows)
     if shares.isEmpty():
         return left.join(right, on, how)
+    shares = materialize(shares, "hot-keys")
     known = [c for c in shares.columns if c != "_shares"]
     shares = F.broadcast(shares)
     n = F.coalesce(F.col("_shares"), F.lit(1))
@@ -121,10 +122,11 @@ def running_sum(
     keys, order = list(keys), [_as_column(o) for o in order]
     if not keys:
         return _split_running_sum(df, keys, order, value, name)
-    hot = materialize(hot_keys(df, keys, hot_rows).drop("_shares"), "hot-keys")
+    hot = hot_keys(df, keys, hot_rows).drop("_shares")
     frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     if hot.isEmpty():
         return df.withColumn(name, F.sum(value).over(frame))
+    hot = materialize(hot, "hot-keys")
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     cold_rows = df.alias("l").join(F.broadcast(hot.alias("r")), same, "left_anti")
     hot_rows_df = df.alias("l").join(F.broadcast(hot.alias("r")), same, "left_semi")

@@ -349,15 +349,18 @@ def total_list_size(t):
 
 
 @query("""
-WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality)
-SELECT quality, (SELECT max(n) FROM c) AS n, (SELECT max(n) FROM c) AS n_draws FROM c""")
+WITH c AS (SELECT quality, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY quality),
+numbered AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS rn FROM labels),
+draws AS (SELECT quality, i AS draw, CAST('0x' || substr(md5('0:' || i), 1, 13) AS BIGINT) % n AS rn
+          FROM c, LATERAL (SELECT unnest(range(0, (SELECT max(n) FROM c))) AS i))
+SELECT quality, doc_id, draw FROM draws JOIN numbered USING (quality, rn)""")
 def balanced_classes(t):
-    return agg.balance_classes(t.labels, "quality", "doc_id").groupBy("quality").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("draw").alias("n_draws")
-    )
+    return agg.balance_classes(t.labels.select("doc_id", "quality"), "quality", "doc_id")
 
 
-@query()
+@query("""
+SELECT doc_id, lang, CASE WHEN CAST('0x' || substr(md5('7:' || doc_id), 1, 13) AS BIGINT) % 100 < 20 THEN 'test' ELSE 'train' END AS split
+FROM documents""")
 def train_test_split(t):
     return agg.split_rows(t.documents.select("doc_id", "lang"), "doc_id", seed=7)
 

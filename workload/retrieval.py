@@ -201,7 +201,12 @@ def dense_top_k_blocks(t):
     )
 
 
-@query()
+@query(f"""WITH {DENSE_SQL.format(k=1000)},
+tm AS (SELECT vec_id, TIMESTAMP '2024-01-01' + to_days(CAST(vec_id * 13 % 365 AS INTEGER)) AS at FROM embeddings),
+ok AS (SELECT q, d, rank, row_number() OVER (PARTITION BY q ORDER BY rank) AS rn FROM top JOIN tm a ON a.vec_id = q JOIN tm b ON b.vec_id = d
+       WHERE d <> q AND b.at <= a.at AND b.at > a.at - INTERVAL 60 DAY),
+pick AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY CAST('0x' || substr(md5('5:' || q || ':' || d), 1, 13) AS BIGINT), d) AS k FROM ok WHERE rn <= 10)
+SELECT q AS "query", d AS doc, rank FROM pick WHERE k = 1""")
 def hard_negatives(t):
     times = t.embeddings.select(
         "vec_id", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(days=(F.col("vec_id") * 13 % 365).cast("int"))).alias("at")

@@ -107,7 +107,8 @@ def round_robin(t):
     return win.round_robin(rows, ["o_orderdate", "o_orderkey"], 12).select("o_orderkey", "worker")
 
 
-@query()
+@query("""
+SELECT o_orderkey, CAST(CAST('0x' || substr(md5('3:' || o_orderkey), 1, 13) AS BIGINT) % 12 AS INTEGER) AS worker FROM orders""")
 def random_worker(t):
     return win.random_worker(t.orders.select("o_orderkey"), "o_orderkey", 12, seed=3)
 
@@ -209,7 +210,7 @@ def index_slice(t):
     return pred.index_slice(t.orders.select("o_orderkey"), ["o_orderkey"], 100, 900)
 
 
-@query()
+@query("SELECT doc_id FROM documents")
 def seeded_order(t):
     return pred.seeded_order(t.documents.select("doc_id"), "doc_id", seed=11)
 
