@@ -5,12 +5,10 @@ import re
 import zlib
 
 import pytest
-from check import DATA, difference, oracle_connection
 from pyspark.sql import functions as F
 
 from tidings.llm import url_rules
 from tidings.llm.mixing import mix, rake
-from tidings.llm.queries import ORACLE, QUERIES
 from tidings.llm.secrets import BASE_RULES, RULES, find_secrets, joined_spans, trigram_query
 from tidings.llm.sharding import assign_shards
 from tidings.llm.url_rules import judge_urls
@@ -128,10 +126,3 @@ def test_mixing(spark):
     assert abs((table.tokens * table.probability).sum() / table.tokens.sum() - 0.5) < 1e-6
     assert abs(table[table.kept].tokens.sum() / table.tokens.sum() - 0.5) < 0.1
     assert mix(docs.limit(0), rounds=1).collect() == []
-
-
-@pytest.mark.skipif(not (DATA / "sf0.01").exists(), reason="the provided tables are not here")
-@pytest.mark.parametrize("name", ORACLE)
-def test_oracle(spark, name):
-    folder = str(DATA / "sf0.01")
-    assert difference(QUERIES[name](spark, folder).toPandas(), oracle_connection(folder).execute(ORACLE[name]).df()) is None

@@ -51,7 +51,26 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(table(spark, folder))
+    return near_duplicates(table(spark, folder)).drop("text_hash")
+
+
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op2_near_duplicates"] = rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER_SQL}, '[^ \x09-\x0D]+') AS w FROM documents),
+s AS (
+    SELECT r, doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
+),
+x AS (SELECT r, len(s) AS n, unnest(s) AS v FROM s),
+links AS (
+    SELECT a.r AS a, b.r AS b FROM x a JOIN x b ON a.v = b.v AND a.r <> b.r
+    GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+),
+reach AS (SELECT r AS a, r AS b FROM s UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(o.doc_id) AS component_id, s.doc_id = min(o.doc_id) AS kept
+FROM s JOIN reach ON s.r = reach.a JOIN s o ON o.r = reach.b GROUP BY s.r, s.doc_id, s.s
+"""
 
 
 @query
@@ -123,6 +142,34 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _spans_sql(kinds: list[str]) -> str:
+    """Spans as the pieces between matches and the matches add up."""
+    one = """SELECT r, {at} AS k, '{kind}' AS kind, i,
+        list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS a,
+        length(m[i]) AS n, length(g[i]) AS g FROM (
+        SELECT r, regexp_split_to_array(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS g FROM d
+    ), LATERAL (SELECT unnest(range(1, len(m) + 1)) AS i)"""
+    rules = [(at, r) for at, r in enumerate(RULES) if r.kind in kinds]
+    parts = [
+        f"SELECT * FROM ({one.format(at=at, kind=r.kind, pattern=r.pattern.replace(chr(39), chr(39) * 2), group=r.group)}) WHERE g >= {r.least}" for at, r in rules
+    ]
+    return " UNION ALL ".join(parts)
+
+
+ORACLE["op6_secrets"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({_spans_sql([r.kind for r in RULES])}),
+j AS (
+    SELECT r, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) AS spans,
+        string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) FILTER (k < {len(BASE_RULES)}) AS base,
+        {', '.join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)}
+    FROM s GROUP BY r
+)
+SELECT doc_id, {', '.join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)},
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (r)
+"""
+
+
 @query
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = benchmark_hits(table(spark, folder).select("doc_id", "text"), table(spark, folder, "benchmark"))
@@ -132,6 +179,28 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_WORDS_SQL = rf"regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE["op7_decontamination"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark),
+win AS (
+    SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i+least(len(w), 10)-1], ' ') AS k
+    FROM b, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i) WHERE len(w) > 0
+),
+g AS (
+    SELECT r, i, n, array_to_string(w[i:i+n-1], ' ') AS k
+    FROM d CROSS JOIN (SELECT DISTINCT n FROM win), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i) WHERE len(w) >= n
+),
+hit AS (SELECT r, i, n, item FROM g JOIN win USING (n, k)),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
+
+
 @query
 def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints(table(spark, folder).select("doc_id", "text"))
