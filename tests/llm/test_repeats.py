@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tidings.llm.repeats import MIN, remove_repeats, window_runs
 
@@ -21,7 +22,8 @@ def brute(texts):
     return out
 
 
-def test_against_all_strings(spark):
+@pytest.mark.parametrize("hot_runs", [50_000, 3])
+def test_against_all_strings(spark, hot_runs):
     r = random.Random(5)
     rnd = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
     p = [rnd(260) for _ in range(4)]
@@ -30,7 +32,7 @@ def test_against_all_strings(spark):
     texts += [rnd(r.randint(0, 200)) + r.choice(p)[r.randint(0, 40) : r.randint(200, 260)] + rnd(r.randint(0, 100)) + r.choice(p)[r.randint(0, 60) :] for _ in range(20)]
     rows = [(None if i in (5, 6) else min(i, 30), t, 1) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed long")
-    got = remove_repeats(docs)
+    got = remove_repeats(docs, hot_runs=hot_runs)
     assert got.columns == ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "spans", "kept_bytes"]
     found = sorted((x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept_bytes"])) for x in got.collect())
     assert found == sorted(brute([(t or "").encode() for t in texts]))

@@ -14,6 +14,11 @@ A string of ``MIN`` bytes that starts at two places is found in three steps.
    the expansion stops at 200 bytes: what is left are the repeated windows.
 3. Cutting. The windows found go back to every place where their run stands.
 
+A name with very many runs, such as a gram of a passage that stands in a third of all documents, would be
+too much for one collection. Its windows are first cut down by Spark: only those whose first and last
+blocks occur together more than once go on, each under a name of its own made of the two, equal
+windows as one. What surrounds the passage in one document only is gone by then.
+
 Blocks are compared by 64-bit hashes.
 """
 
@@ -32,6 +37,7 @@ MIN = 200  # bytes of a string whose repeats are removed
 GRAM = 64  # bytes of a gram that names windows
 BLOCK = 40  # bytes by which common prefixes grow; MIN is a multiple
 SHARD_BYTES = 6_000_000  # text that one Burrows-Wheeler collection holds
+HOT_RUNS = 50_000  # runs of one name that may meet in one collection
 BYTE_CODES = np.random.default_rng(3).integers(0, 2**64, 256, dtype=np.uint64)
 STEPS = odd_numbers(8, 3)
 
@@ -119,6 +125,13 @@ def segments(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: st
     return map_batches(texts.join(packed, ["_k1", "_k2"]), ["text", "runs"], run, "m bigint, d bigint, weight bigint, bytes binary")
 
 
+def block_hashes(text: bytes) -> np.ndarray:
+    """Hashes of all blocks of a text."""
+    hashes = rolling(text, (8, 32))
+    n = len(hashes[32]) - 8
+    return mixed(hashes[32][:n] * STEPS[6] + hashes[8][32 : 32 + n])
+
+
 def repeated_windows(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
     """For all windows of all texts in a row: does the window occur more than once, weights counted?
 
@@ -128,9 +141,7 @@ def repeated_windows(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
     sizes = np.array([len(t) - MIN + 1 for t in texts])
     first = np.cumsum([0] + [len(t) for t in texts[:-1]])
     window = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(np.append(0, sizes[:-1])), sizes)
-    hashes = rolling(b"".join(texts), (8, 32))
-    n = len(hashes[32]) - 8
-    block = mixed(hashes[32][:n] * STEPS[6] + hashes[8][32 : 32 + n])
+    block = block_hashes(b"".join(texts))
     weight = np.repeat(weights, sizes)
     rows, interval = np.arange(len(window)), np.zeros(len(window), np.int64)
     for back in range(MIN - BLOCK, -1, -BLOCK):
@@ -185,22 +196,62 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], reach[last]], 1)
 
 
-def repeat_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def in_shards(parts: DataFrame, size: int) -> DataFrame:
+    """``repeated_in`` over as many shards of the names as ``size`` bytes call for."""
+    shards = max(1, -(-size // SHARD_BYTES))
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards)))
+    return repeated_in(dealt, "shard").where(F.size("spans") > 0)
+
+
+def repeated_in_hot(parts: DataFrame) -> DataFrame:
+    """What ``repeated_in`` finds, for segments of names with very many runs: window by window."""
+
+    def run(m, d, weight, texts):
+        names, digests, at, data = [], [], [], []
+        rows = []
+        for text in as_bytes(texts):
+            n = len(text) - MIN + 1
+            block = block_hashes(text)
+            names.append(mixed(block[:n] * STEPS[5] + block[MIN - BLOCK : MIN - BLOCK + n]).view(np.int64))
+            at.append(np.arange(n))
+            windows = [text[i : i + MIN] for i in range(n)]
+            data += windows
+            digests += [xxhash.xxh3_64_intdigest(w) for w in windows]
+            rows.append(n)
+        owner = pa.array(np.repeat(np.arange(len(rows)), rows))
+        return [m.take(owner), d.take(owner), weight.take(owner), np.concatenate(names), np.array(digests, np.uint64).view(np.int64), np.concatenate(at), data]
+
+    schema = "own_m bigint, own_d bigint, weight bigint, m bigint, d bigint, at bigint, bytes binary"
+    windows = map_batches(parts, ["m", "d", "weight", "bytes"], run, schema)
+    shared = windows.groupBy("m").agg(F.sum("weight").alias("n")).where("n > 1").select("m")
+    windows = materialize(windows.join(shared, "m", "left_semi"), "hot-windows")
+    one = windows.groupBy("m", "d").agg(F.sum("weight").alias("weight"), F.min("bytes").alias("bytes"))
+    found = in_shards(one, windows.count() * MIN)
+    return windows.join(found.select("m", "d"), ["m", "d"]).groupBy(F.col("own_m").alias("m"), F.col("own_d").alias("d")).agg(
+        F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + MIN))).alias("spans")
+    )
+
+
+def repeat_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", hot_runs: int = HOT_RUNS) -> DataFrame:
     """Rows of ``docs`` that hold repeats, by row key, with ``spans`` (lists of start and end, not merged yet)."""
     prepare(docs.sparkSession)
     names = name_counts(docs, text_column)
     places = materialize(occurrences(docs, id_column, text_column).join(names, "m"), "places")
     one = places.groupBy("m", "d").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("_k1", "_k2", "at", "windows")).alias("r"))
     wanted = one.select("m", "d", "weight", "r.*")
-    size = places.agg(F.sum(F.col("windows") + MIN - 1)).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))  # copies included, so shards are no larger than that
-    parts = segments(docs, wanted, id_column, text_column).dropDuplicates(["m", "d"]).withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards)))
-    found = materialize(repeated_in(parts, "shard").where(F.size("spans") > 0), "repeats")
-    there = places.join(found, ["m", "d"]).select("_k1", "_k2", F.transform("spans", lambda x: x + F.col("at")).alias("spans"))
+    size = places.agg(F.sum(F.col("windows") + MIN - 1)).first()[0] or 0  # copies included, so shards are no larger than asked for
+    parts = segments(docs, wanted, id_column, text_column).dropDuplicates(["m", "d"])
+    hot = places.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_runs).select("m")
+    if hot.isEmpty():
+        found = in_shards(parts, size)
+    else:
+        parts, hot = materialize(parts, "segments"), materialize(hot, "hot-names")
+        found = in_shards(parts.join(hot, "m", "left_anti"), size).unionByName(repeated_in_hot(parts.join(hot, "m", "left_semi")))
+    there = places.join(materialize(found, "repeats"), ["m", "d"]).select("_k1", "_k2", F.transform("spans", lambda x: x + F.col("at")).alias("spans"))
     return there.groupBy("_k1", "_k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", hot_runs: int = HOT_RUNS) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` (removed, flat) and ``kept_bytes``.
 
     Every byte that a string of ``MIN`` bytes covers goes if that string also starts anywhere else in
@@ -212,7 +263,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     names = ["n_bytes", "n_removed", "n_spans", "spans", "kept_bytes"]
     old = docs.drop(*names)
     keyed = old.select("*", *row_key(id_column, text_column))
-    spans = repeat_spans(docs, id_column, text_column).withColumnRenamed("spans", "_spans")
+    spans = repeat_spans(docs, id_column, text_column, hot_runs).withColumnRenamed("spans", "_spans")
     both = keyed.join(spans, ["_k1", "_k2"], "left")
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in old.schema)
     at = old.columns.index(text_column)
