@@ -271,7 +271,10 @@ def part_names(t):
     )
 
 
-@query()
+@query("""
+WITH c AS (SELECT p_partkey, lower(p_brand) || lower(p_type) AS o, string_split(p_name, '') AS a FROM part)
+SELECT p_partkey, array_to_string(list_filter(a, lambda x, i: len(list_filter(a[1:i], lambda y: y = x)) > length(o) - length(replace(o, x, ''))), '') AS rest
+FROM c""")
 def part_name_differences(t):
     """Letters of a part name left once those of its brand and type are struck out."""
     other = F.concat(F.lower("p_brand"), F.lower("p_type"))
@@ -375,7 +378,9 @@ def resolved_sentences(t):
     return out.select("doc_id", F.posexplode("coref_resolved_sents").alias("sent_idx", "sentence"))
 
 
-@query()
+@query(rf"""
+WITH d AS (SELECT doc_id, array_to_string({sentences_sql("replace(text, chr(10), ' ')")}, ' ') AS t FROM documents)
+SELECT DISTINCT doc_id, unnest(regexp_extract_all(t, '((?:\p{{Lu}}[\p{{L}}\p{{N}}&.\-]*\p{{L}})(?:\s+\p{{Lu}}[\p{{L}}\p{{N}}&.\-]*\p{{L}})*)', 1)) AS entity FROM d""")
 def document_entities(t):
     out = scoring.extract_entities(t.spread("documents", "doc_id").select("doc_id", "text"), "text")
     return out.select("doc_id", F.explode("ents").alias("entity"))
@@ -395,7 +400,11 @@ def group_summaries(t):
     return out.select("conv_id", "role", F.coalesce("summary", F.lit("")).alias("summary"))
 
 
-@query()
+@query("""
+WITH l AS (SELECT conv_id AS url, string_split(string_agg(text, '<NEW_SENT>' ORDER BY turn), '<NEW_SENT>') AS s FROM conversations GROUP BY conv_id),
+r AS (SELECT url, i - 1 AS k, len(s) AS n, s[i] AS sentence FROM l, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i))
+SELECT url, CAST(k AS INTEGER) AS sent_idx, sentence, CASE WHEN k = 0 THEN 'Main' WHEN k < n * 0.25 THEN 'Main_Consequence'
+  WHEN k < n * 0.5 THEN 'Cause_Specific' WHEN k < n * 0.75 THEN 'Cause_General' ELSE 'Distant_Evaluation' END AS discourse_label FROM r""")
 def marked_sentence_labels(t):
     turns = t.conversations.withColumnRenamed("conv_id", "url")
     docs = concat_by_key(turns, "url", "text", "turn", "<NEW_SENT>", "docs")
