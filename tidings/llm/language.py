@@ -79,10 +79,11 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(counts: np.ndarray, labels: list[str], max_loss: float = 0.002, epochs: int = 25, rate: float = 2.0, seed: int = 1) -> LanguageModel:
-    """Train on four fifths of the rows, calibrate on the rest."""
+    """Train on four fifths of the rows, calibrate on the rest. ``counts`` (32-bit floats) become shares."""
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
-    x = (counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)
+    x = counts
+    x /= np.maximum(x.sum(1, keepdims=True), 1)  # in place: the rows are the driver's largest object
     rng = np.random.default_rng(seed)
     shuffled = rng.permutation(len(y))
     held = shuffled[: len(y) // 5] if len(y) >= 5 else shuffled
