@@ -37,9 +37,10 @@ def nonempty(df: DataFrame, column: str, more_than: int = 0) -> DataFrame:
     return df.where(F.coalesce(F.size(column), F.lit(0)) > more_than)
 
 
-def text_length_between(df: DataFrame, column: str, low: int = 1, high: int = 999_999) -> DataFrame:
-    """Keep texts of at least ``low`` and at most ``high`` characters."""
-    return df.where(F.length(column).between(low, high))
+def text_length_between(df: DataFrame, column: str, low: int = 1, high: int | None = None) -> DataFrame:
+    """Keep texts of at least ``low`` and, if ``high`` is given, at most ``high`` characters."""
+    size = F.length(column)
+    return df.where(size >= low if high is None else size.between(low, high))
 
 
 def release_link(href: Column, shown: Column, blocked: Column) -> Column:
