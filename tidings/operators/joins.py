@@ -181,9 +181,17 @@ def pair_sentences(
     return salted_join(with_release, article_sents, ["article_url"], hot=busy)
 
 
-def pair_with_candidates(article_sents: DataFrame, candidates: DataFrame, on: str = "doc_id") -> DataFrame:
-    """Article sentences x candidate headlines, sentences or label passages of the same document."""
-    return salted_join(article_sents, candidates, [on])
+def pair_with_candidates(
+    article_sents: DataFrame, candidates: DataFrame, on: str = "doc_id", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Article sentences x candidate headlines, sentences or label passages of the same document.
+
+    A document counts as hot by its pairs, which neither side shows alone.
+    """
+    count = lambda df, name: df.groupBy(on).agg(F.count(F.lit(1)).alias(name))
+    pairs = count(article_sents, "_a").join(count(candidates, "_c"), on).withColumn("_n", F.col("_a") * F.col("_c"))
+    busy = pairs.where(F.col("_n") > hot_rows).select(on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_shares"))
+    return salted_join(article_sents, candidates, [on], hot=busy)
 
 
 def join_on_text(a: DataFrame, b: DataFrame, doc: str = "doc_id", text: str = "sentences") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidings.functions import text
 from tidings.operators import aggregates as agg
 from tidings.operators import joins, reports, scoring
-from tidings.operators.windows import first_per_key, top_k_per_group
+from tidings.operators.windows import first_per_key
 from tidings.plans import linkage
 from workload.registry import query, sentences_sql, words_sql
 
@@ -358,13 +358,12 @@ FROM (SELECT conv_id, turn, list_distinct({words_sql('text')}) AS x FROM convers
 JOIN (SELECT conv_id, turn, list_distinct({words_sql('text')}) AS y FROM conversations WHERE role = 'assistant'
       QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 20) b USING (conv_id)""")
 def consistency_scores(t):
-    """User turns against the newest 20 assistant turns of their conversation, scored in batches."""
+    """User turns against all assistant turns of their conversation, scored in batches."""
     side = lambda role, i, s: t.conversations.where(F.col("role") == role).select(
         F.col("conv_id").alias("doc_idx"), F.col("turn").alias(i), F.col("text").alias(s)
     )
     archive = side("assistant", "archive_headline_idx", "archive_headline")
-    newest = top_k_per_group(archive, ["doc_idx"], [F.desc("archive_headline_idx")], 20).drop("rank")
-    pairs = joins.pair_with_candidates(side("user", "article_sent_idx", "article_sentence"), newest, "doc_idx")
+    pairs = joins.pair_with_candidates(side("user", "article_sent_idx", "article_sentence"), archive, "doc_idx")
     out = scoring.score_consistency(pairs)
     return out.select("doc_idx", "article_sent_idx", "archive_headline_idx", F.round("model_prediction", 6).alias("model_prediction"))
 
