@@ -4,8 +4,11 @@ Byte n-grams of words (1 to 4 bytes, word edges included) are hashed into bucket
 its buckets' embeddings, and a softmax over the languages reads that mean. Embeddings and weights
 are trained together by stochastic gradient descent in numpy, on a bounded sample of labelled rows
 (``per_language`` rows of each language, ``max_rows`` in all, chosen by hash). One part of the sample is
-not trained on: it sets the temperature that makes the scores probabilities, and the score under
-which a text is rejected.
+not trained on: it sets the temperature that makes the scores probabilities, and what a text needs to be accepted.
+
+A softmax is sure of texts unlike any it has seen, so rejection goes by familiarity: how much likelier the
+n-grams of a text are in the learned languages together than if buckets were drawn at random, per n-gram. Texts of
+mixed languages are as familiar as those of one.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ BUCKETS = 8_192
 WIDTH = 16  # of an embedding
 ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
+FLOOR = 0.1  # share of even chances in the learned frequencies, for buckets that no training row fills
+PRIOR = 20  # n-grams of usual familiarity that every text is given: a few letters are no evidence
+STRANGE, DOUBTFUL = 0.5, 0.75  # of the familiarity of held-back rows: less is rejected, or rejected if the score is low too
 CHUNK = 250  # texts whose bucket counts are held at once
 # letters in lower case and bytes beyond ASCII stay, all else is a blank
 SUBWORD_BYTES = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -66,12 +72,23 @@ class LanguageModel:
     table: np.ndarray
     bias: np.ndarray
     temperature: float
-    threshold: float
+    threshold: float  # score that all but ``max_loss`` of right answers have
+    known: np.ndarray  # logarithm of how much likelier than at random a bucket is
+    usual: float  # familiarity of the rows held back
+    least: float  # familiarity that all but ``max_loss`` of them have
 
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
         mean = counts @ self.table / np.maximum(counts.sum(1, keepdims=True), 1)
         return softmax((mean + self.bias) / self.temperature)
 
+    def accepts(self, counts: np.ndarray, score: np.ndarray) -> np.ndarray:
+        found = familiarity(counts @ self.known, counts.sum(1), self.usual)
+        return (found >= STRANGE * self.least) & ((found >= DOUBTFUL * self.least) | (score >= self.threshold))
+
+
+def familiarity(total: np.ndarray, n: np.ndarray, usual: float) -> np.ndarray:
+    return (total + PRIOR * usual) / (n + PRIOR)
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))
@@ -82,8 +99,8 @@ def fit(counts: np.ndarray, labels: list[str], max_loss: float = 0.002, epochs:
     """Train on four fifths of the rows, calibrate on the rest. ``counts`` (32-bit floats) become shares."""
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
-    x = counts
-    x /= np.maximum(x.sum(1, keepdims=True), 1)  # in place: the rows are the driver's largest object
+    x, sizes = counts, counts.sum(1)
+    x /= np.maximum(sizes[:, None], 1)  # in place: the rows are the driver's largest object
     rng = np.random.default_rng(seed)
     shuffled = rng.permutation(len(y))
     held = shuffled[: len(y) // 5] if len(y) >= 5 else shuffled
@@ -111,9 +128,13 @@ def fit(counts: np.ndarray, labels: list[str], max_loss: float = 0.002, epochs:
     temperature = float(scales[int(np.argmin(loss))])
     p = softmax(logits / temperature)
     right = p.max(1)[p.argmax(1) == y[held]]
-    # a text is turned away only if its score is both rare among right answers and hardly above guessing
-    threshold = min(1.5 / len(languages), float(np.quantile(right, max_loss, method="lower"))) if len(right) else 0.0
-    return LanguageModel(languages, table.astype(np.float32), bias, temperature, threshold)
+    threshold = float(np.quantile(right, max_loss, method="lower")) if len(right) else 0.0
+    shares = np.mean([x[train[y[train] == i]].mean(0) for i in np.unique(y[train])], 0)
+    known = np.log((shares * BUCKETS + FLOOR) / (1 + FLOOR)).astype(np.float32)
+    found = x[held] @ known
+    usual = float(found.mean())
+    least = float(np.quantile(familiarity(found * sizes[held], sizes[held], usual), max_loss, method="lower"))
+    return LanguageModel(languages, table.astype(np.float32), bias, temperature, threshold, known, usual, least)
 
 
 def train(
@@ -154,7 +175,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_column: str = "t
     """``docs`` with ``lang_pred``, ``score`` (probability of that language) and ``accepted``.
 
     Whole texts count. Null texts and texts without a letter are ``und`` with score 0 and not accepted; so
-    is every text if there is no model. Texts whose score is under the model's threshold keep
+    is every text if there is no model. Texts that are not familiar enough to the model keep
     their language and are not accepted. Columns of ``docs`` with the names of results are replaced.
     """
     prepare(docs.sparkSession)
@@ -168,9 +189,10 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_column: str = "t
         known = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
         for start in range(0, len(known), CHUNK):
             rows = known[start : start + CHUNK]
-            p = model.probabilities(bucket_counts([texts[i] for i in rows]).astype(np.float32))
-            for i, best, value in zip(rows, p.argmax(1).tolist(), p.max(1).tolist()):
-                name[i], score[i], accepted[i] = model.languages[best], value, value >= model.threshold
+            counts = bucket_counts([texts[i] for i in rows]).astype(np.float32)
+            p = model.probabilities(counts)
+            for i, best, value, fits in zip(rows, p.argmax(1).tolist(), p.max(1).tolist(), model.accepts(counts, p.max(1)).tolist()):
+                name[i], score[i], accepted[i] = model.languages[best], value, fits
         return [*columns, name, score, accepted]
 
     return map_batches(old, [F.col(f"`{c}`") for c in old.columns], run, f"{kind}, lang_pred string, score double, accepted boolean")
