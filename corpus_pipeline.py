@@ -9,7 +9,7 @@ from tidings.llm.common import materialize, new_path, row_key
 from tidings.llm.decontaminate import benchmark_hits
 from tidings.llm.language import identified
 from tidings.llm.mixing import mix
-from tidings.llm.near_dedup import near_duplicates
+from tidings.llm.near_dedup import survivors
 from tidings.llm.sharding import assign_shards
 
 
@@ -19,12 +19,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id.
+    """One document of each group of near copies stays: the one with the smallest id, null after all others.
 
-    Rows that repeat an id with the same text are one group as well and leave one row.
+    Of several texts under that id the one with the smallest hash stays. Rows that repeat an id with the same text
+    are one group as well and leave one row.
     """
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    rows = materialize(kept.groupBy("_id", "_hash").count(), "kept")
+    rows = materialize(survivors(docs), "kept")
     key = row_key("doc_id", "text")[1]
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k2") == F.col("_hash"))
     stay = docs.withColumn("_k2", key).join(rows.drop("count"), same, "left_semi").drop("_k2")

@@ -215,6 +215,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     become a component id unless nothing else is in the component; repeated rows are one class.
     An empty table gives an empty result, other columns are not looked at.
     """
+    return grouped(docs, id_column, text_column).drop("group")
+
+
+def grouped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``near_duplicates`` with ``group``, which tells groups apart whatever their ids are; null for texts without shingles."""
     prepare(docs.sparkSession)
     rows = materialize(sketches(docs, id_column, text_column), "sketches")
     classes = materialize(
@@ -254,10 +259,21 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     label = F.coalesce("label", "cls")
     labelled = classes.select("cls", "root").join(known.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "root", label.alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("root").alias("component_id"))
-    found = labelled.join(smallest, "label").select("cls", "component_id")
+    found = labelled.join(smallest, "label").select("cls", "component_id", "label")
     out = rows.select("id", "k2", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(found, "cls", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"),
-        F.col("k2").alias("text_hash"),
+        F.col("k2").alias("text_hash"), F.col("label").alias("group"),
     )
+
+
+def survivors(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The row that stays of each group, as ``_id``, ``_hash`` (of the text) and ``count`` (rows equal to it).
+
+    It has the smallest id, null after all others, and of these the smallest hash. Texts without shingles all stay.
+    """
+    alone = lambda c: F.when(F.col("group").isNull(), F.col(c))
+    rows = grouped(docs, id_column, text_column).groupBy("group", F.col(id_column).alias("_id"), F.col("text_hash").alias("_hash")).count()
+    first = F.min(F.struct(F.col("_id").isNull().alias("null"), "_id", "_hash", "count")).alias("first")
+    return rows.groupBy("group", alone("_id").alias("a"), alone("_hash").alias("b")).agg(first).select("first._id", "first._hash", "first.count")
