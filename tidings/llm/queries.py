@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings.llm.decontaminate import benchmark_hits
+from tidings.llm.filter_audit import audit_filters
 from tidings.llm.fingerprints import fingerprints
 from tidings.llm.language import identified
 from tidings.llm.lm_scores import score_documents
@@ -214,3 +215,45 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder)).select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept")
+
+
+@query
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_filters(table(spark, folder), table(spark, folder, "labels"))
+
+
+ORACLE["op12_filter_audit"] = r"""
+WITH RECURSIVE w AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS w FROM documents
+),
+f AS (
+    SELECT r, part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+        regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails,
+        coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic
+    FROM w LEFT JOIN (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)
+),
+o AS (
+    SELECT '' AS filter_order UNION ALL
+    SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE length(filter_order) < 5 AND NOT contains(filter_order, x)
+),
+s AS (
+    SELECT filter_order, step, ascii(substr(filter_order, step, 1)) - 64 AS k, list_transform(string_split(left(filter_order, step - 1), ''), lambda x: ascii(x) - 64) AS before
+    FROM o, (SELECT unnest(range(1, 6)) AS step) WHERE length(filter_order) = 5
+),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+hit AS (
+    SELECT part, filter_order, step, k, n, good, toxic, fails[k] AS fails_here, len(before) > 0 AND list_bool_or(list_transform(before, lambda b: coalesce(fails[b], false))) AS gone,
+        fails[k] AND len(list_filter(fails, lambda x: x)) = 1 AS only_here
+    FROM g CROSS JOIN s
+),
+c AS (
+    SELECT part, filter_order, step, k, coalesce(sum(n) FILTER (NOT gone AND NOT fails_here), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND fails_here), 0) AS removed,
+        coalesce(sum(n) FILTER (gone AND fails_here), 0) AS redundant, coalesce(sum(n) FILTER (only_here), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (NOT gone AND fails_here), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fails_here), 0) AS toxic_lost
+    FROM hit GROUP BY part, filter_order, step, k
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+    good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley
+FROM c
+"""
