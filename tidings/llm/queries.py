@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidings.llm.debruijn import WINDOW, remove_repeated_passages
 from tidings.llm.decontaminate import benchmark_hits
 from tidings.llm.filter_audit import audit_filters
 from tidings.llm.fingerprints import fingerprints
 from tidings.llm.language import identified
 from tidings.llm.lm_scores import score_documents
+from tidings.llm.manifest import FIELDS, build, leaf_digest, prove
 from tidings.llm.mixing import mix
 from tidings.llm.near_dedup import near_duplicates
 from tidings.llm.repeats import remove_repeats
@@ -217,6 +219,25 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder)).select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept")
 
 
+@query
+def op11_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = remove_repeated_passages(table(spark, folder).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", sha256("kept_text").alias("kept_sha256"))
+
+
+ORACLE["op11_repeated_passages"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS w FROM documents),
+win AS (
+    SELECT r, i, array_to_string(w[i:i+{WINDOW - 1}], ' ') AS k
+    FROM d, LATERAL (SELECT unnest(range(1, len(w) - {WINDOW - 2})) AS i) WHERE len(w) >= {WINDOW}
+),
+hit AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS i FROM win JOIN (SELECT k FROM win GROUP BY k HAVING count(*) > 1) USING (k)),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN hit USING (r, i) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+
 @query
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit_filters(table(spark, folder), table(spark, folder, "labels"))
@@ -257,3 +278,73 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
     good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley
 FROM c
 """
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder)
+    raised = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
+    made = build(docs, FIELDS, claim=leaf_digest([raised if f == "n_chars" else F.col(f) for f in FIELDS]))
+    root = F.lit(made.root)
+    in_hex = lambda c: F.lower(F.hex(c))
+    return prove(made).select(
+        F.col("id").alias("doc_id"), in_hex("leaf").alias("leaf"), in_hex("subroot").alias("subroot"), in_hex(root).alias("root"),
+        sha256(in_hex("proof")).alias("proof_sha256"), in_hex("folded_root").alias("folded_root"), (F.col("folded_root") == root).alias("verified"),
+    )
+
+
+_FIELD_SQL = "coalesce(strlen({0}::VARCHAR) || ':' || {0}, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_FIELD_SQL.format(n_chars if f == "n_chars" else f) for f in FIELDS) + ")"
+
+
+def _levels_sql(name: str, leaves: str) -> str:
+    """Nodes of all levels over ``leaves`` (tree, idx, d, n)."""
+    return f"""{name} AS (
+    SELECT tree, 0 AS level, idx, d, n FROM {leaves}
+    UNION ALL
+    SELECT tree, level + 1, idx // 2, sha256(d || coalesce(next, '')), (n + 1) // 2
+    FROM (SELECT *, lead(d) OVER (PARTITION BY tree ORDER BY idx) AS next FROM {name} WHERE n > 1) WHERE idx % 2 = 0
+)"""
+
+
+# CRC-32 bit by bit: of a byte table by the reversed polynomial 0xEDB88320, then over the digits
+ORACLE["op13_merkle_manifest"] = f"""
+WITH RECURSIVE codes AS (
+    SELECT b AS c, b, 0 AS k FROM (SELECT unnest(range(256)) AS b)
+    UNION ALL SELECT CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b, k + 1 FROM codes WHERE k < 8
+),
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM codes WHERE k = 8),
+docs AS (
+    SELECT row_number() OVER () AS r, *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc
+    FROM documents, crc_table
+),
+h AS (SELECT r, doc_id, lang, {_leaf_sql("n_chars")} AS leaf, CASE WHEN crc % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} ELSE {_leaf_sql("n_chars")} END AS claim FROM docs),
+leaves AS (
+    SELECT *, leaf AS d, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY lang) AS n,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS idx FROM h
+),
+{_levels_sql("nodes", "leaves")},
+roots AS (SELECT -1 AS tree, tree AS idx, d, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{_levels_sql("tops", "roots")},
+ups AS (SELECT unnest(range(0, 40)) AS up),
+steps AS (
+    SELECT r, 0 AS part, up, (l.idx >> up) % 2 = 1 AS odd, s.d FROM leaves l JOIN ups ON (l.n - 1) >> up > 0
+        LEFT JOIN nodes s ON s.tree = l.tree AND s.level = up AND s.idx = xor(l.idx >> up, 1::BIGINT)
+    UNION ALL
+    SELECT r, 1, up, (l.tree >> up) % 2 = 1, s.d FROM leaves l JOIN ups ON ((SELECT count(*) FROM roots) - 1) >> up > 0
+        LEFT JOIN tops s ON s.level = up AND s.idx = xor(l.tree >> up, 1::BIGINT)
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY part, up) AS k FROM steps),
+fold AS (
+    SELECT r, 0 AS k, claim AS v FROM leaves
+    UNION ALL SELECT r, k + 1, sha256(CASE WHEN odd THEN p.d || v ELSE v || coalesce(p.d, '') END) FROM fold JOIN (SELECT r, k - 1 AS k, odd, d FROM placed) p USING (r, k)
+),
+folded AS (SELECT r, arg_max(v, k) AS v FROM fold GROUP BY r),
+proofs AS (SELECT r, sha256(coalesce(string_agg(d, '' ORDER BY k), '')) AS proof FROM placed GROUP BY r)
+SELECT doc_id, leaf, x.d AS subroot, t.d AS root, coalesce(proof, sha256('')) AS proof_sha256, v AS folded_root, v = t.d AS verified
+FROM leaves JOIN (SELECT tree, d FROM nodes WHERE n = 1) x USING (tree) JOIN folded USING (r) LEFT JOIN proofs USING (r) CROSS JOIN (SELECT d FROM tops WHERE n = 1) t
+"""
