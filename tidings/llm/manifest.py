@@ -4,9 +4,9 @@ Each row is a leaf; the leaves of a tree (a language) stand in order of their id
 their parent, and the roots of the trees are the leaves of one more tree. ``build`` stores all of it: leaves with
 their places, and nodes by tree, level and index.
 
-Trees are built in aligned blocks of ``2 ** LEVELS`` neighbours: a task turns a block into its subtree, the roots
+Trees are built in aligned blocks of two to the power of ``levels`` neighbours: a task turns a block into its subtree, the roots
 of the blocks are the next round's leaves. A tree that holds all rows is as many blocks as any other split of
-the rows, and rounds are as many as the height over ``LEVELS``.
+the rows, and rounds are as many as the height over ``levels``.
 
 Proofs are octopus multiproofs. The rows to prove are dealt by block. From their places alone a block works out
 the smallest set of coordinates it can't derive: going up, a sibling is missing only if nothing known lies
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import sha256
 
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from tidings.plans.skew import row_numbers, salted_join
 from tidings.llm.common import materialize, prepare
 
-LEVELS = 10  # levels that a task builds or derives at once; a block has 2 ** LEVELS leaves
+LEVELS = 10  # levels that a task builds or derives at once; a block has two to the power of that leaves
 TOP = -1  # the tree whose leaves are the roots of the others
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 NODE = "tree bigint, level int, index bigint, digest binary"
@@ -41,6 +42,7 @@ class Manifest:
     nodes: DataFrame
     trees: DataFrame
     root: bytes | None
+    levels: int
 
 
 def encoded(value: Column) -> Column:
@@ -90,39 +92,41 @@ def placed_leaves(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(out, "manifest-leaves"), trees
 
 
-def _subtree(table: pa.Table) -> pa.Table:
-    """Nodes above a block's nodes, up to ``LEVELS`` levels or the root."""
-    tree, level, size = (table[c][0].as_py() for c in ("tree", "level", "size"))
-    rows = sorted(zip(table["index"].to_pylist(), table["digest"].to_pylist()))
-    first, nodes, made = rows[0][0], [d for _, d in rows], []
-    for up in range(level + 1, min(level + LEVELS, height(size)) + 1):
-        nodes = [join_digest(nodes[i : i + 2]) for i in range(0, len(nodes), 2)]
-        first >>= 1
-        made += [(tree, up, first + i, d, size) for i, d in enumerate(nodes)]
-    return pa.table({
-        "tree": pa.array([m[0] for m in made], pa.int64()), "level": pa.array([m[1] for m in made], pa.int32()),
-        "index": pa.array([m[2] for m in made], pa.int64()), "digest": pa.array([m[3] for m in made], pa.binary()),
-        "size": pa.array([m[4] for m in made], pa.int64()),
-    })
+def _subtree(levels: int):
+    """Nodes above a block's nodes, up to ``levels`` levels or the root."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tree, level, size = (table[c][0].as_py() for c in ("tree", "level", "size"))
+        rows = sorted(zip(table["index"].to_pylist(), table["digest"].to_pylist()))
+        first, nodes, made = rows[0][0], [d for _, d in rows], []
+        for up in range(level + 1, min(level + levels, height(size)) + 1):
+            nodes = [join_digest(nodes[i : i + 2]) for i in range(0, len(nodes), 2)]
+            first >>= 1
+            made += [(up, first + i, d) for i, d in enumerate(nodes)]
+        return pa.table({
+            "tree": pa.array([tree] * len(made), pa.int64()), "level": pa.array([m[0] for m in made], pa.int32()),
+            "index": pa.array([m[1] for m in made], pa.int64()), "digest": pa.array([m[2] for m in made], pa.binary()),
+            "size": pa.array([size] * len(made), pa.int64()),
+        })
+
+    return run
 
 
-def tree_nodes(leaves: DataFrame) -> DataFrame:
+def tree_nodes(leaves: DataFrame, levels: int = LEVELS) -> DataFrame:
     """All nodes over ``leaves`` (``tree``, ``index``, ``digest``, ``size``), leaves as level 0 included, stored round by round."""
     nodes = [leaves.select("tree", F.lit(0).alias("level"), "index", "digest", "size")]
-    top = leaves.agg(F.max("size")).first()[0] or 0
-    for base in range(0, height(top) if top else 0, LEVELS):
+    top = leaves.agg(F.max("size")).first()[0] or 1
+    for base in range(0, height(top), levels):
         # a block starts at an aligned place, so its parents are its own
-        open_ = nodes[-1].where(F.col("level") == base).where(F.col("size") > (1 << base))
-        dealt = open_.withColumn("block", F.shiftright("index", LEVELS))
-        nodes.append(materialize(dealt.groupBy("tree", "block").applyInArrow(_subtree, NODE + ", size bigint"), "manifest-nodes"))
-    out = nodes[0]
-    for more in nodes[1:]:
-        out = out.unionByName(more)
-    return out
+        open_ = nodes[-1].where((F.col("level") == base) & (F.col("size") > (1 << base)))
+        dealt = open_.withColumn("block", F.shiftright("index", levels))
+        nodes.append(materialize(dealt.groupBy("tree", "block").applyInArrow(_subtree(levels), NODE + ", size bigint"), "manifest-nodes"))
+    return reduce(DataFrame.unionByName, nodes)
 
 
 def build(
-    docs: DataFrame, fields: Sequence[str] = FIELDS, id_column: str = "doc_id", tree_column: str = "lang", claim: Column | None = None
+    docs: DataFrame, fields: Sequence[str] = FIELDS, id_column: str = "doc_id", tree_column: str = "lang", claim: Column | None = None,
+    levels: int = LEVELS,
 ) -> Manifest:
     """Manifest of ``docs``; ``claim``, if given, is a second leaf digest that travels along as ``claim``.
 
@@ -136,13 +140,13 @@ def build(
         F.monotonically_increasing_id().alias("row"),
     )
     placed, trees = placed_leaves(materialize(leaves, "leaves"))
-    own = tree_nodes(placed.select("tree", "index", F.col("leaf").alias("digest"), "size"))
+    own = tree_nodes(placed.select("tree", "index", F.col("leaf").alias("digest"), "size"), levels)
     roots = own.where(F.col("index") == 0).where(F.expr("level = if(size = 1, 0, length(bin(size - 1)))")).select("tree", "digest")
     n_trees = trees.count()
     upper = roots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("index"), "digest", F.lit(n_trees).cast("long").alias("size"))
-    top = tree_nodes(materialize(upper, "manifest-roots"))
+    top = tree_nodes(materialize(upper, "manifest-roots"), levels)
     root = top.where(F.col("level") == height(n_trees)).first() if n_trees else None
-    return Manifest(placed, own.unionByName(top).drop("size"), trees, bytes(root["digest"]) if root else None)
+    return Manifest(placed, own.unionByName(top).drop("size"), trees, bytes(root["digest"]) if root else None, levels)
 
 
 def missing_nodes(known: Iterable[int], size: int) -> list[tuple[int, int]]:
@@ -231,7 +235,7 @@ def prove(made: Manifest, wanted: DataFrame | None = None) -> DataFrame:
     """
     leaves = made.leaves if wanted is None else wanted
     n_trees = made.trees.count()
-    dealt = leaves.withColumn("block", F.shiftright("index", LEVELS))
+    dealt = leaves.withColumn("block", F.shiftright("index", made.levels))
     needs = dealt.select("tree", "block", "index", "size").groupBy("tree", "block").applyInArrow(
         _needs(n_trees), "asker bigint, block bigint, tree bigint, level int, index bigint"
     )
