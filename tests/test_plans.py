@@ -9,6 +9,7 @@ from tidings.functions import text
 from tidings.operators import joins
 from tidings.operators import windows as win
 from tidings.plans import asof, linkage, skew
+from tidings.plans.scan import segmented_scan
 from tidings.plans.shape import hold, unpack
 
 PAIRING = ("BroadcastNestedLoopJoin", "CartesianProduct")
@@ -78,12 +79,12 @@ def _moments(spark, n, seed):
     return rows, spark.createDataFrame(rows, "id int, k int, t timestamp")
 
 
-@pytest.mark.parametrize(("reverse", "inclusive", "bucket"), [(False, False, 600), (True, True, 600), (True, False, 86_400), (False, True, 86_400)])
-def test_last_before_equals_brute_force(spark, reverse, inclusive, bucket):
+@pytest.mark.parametrize(("reverse", "inclusive"), [(False, False), (True, True), (True, False), (False, True)])
+def test_last_before_equals_brute_force(spark, reverse, inclusive):
     probes, pdf = _moments(spark, 150, 1)
     facts, fdf = _moments(spark, 120, 2)
     out = asof.last_before(pdf, fdf.select("k", F.col("t").alias("ft"), F.col("id").alias("f")), ["k"], "t", "ft", "f",
-                           reverse=reverse, inclusive=inclusive, bucket_seconds=bucket)
+                           reverse=reverse, inclusive=inclusive)
     got = {r.id: r.found for r in out.collect()}
     for i, k, t in probes:
         ok = lambda ft: ft == t and inclusive or (ft > t if reverse else ft < t)
@@ -115,7 +116,7 @@ def test_prior_coverage_equals_brute_force(spark, newest):
     rows = [(d, times[d], k) for d in times for k in keys[d]]
     arts = spark.createDataFrame([r for r in rows if r[0] % 2 == 0], "doc_id int, ts timestamp, key string")
     arch = spark.createDataFrame(rows, "doc_id int, ts timestamp, key string")
-    out = joins.prior_coverage(arts, arch, newest=newest, bucket_seconds=7200)
+    out = joins.prior_coverage(arts, arch, newest=newest)
     expected = set()
     for d in [d for d in times if d % 2 == 0]:
         hits = [
@@ -270,7 +271,48 @@ def test_null_keys_match_nothing(spark, how):
     assert found == {(None, 1): None, ("a", 1): "z" if "reverse" in how else "y", ("a", None): None, ("b", 1): None}
 
 
-def test_fitting_bucket(spark):
-    df = spark.createDataFrame([(1, datetime(2024, 1, 1, 1))] * 50 + [(2, datetime(2024, 1, 1))], "k int, t timestamp")
-    assert asof.fitting_bucket(df, ["k"], "t") == 86_400
-    assert asof.fitting_bucket(df, ["k"], "t", hot_rows=5) == 8_640
+@pytest.fixture
+def pieces(spark):
+    """Sorts into many pieces, as on a cluster."""
+    settings = {"spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("keys", [["k"], ["k", "j"]])
+@pytest.mark.parametrize("hot", [True, False])
+def test_segmented_scan_equals_brute_force(spark, pieces, keys, hot):
+    rng = random.Random(8)
+    pick = lambda: rng.choice(["a"] * 40 + ["b", None]) if hot else rng.choice("abcdefgh")
+    rows = [(i, pick(), rng.choice([0, None]), rng.randrange(50), rng.choice([None, None, i]), rng.choice([None, 1, 2])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, k string, j int, t int, p int, n int")
+    out = segmented_scan(df, keys, ["t", "id"], last={"found": F.col("p")}, total={"sum": F.col("n")})
+    assert out.columns == [*df.columns, "found", "sum"]
+    expected = {}
+    for i, k, j, t, _, _ in rows:
+        before = [r for r in rows if r[1] == k and (len(keys) == 1 or r[2] == j) and (r[3], r[0]) <= (t, i)]
+        facts = [(r[3], r[0], r[4]) for r in before if r[4] is not None]
+        expected[i] = (max(facts)[2] if facts else None, sum(r[5] or 0 for r in before))
+    assert {r.id: (r.found, r.sum) for r in out.collect()} == expected
+    assert segmented_scan(df.limit(0), keys, ["t"], total={"sum": F.col("n")}).collect() == []
+
+
+def test_one_key_is_many_tasks(spark, pieces):
+    line = spark.range(7_000).select(F.lit("only").alias("k"), F.col("id").alias("t"))
+    out = segmented_scan(line, ["k"], ["t"], total={"n": F.lit(1)})
+    sizes = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 5_000
+    assert out.where("n <> t + 1").isEmpty()
+
+
+def test_lookups_shuffle_little(spark):
+    df = spark.createDataFrame([(1, "a", datetime(2024, 1, 1))], "doc_id int, key string, ts timestamp")
+    caps = spark.createDataFrame([("a", datetime(2024, 1, 1), "v")], "key string, at timestamp, v string")
+    exchanges = lambda out: plan_of(out).count("Exchange ")
+    assert exchanges(joins.prior_coverage(df)) <= 10
+    for side in ("past", "future", "nearest"):
+        assert exchanges(joins.nearest_capture(df, caps, ["key"], "ts", "at", "v", side)) <= 10

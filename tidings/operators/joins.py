@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.functions import dates, urls
-from tidings.plans.asof import DAY, fitting_bucket, last_before
+from tidings.plans.asof import DAY, last_before
+from tidings.plans.scan import segmented_scan
+from tidings.plans.storage import materialize
 from tidings.plans.shape import unpack
 from tidings.plans.skew import HOT_ROWS, LIST_BYTES, bytes_of, salted_join, top_rows, whole_list
 
@@ -276,7 +278,6 @@ def prior_coverage(
     key: str = "key",
     days: float = 30,
     newest: int = 20,
-    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """For each article the newest earlier documents that share a key.
 
@@ -284,33 +285,26 @@ def prior_coverage(
     earlier, strictly within ``days``, and not the article itself; the newest ``newest`` are
     kept (smaller id first on a tie) with their rank.
 
-    Nothing is paired up: for every key and moment the archive is summed up as the newest
-    ``newest + 1`` documents until then, and each article looks up the last such summary before
-    its own time. The best of all keys are among the best of each key, so the cut is exact.
+    Nothing is paired up: the archive of each key is numbered along its time line, the article takes the number that
+    has been reached before its own time, and looks up the ``newest + 1`` documents up to that number. The best of all keys
+    are among the best of each key, so the cut is exact.
     """
     archive = articles if archive is None else archive
-    bucket_seconds = bucket_seconds or fitting_bucket(archive, [key], time)
     k = newest + 1  # one spare for the article itself
-    entry = F.struct((-F.unix_micros(F.col(time).cast("timestamp"))).alias("t"), F.col(doc_id).alias("d"))
-    facts = archive.where(F.col(time).isNotNull() & F.col(key).isNotNull()).select(
-        F.col(key).alias("_key"), F.col(time).cast("timestamp").alias("_time"), entry.alias("_e")
-    ).distinct()
-    moments = (
-        top_rows(facts, ["_key", "_time"], ["_e"], k)
-        .groupBy("_key", "_time")
-        .agg(F.sort_array(F.collect_list("_e")).alias("_docs"))
-    )
-    summaries = _newest_until(moments, k, bucket_seconds)
-    probes = articles.where(F.col(time).isNotNull() & F.col(key).isNotNull()).select(
-        F.col(doc_id).alias("_doc"), F.col(key).alias("_key"), F.col(time).cast("timestamp").alias("_at")
-    )
-    found = last_before(
-        probes, summaries, ["_key"], "_at", "_time", "_summary", "_found", bucket_seconds=bucket_seconds
-    )
-    since = F.unix_micros("_at") - F.lit(int(days * DAY * 1_000_000))
+    known = F.col(time).isNotNull() & F.col(key).isNotNull()
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    facts = archive.where(known).select(F.col(key).alias("_key"), at.alias("_t"), F.col(doc_id).alias("_d"), F.lit(1).alias("_rank")).distinct()
+    # a probe comes before what is dated the same, and of one moment the smallest id counts as the newest
+    probes = articles.where(known).select(F.col(key).alias("_key"), at.alias("_t"), F.col(doc_id).alias("_d"), F.lit(0).alias("_rank")).distinct()
+    line = segmented_scan(facts.unionByName(probes), ["_key"], ["_t", "_rank", F.desc("_d")], total={"_n": F.col("_rank")})
+    line = materialize(line, "numbered")
+    reached = F.explode(F.sequence(F.greatest(F.lit(1), F.col("_n") - (k - 1)), F.col("_n"))).alias("_n")
+    asked = line.where("_rank = 0 AND _n > 0").select("_key", F.col("_d").alias("_doc"), F.col("_t").alias("_at"), reached)
+    earlier = line.where("_rank = 1").select("_key", "_n", F.struct((-F.col("_t")).alias("t"), F.col("_d").alias("d")).alias("_e"))
+    since = F.col("_at") - F.lit(int(days * DAY * 1_000_000))
     candidates = (
-        found.select("_doc", "_at", F.explode("_found").alias("_e"), since.alias("_since"))
-        .where((F.col("_e.d") != F.col("_doc")) & (-F.col("_e.t") > F.col("_since")))
+        asked.join(earlier, ["_key", "_n"])
+        .where((F.col("_e.d") != F.col("_doc")) & (-F.col("_e.t") > since))
         .select("_doc", "_at", "_e").distinct()
     )
     return top_rows(candidates, ["_doc"], ["_e"], newest, "rank").select(
@@ -318,31 +312,6 @@ def prior_coverage(
     )
 
 
-def _newest_until(moments: DataFrame, k: int, bucket_seconds: int) -> DataFrame:
-    """Per key and moment the ``k`` newest documents up to and including it.
-
-    ``_docs`` is never empty, so ``k`` moments back are always enough. Time buckets cut a hot
-    key; what a bucket inherits is the newest ``k`` of the ``k`` buckets before it.
-    """
-    from pyspark.sql import Window
-
-    cut = lambda c: F.slice(F.sort_array(F.flatten(c)), 1, k)
-    bucketed = moments.withColumn("_b", F.floor(F.unix_micros("_time") / (bucket_seconds * 1_000_000)))
-    inside = Window.partitionBy("_key", "_b").orderBy("_time").rowsBetween(-(k - 1), 0)
-    tail = (
-        top_rows(bucketed, ["_key", "_b"], [F.desc("_time")], k)
-        .groupBy("_key", "_b")
-        .agg(cut(F.collect_list("_docs")).alias("_tail"))
-    )
-    before = Window.partitionBy("_key").orderBy("_b").rowsBetween(-k, -1)
-    carried = tail.select("_key", "_b", cut(F.collect_list("_tail").over(before)).alias("_carry"))
-    return (
-        bucketed.withColumn("_own", F.collect_list("_docs").over(inside))
-        .join(carried, ["_key", "_b"])
-        .select("_key", "_time", cut(F.concat("_own", F.array("_carry"))).alias("_summary"))
-    )
-
-
 def nearest_capture(
     targets: DataFrame,
     captures: DataFrame,
@@ -354,7 +323,6 @@ def nearest_capture(
     mode: str = "time",
     status: str | None = None,
     name: str = "capture",
-    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Capture nearest to the target time: strictly before, strictly after, or either side.
 
@@ -364,12 +332,9 @@ def nearest_capture(
     """
     if status is not None:
         captures = captures.where(F.coalesce(F.col(status), F.lit("")) != "-")
-    bucket_seconds = bucket_seconds or min(
-        fitting_bucket(captures, on, capture_time), fitting_bucket(targets, on, target_time)
-    )
     facts = captures.withColumn("_cap", F.struct(F.col(capture_time).alias("t"), F.col(payload).alias("v")))
     look = lambda df, out, **kw: last_before(
-        df, facts, on, target_time, capture_time, "_cap", out, bucket_seconds=bucket_seconds, **kw
+        df, facts, on, target_time, capture_time, "_cap", out, **kw
     )
     if sort_by == "past":
         return look(targets, "_hit").withColumn(name, F.col("_hit.v")).drop("_hit")

@@ -5,24 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.plans.skew import HOT_ROWS
+from tidings.plans.scan import segmented_scan
 
 DAY = 86_400
 
 
-def fitting_bucket(df: DataFrame, on: Sequence[str], time: str, hot_rows: int = HOT_ROWS) -> int:
-    """Seconds per time bucket: a day, or less if some key has more than ``hot_rows`` rows in a day.
-
-    Costs one count per key and day; a single number comes back.
-    """
-    day = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (DAY * 1_000_000))
-    most = df.groupBy(*on, day.alias("_day")).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    return DAY if most <= hot_rows else max(1, DAY * hot_rows // most)
-
-
 def last_before(
     probes: DataFrame,
     facts: DataFrame,
@@ -34,15 +24,14 @@ def last_before(
     *,
     reverse: bool = False,
     inclusive: bool = False,
-    bucket_seconds: int = DAY,
 ) -> DataFrame:
     """Add to each probe the payload of the last fact of its key that is earlier than it.
 
     ``reverse`` looks for the first later fact instead, ``inclusive`` admits equal times. Of
     several facts at one time the one with the smallest payload wins; probes without a hit
-    get null, and so do probes with a null in their key or no time: null keys match nothing. Probes and facts are merged into one time line per (key, time bucket), so the
-    work is linear in their sum and a hot key is cut by time. A bucket learns what happened
-    before it from a table with one row per (key, bucket).
+    get null, and so do probes with a null in their key or no time: null keys match nothing. Probes and
+    facts are merged into one time line per key, and the last fact is carried along it, so the
+    work is linear in their sum, and a hot key is as many pieces as its share of the rows calls for.
     """
     on = list(on)
     sign = -1 if reverse else 1
@@ -57,35 +46,6 @@ def last_before(
     f = facts.where(known).select(
         *on, tick(fact_time).alias("_t"), F.lit(fact_rank).alias("_rank"), F.col(payload).alias("_payload")
     )
-    line = p.unionByName(f, allowMissingColumns=True).withColumn(
-        "_bucket", F.floor(F.col("_t") / (bucket_seconds * 1_000_000))
-    )
-    within = (
-        Window.partitionBy(*on, "_bucket")
-        .orderBy("_t", "_rank", F.col("_payload").desc())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    earlier = Window.partitionBy(*on).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    fact_key = F.when(F.col("_payload").isNotNull(), F.struct(F.col("_t")))
-    newest_time = line.groupBy(*on, "_bucket").agg(F.max(fact_key).alias("_newest"))
-    newest = (
-        newest_time.alias("n")
-        .join(
-            f.withColumn("_bucket", F.floor(F.col("_t") / (bucket_seconds * 1_000_000)))
-            .groupBy(*on, "_bucket", "_t")
-            .agg(F.min("_payload").alias("_payload"))
-            .alias("f"),
-            [F.col(f"n.{k}") == F.col(f"f.{k}") for k in on]
-            + [F.col("n._bucket") == F.col("f._bucket"), F.col("n._newest._t") == F.col("f._t")],
-            "left",
-        )
-        .select(*[F.col(f"n.{k}") for k in on], F.col("n._bucket"), F.col("f._payload"))
-        .withColumn("_carry", F.last("_payload", ignorenulls=True).over(earlier))
-        .drop("_payload")
-    )
-    return (
-        line.withColumn("_hit", F.last("_payload", ignorenulls=True).over(within))
-        .where(F.col("_probe").isNotNull())
-        .join(newest, [*on, "_bucket"], "left")
-        .select("_probe.*", F.coalesce("_hit", "_carry").alias(name))
-    )
+    line = p.unionByName(f, allowMissingColumns=True)
+    scanned = segmented_scan(line, on, ["_t", "_rank", F.col("_payload").desc()], last={"_hit": F.col("_payload")})
+    return scanned.where(F.col("_probe").isNotNull()).select("_probe.*", F.col("_hit").alias(name))

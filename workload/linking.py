@@ -272,9 +272,9 @@ SELECT event_id, archive_id, rank FROM (
   FROM events a JOIN events b ON a.event_type = b.event_type AND a.event_type = 'purchase' AND b.ts < a.ts AND b.ts > a.ts - INTERVAL 2 DAYS)
 WHERE rank <= 20""")
 def prior_coverage_hot_key(t):
-    """One key holds every row: time buckets do the splitting."""
+    """One key holds every row: the sort cuts it into pieces."""
     rows = t.events.where("event_type = 'purchase'").select("event_id", "ts", "event_type")
-    return joins.prior_coverage(rows, doc_id="event_id", key="event_type", days=2, bucket_seconds=3600)
+    return joins.prior_coverage(rows, doc_id="event_id", key="event_type", days=2)
 
 
 AS_OF_SQL = """
