@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+DRAWS = 16**13  # numbers that can be drawn
+
 
 def draw(seed: int, *columns: str | Column) -> Column:
     """A whole number below 2^52 out of the seed and the columns as text; null counts as empty text."""

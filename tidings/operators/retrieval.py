@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from tidings.functions import text
 from tidings.functions.dates import parse_interval
 from tidings.plans.shape import unpack
 from tidings.plans.skew import HOT_ROWS, hot_keys, salted_join, top_rows
+from tidings.plans.storage import materialize
 
 K1, B = 1.2, 0.75
 
@@ -69,6 +70,23 @@ def build_index(docs: DataFrame, doc_id: str, body: str) -> Index:
     return Index(counts.join(rel, "doc"), frequencies, docs.select(F.count(F.lit(1))).scalar())
 
 
+def _weighted_terms(index: Index, queries: DataFrame, query_id: str, body: str) -> DataFrame:
+    """(query, term, weight): times in the query times idf; unknown terms drop out."""
+    terms = term_counts(queries, query_id, body).select(F.col("doc").alias("query"), "term", F.col("tf").alias("qtf"))
+    n, df = index.n_docs, F.col("df")
+    known = terms.join(index.frequencies, "term")
+    return known.select("query", "term", (F.col("qtf") * F.log(1.0 + (n - df + 0.5) / (df + 0.5))).alias("weight"), "df")
+
+
+def _gain(k1: float, b: float) -> Column:
+    return F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("rel_len")))
+
+
+def _hot_terms(index: Index, hot_rows: int) -> DataFrame:
+    shares = F.ceil(F.col("df") / hot_rows).cast("int")
+    return index.frequencies.where(F.col("df") > hot_rows).select("term", shares.alias("_shares"))
+
+
 def bm25_scores(
     index: Index,
     queries: DataFrame,
@@ -86,29 +104,88 @@ def bm25_scores(
     while document frequencies and collection size stay those of the whole index. A term that
     repeats in a query counts each time. Unknown terms match no posting.
     """
-    terms = term_counts(queries, query_id, body).select(F.col("doc").alias("query"), "term", F.col("tf").alias("qtf"))
+    terms = _weighted_terms(index, queries, query_id, body).drop("df")
     # only postings of query terms are read on from here
-    wanted = terms.select("term").distinct()
-    postings = index.postings.join(wanted, "term", "left_semi")
+    postings = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     if include is not None:
         # pairs pick up the query's terms, then meet postings on (doc, term), a key without hot values
         allowed = include.select("query", "doc").distinct()
         matched = salted_join(allowed, terms, ["query"], hot_rows=hot_rows).join(postings, ["doc", "term"])
     else:
-        shares = F.ceil(F.col("df") / hot_rows).cast("int")
-        hot = index.frequencies.where(F.col("df") > hot_rows).select("term", shares.alias("_shares"))
-        matched = salted_join(postings, terms, ["term"], hot=hot)
+        matched = salted_join(postings, terms, ["term"], hot=_hot_terms(index, hot_rows))
     if exclude is not None:
         matched = matched.join(exclude.select("query", "doc").distinct(), ["query", "doc"], "left_anti")
-    n, df, tf = index.n_docs, F.col("df"), F.col("tf")
-    idf = F.log(1.0 + (n - df + 0.5) / (df + 0.5))
-    gain = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("rel_len")))
-    idf_table = index.frequencies.join(wanted, "term", "left_semi").select("term", idf.alias("idf"))
-    return (
-        matched.join(idf_table, "term")
-        .groupBy("query", "doc")
-        .agg(F.sum(F.col("qtf") * F.col("idf") * gain).alias("score"))
-    )
+    return matched.groupBy("query", "doc").agg(F.sum(F.col("weight") * _gain(k1, b)).alias("score"))
+
+
+@dataclass
+class Bounds:
+    """What lets a search leave documents out.
+
+    ``gains``: postings of the query terms (``term``, ``doc``, ``gain``), stored. ``terms``: query terms with their ``weight``, whether they
+    are ``essential``, and per query the score ``wanted`` at least and the most that the terms that are not can add (``rest``).
+    """
+
+    gains: DataFrame
+    terms: DataFrame
+
+
+def score_bounds(
+    index: Index, queries: DataFrame, query_id: str, body: str, cutoff: int, exclude: DataFrame | None = None,
+    slack: float = 1e-9, k1: float = K1, b: float = B,
+) -> Bounds:
+    """Thresholds and bounds of each query.
+
+    Every term's ``cutoff`` best postings add up to scores that some documents have at least; the ``cutoff``-th of them is what a
+    document has to reach. A term adds at most its weight times its best gain. Taken from the smallest, the terms whose bounds together
+    stay below the threshold are not essential: a document without any other term is not among the best. A query for which the best
+    postings hold fewer than ``cutoff`` documents (some may be excluded) has no threshold, and all its terms are essential.
+    """
+    weighted = materialize(_weighted_terms(index, queries, query_id, body), "query-terms")
+    wanted = weighted.select("term").distinct()
+    gains = materialize(index.postings.join(wanted, "term", "left_semi").select("term", "doc", _gain(k1, b).alias("gain")), "gains")
+    best = top_rows(gains, ["term"], [F.desc("gain"), "doc"], cutoff, "_rn")
+    known = best.join(weighted, "term").select("query", "doc", (F.col("weight") * F.col("gain")).alias("part"))
+    if exclude is not None:
+        known = known.join(exclude.select("query", "doc").distinct(), ["query", "doc"], "left_anti")
+    least = top_rows(known.groupBy("query", "doc").agg(F.sum("part").alias("part")), ["query"], [F.desc("part"), "doc"], cutoff, "_rn")
+    least = least.where(F.col("_rn") == cutoff).select("query", (F.col("part") - slack).alias("wanted"))
+    most = weighted.join(best.where("_rn = 1").select("term", "gain"), "term").withColumn("most", F.col("weight") * F.col("gain"))
+    # the terms of one query
+    upward = Window.partitionBy("query").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    marked = most.join(least, "query", "left").withColumn("essential", F.col("wanted").isNull() | (F.sum("most").over(upward) >= F.col("wanted")))
+    rest = F.sum(F.when(~F.col("essential"), F.col("most")).otherwise(0.0)).over(Window.partitionBy("query"))
+    terms = marked.select("query", "term", "weight", "essential", F.coalesce("wanted", F.lit(float("-inf"))).alias("wanted"), rest.alias("rest"))
+    return Bounds(gains, materialize(terms, "bounds"))
+
+
+def candidate_scores(bounds: Bounds, index: Index, exclude: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(query, doc, part, rest): documents that can reach their query's threshold, with what their essential terms add up to.
+
+    Postings are kept together by document, so sums need no second shuffle.
+    """
+    essential = bounds.terms.where("essential").select("query", "term", "weight", "wanted", "rest")
+    matched = salted_join(bounds.gains, essential, ["term"], hot=_hot_terms(index, hot_rows))
+    if exclude is not None:
+        matched = matched.join(exclude.select("query", "doc").distinct(), ["query", "doc"], "left_anti")
+    sums = matched.groupBy("query", "doc").agg(F.sum(F.col("weight") * F.col("gain")).alias("part"), F.first("wanted").alias("wanted"), F.first("rest").alias("rest"))
+    return sums.where(F.col("part") + F.col("rest") >= F.col("wanted")).select("query", "doc", "part", "rest")
+
+
+def pruned_scores(
+    index: Index, queries: DataFrame, query_id: str, body: str, cutoff: int, exclude: DataFrame | None = None,
+    slack: float = 1e-9, k1: float = K1, b: float = B, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """(query, doc, score) of documents among which the best ``cutoff`` of each query are.
+
+    Candidates come from essential terms alone; what the other terms add is looked up for the candidates only.
+    """
+    bounds = score_bounds(index, queries, query_id, body, cutoff, exclude, slack, k1, b)
+    found = materialize(candidate_scores(bounds, index, exclude, hot_rows), "candidates")
+    others = bounds.terms.where("NOT essential").select("query", "term", "weight")
+    asked = found.where("rest > 0").select("query", "doc").join(others, "query")
+    added = asked.join(bounds.gains, ["doc", "term"]).groupBy("query", "doc").agg(F.sum(F.col("weight") * F.col("gain")).alias("added"))
+    return found.join(added, ["query", "doc"], "left").select("query", "doc", (F.col("part") + F.coalesce("added", F.lit(0.0))).alias("score"))
 
 
 def search(
@@ -125,9 +202,13 @@ def search(
     """The best ``cutoff`` documents of each query, best first (smaller id on a tie).
 
     ``digits`` rounds scores before ranking, which makes ties independent of the order in
-    which partial sums were added.
+    which partial sums were added. Without ``include`` documents that can't be among the best are left out early.
     """
-    scores = bm25_scores(index, queries, query_id, body, include, exclude, **weights)
+    if include is None:
+        slack = 1e-9 if digits is None else 10.0**-digits
+        scores = pruned_scores(index, queries, query_id, body, cutoff, exclude, slack, **weights)
+    else:
+        scores = bm25_scores(index, queries, query_id, body, include, exclude, **weights)
     if digits is not None:
         scores = scores.withColumn("score", F.round("score", digits))
     return top_rows(scores, ["query"], [F.desc("score"), "doc"], cutoff, "rank")
@@ -241,22 +322,36 @@ QUERIES_PER_BLOCK = 2_048
 VECTORS_PER_BLOCK = 32_768
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    """Rows scaled to length 1; a null or zero vector stays zero."""
-    rows = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+def unit_rows(vectors: pd.Series, width: int | None = None) -> np.ndarray:
+    """Rows scaled to length 1; a null or zero vector stays zero. ``width`` is needed where all could be null."""
+    width = width or max((len(v) for v in vectors if v is not None), default=0)
+    rows = np.array([np.zeros(width) if v is None else np.asarray(v, dtype=np.float64) for v in vectors]).reshape(len(vectors), width)
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _best_of_block(
-    query_ids: np.ndarray, queries: np.ndarray, docs: pd.DataFrame, k: int, digits: int
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` largest scores of each row, best first, the first of equals first."""
+    n = scores.shape[1]
+    if k >= n:
+        return np.argsort(-scores, axis=1, kind="stable")
+    cut = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    # what reaches the cut is k columns and those equal to the last of them
+    top = np.empty((len(scores), k), np.int64)
+    for row, (values, at_least) in enumerate(zip(scores, scores >= cut)):
+        columns = np.flatnonzero(at_least)
+        top[row] = columns[np.argsort(-values[columns], kind="stable")[:k]]
+    return top
+
+
+def best_of_block(
+    query_ids: np.ndarray, queries: np.ndarray, doc_ids: np.ndarray, docs: np.ndarray, k: int, digits: int
 ) -> pd.DataFrame:
     """Best k of one block of vectors for each query, ties at the cut by smaller id."""
-    doc_ids = docs["doc"].to_numpy()
     by_id = np.argsort(doc_ids, kind="stable")
     doc_ids = doc_ids[by_id]
-    scores = np.round(queries @ _matrix(docs["vector"])[by_id].T, digits)
-    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    scores = np.round(queries @ docs[by_id].T, digits)
+    top = _best(scores, k)
     return pd.DataFrame(
         {
             "query": np.repeat(query_ids, top.shape[1]),
@@ -266,6 +361,21 @@ def _best_of_block(
     )
 
 
+def _better(kept: pd.DataFrame | None, new: pd.DataFrame, n_queries: int, k: int) -> pd.DataFrame:
+    """Best k per query of two results of ``best_of_block`` for the same queries."""
+    if kept is None:
+        return new
+    wide = lambda c: np.hstack([kept[c].to_numpy().reshape(n_queries, -1), new[c].to_numpy().reshape(n_queries, -1)])
+    docs, scores = wide("doc"), wide("score")
+    order = np.lexsort((docs, -scores), axis=1)[:, :k]
+    return pd.DataFrame(
+        {
+            "query": np.repeat(kept["query"].to_numpy().reshape(n_queries, -1)[:, 0], order.shape[1]),
+            "doc": np.take_along_axis(docs, order, axis=1).ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel(),
+        }
+    )
+
+
 def dense_top_k(
     queries: DataFrame,
     vectors: DataFrame,
@@ -279,7 +389,7 @@ def dense_top_k(
 ) -> DataFrame:
     """The ``k`` nearest vectors of each query by cosine, exactly.
 
-    Each block of vectors is scored against a block of queries as one matrix product and hands
+    Each block of vectors is scored against a block of queries as one matrix product; a task hands
     on its best ``k`` per query, so scores are never a table. Up to ``queries_per_block``
     queries (the count is checked) travel to the tasks as one small matrix and the vectors stay
     where they are. More queries meet the vectors block by block, in groups of bounded size.
@@ -296,14 +406,17 @@ def dense_top_k(
     n_queries = q.count()
     if n_queries <= queries_per_block:
         table = q.toPandas()
-        ids, matrix = table["query"].to_numpy(), _matrix(table["vector"]) if n_queries else np.zeros((0, 0))
+        ids, matrix = table["query"].to_numpy(), unit_rows(table["vector"])
         sent = q.sparkSession.sparkContext.broadcast((ids, matrix))
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, matrix = sent.value
+            (ids, matrix), best = sent.value, None
             for docs in batches:
                 if len(docs) and len(ids):
-                    yield _best_of_block(ids, matrix, docs, k, digits)
+                    found = best_of_block(ids, matrix, docs["doc"].to_numpy(), unit_rows(docs["vector"], matrix.shape[1]), k, digits)
+                    best = _better(best, found, len(ids), k)
+            if best is not None:
+                yield best
 
         best = v.mapInPandas(score, out)
     else:
@@ -317,7 +430,8 @@ def dense_top_k(
         def score_blocks(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
             if not len(queries) or not len(docs):
                 return pd.DataFrame({"query": [], "doc": [], "score": []})
-            return _best_of_block(queries["query"].to_numpy(), _matrix(queries["vector"]), docs, k, digits)
+            asked = queries["query"].to_numpy(), unit_rows(queries["vector"])
+            return best_of_block(*asked, docs["doc"].to_numpy(), unit_rows(docs["vector"], asked[1].shape[1]), k, digits)
 
         best = q_blocks.groupBy("qb", "vb").cogroup(v_blocks.groupBy("qb", "vb")).applyInPandas(score_blocks, out)
     return top_rows(best, ["query"], [F.desc("score"), "doc"], k, "rank")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidings.operators import evaluate, joins, retrieval
+from tidings.operators import evaluate, joins, retrieval, vector_index
 from tidings.plans.storage import materialize
 from workload.registry import query, words_sql
 
@@ -201,6 +201,14 @@ def dense_top_k_blocks(t):
     )
 
 
+@query()
+def vector_index_top20(t):
+    """Every hundredth vector against all, through cells; as many are probed as 95 % of the true neighbours take."""
+    index = vector_index.build_vector_index(t.embeddings, "vec_id", "embedding")
+    probes = vector_index.probes_for(index, 20, recall=0.95)
+    return vector_index.search_vectors(index, t.embeddings.where("vec_id % 100 = 0"), "vec_id", "embedding", 20, probes)
+
+
 @query(f"""WITH {DENSE_SQL.format(k=1000)},
 tm AS (SELECT vec_id, TIMESTAMP '2024-01-01' + to_days(CAST(vec_id * 13 % 365 AS INTEGER)) AS at FROM embeddings),
 ok AS (SELECT q, d, rank, row_number() OVER (PARTITION BY q ORDER BY rank) AS rn FROM top JOIN tm a ON a.vec_id = q JOIN tm b ON b.vec_id = d
