@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.functions.draws import draw
 from tidings.functions import arrays
 from tidings.plans.shape import unpack
 from tidings.plans.skew import HOT_ROWS, row_numbers, running_sum, top_rows
+from tidings.plans.storage import materialize
 
 
 # ---- one or a few rows per key ---------------------------------------------------------------
@@ -103,6 +104,21 @@ def multi_sort(df: DataFrame, *order: str | Column) -> DataFrame:
     return df.orderBy(*order)
 
 
+def with_position(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """Number the rows of a sorted frame from 1, in the order in which they stand.
+
+    The rows are stored once with their number inside their partition; what the partitions before hold is one row per partition.
+    """
+    stored = materialize(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33)
+    sizes = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = stored.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    inside = F.col("_at") - F.shiftleft("_part", 33)
+    return numbered.select(*ordered.columns, (F.col("_before") + inside + 1).alias(name))
+
+
 def top_n(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 

@@ -119,9 +119,9 @@ def top_orders(t):
     return win.top_n(t.orders.select("o_orderkey", "o_totalprice"), 100, F.desc("o_totalprice"), "o_orderkey")
 
 
-@query("SELECT doc_id, lang, n_chars FROM documents")
+@query("SELECT doc_id, lang, n_chars, row_number() OVER (ORDER BY lang NULLS FIRST, n_chars DESC NULLS LAST, doc_id) AS position FROM documents")
 def multi_sort(t):
-    return win.multi_sort(t.documents.select("doc_id", "lang", "n_chars"), "lang", F.desc("n_chars"), "doc_id")
+    return win.with_position(win.multi_sort(t.documents.select("doc_id", "lang", "n_chars"), "lang", F.desc("n_chars"), "doc_id"))
 
 
 @query("""
@@ -135,11 +135,11 @@ def custom_order(t):
 
 
 @query(f"""
-SELECT doc_id, len({words_sql('text')}) AS n FROM documents""")
+SELECT doc_id, n, row_number() OVER (ORDER BY n DESC, doc_id) AS position FROM (SELECT doc_id, len({words_sql('text')}) AS n FROM documents)""")
 def longest_documents(t):
     rows = t.documents.select("doc_id", text.tokens(F.col("text")).alias("w"))
     out = win.sort_by_length(rows, "w", "doc_id")
-    return out.select("doc_id", F.size("w").cast("long").alias("n"))
+    return win.with_position(out.select("doc_id", F.size("w").cast("long").alias("n")))
 
 
 @query("""
@@ -183,7 +183,7 @@ def unpivot_distinct(t):
 # ---- filters --------------------------------------------------------------------------------------------
 @query("""
 SELECT doc_id AS article_id, lang AS article_lang, source AS article_source FROM documents
-WHERE lang = 'en' AND source NOT IN ('src1', 'src3') AND length(text) BETWEEN 1 AND 999999""")
+WHERE lang = 'en' AND source NOT IN ('src1', 'src3') AND length(text) >= 1""")
 def select_rename_filter(t):
     rows = pred.select_columns(t.documents, drop=["n_chars"])
     rows = pred.language_filter(pred.text_length_between(rows, "text"))
@@ -210,9 +210,10 @@ def index_slice(t):
     return pred.index_slice(t.orders.select("o_orderkey"), ["o_orderkey"], 100, 900)
 
 
-@query("SELECT doc_id FROM documents")
+@query("""
+SELECT doc_id, row_number() OVER (ORDER BY CAST('0x' || substr(md5('11:' || doc_id), 1, 13) AS BIGINT), doc_id) AS position FROM documents""")
 def seeded_order(t):
-    return pred.seeded_order(t.documents.select("doc_id"), "doc_id", seed=11)
+    return win.with_position(pred.seeded_order(t.documents.select("doc_id"), "doc_id", seed=11))
 
 
 @query("SELECT doc_id FROM labels WHERE quality + toxic = 1")

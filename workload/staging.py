@@ -185,14 +185,12 @@ def first_rows(t):
 
 
 @query("""
-SELECT 'all' AS output, count(*) AS n FROM documents UNION ALL SELECT 'subset', count(*) FROM documents WHERE lang = 'fr'""")
+SELECT 'all' AS output, doc_id, lang FROM documents UNION ALL SELECT 'subset', doc_id, lang FROM documents WHERE lang = 'fr'""")
 def two_way_write(t):
     everything, subset = _path(t, "all"), _path(t, "subset")
     writers.write_two_way(t.documents.select("doc_id", "lang"), everything, subset, lambda d: d.where("lang = 'fr'"))
-    n = lambda path, name: readers.read_jsonl(t._spark, path, "doc_id long, lang string").groupBy().agg(
-        F.count("doc_id").alias("n")
-    ).select(F.lit(name).alias("output"), "n")
-    return n(everything, "all").unionByName(n(subset, "subset"))
+    rows = lambda path, name: readers.read_jsonl(t._spark, path, "doc_id long, lang string").select(F.lit(name).alias("output"), "doc_id", "lang")
+    return rows(everything, "all").unionByName(rows(subset, "subset"))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem")
@@ -249,7 +247,7 @@ def incremental_ingest(t):
 
 
 @query("""
-SELECT 'all' AS output, count(*) AS n FROM pages UNION ALL SELECT 'subset', count(*) FROM pages WHERE contains(url, '/en')""")
+SELECT 'all' AS output, url AS article_url FROM pages UNION ALL SELECT 'subset', url FROM pages WHERE contains(url, '/en')""")
 def stream_extract(t):
     """Pages parsed per micro-batch into two tables."""
     landing, every, some, state = (_path(t, x) for x in ("pages", "parsed", "chosen", "state"))
@@ -258,8 +256,8 @@ def stream_extract(t):
     ingest.stream_two_way(
         stream, combine.extract_articles, lambda d: d.where(F.col("article_url").contains("/en")), every, some, state
     ).awaitTermination()
-    n = lambda path, name: t._spark.read.parquet(path).agg(F.count("article_text").alias("n")).select(F.lit(name).alias("output"), "n")
-    return n(every, "all").unionByName(n(some, "subset"))
+    rows = lambda path, name: t._spark.read.parquet(path).where("article_text IS NOT NULL").select(F.lit(name).alias("output"), "article_url")
+    return rows(every, "all").unionByName(rows(some, "subset"))
 
 
 @query("""
