@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from tidings.plans.storage import materialize
 
 HOT_ROWS = 2_000_000  # a key with more rows than this is spread over several tasks
+NULL_SHARES = 10_000  # shares of the rows without a key where keys are spread
 
 
 def _as_column(item: str | Column) -> Column:
@@ -62,10 +64,12 @@ def salted_join(
     known = [c for c in shares.columns if c != "_shares"]
     shares = F.broadcast(shares)
     n = F.coalesce(F.col("_shares"), F.lit(1))
+    # a null key meets nothing, so its rows may stand anywhere
+    no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     salted_left = (
         left.withColumn("_h", _row_hash(left))
         .join(shares, known, "left")
-        .withColumn("_salt", F.pmod(F.col("_h"), n).cast("int"))
+        .withColumn("_salt", F.pmod(F.col("_h"), F.when(no_key, NULL_SHARES).otherwise(n)).cast("int"))
         .drop("_h", "_shares")
     )
     salted_right = (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidings.functions import text
 from tidings.operators import aggregates as agg
-from tidings.operators import joins, reports, scoring
+from tidings.operators import joins, reports, scoring, similarity
 from tidings.operators.windows import first_per_key
 from tidings.plans import linkage
 from workload.registry import query, sentences_sql, words_sql
@@ -237,6 +237,18 @@ def entity_cosine(t):
     return joins.entity_cosine(items, docs).withColumn("cosine", F.round("cosine", 6))
 
 
+@query(f"""
+WITH w AS (SELECT DISTINCT doc_id, unnest({words_sql('text')}) AS k FROM documents), n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+s AS (SELECT a.doc_id AS target, b.doc_id AS archive, count(*) AS shared FROM w a JOIN w b ON a.k = b.k AND a.doc_id % 100 = 0 GROUP BY ALL)
+SELECT target, archive, round(shared / sqrt(x.n * y.n), 6) AS cosine FROM s JOIN n x ON x.doc_id = target JOIN n y ON y.doc_id = archive
+WHERE shared / sqrt(x.n * y.n) >= 0.6 - 1e-9""")
+def similar_word_sets(t):
+    """Every hundredth document against all, by words: cosines of 0.6 and more."""
+    rows = joins.entity_rows(t.spread("documents", "doc_id"), "doc_id", text.tokens(F.col("text")), one_row_per_doc=True)
+    found = similarity.similar_sets(rows.where("doc % 100 = 0"), rows, 0.6)
+    return found.withColumn("cosine", F.round("cosine", 6))
+
+
 @query(f"""
 WITH {ENTITY_SQL} SELECT item_id AS target, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS archives FROM pairs GROUP BY item_id""")
 def entity_archive_lists(t):

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from tidings.functions import arrays, html, text, urls
 from tidings.operators import predicates as pred
-from tidings.operators import scoring
+from tidings.operators import boundaries, scoring, sequence_labels
 from tidings.operators.aggregates import concat_by_key, ordered_lists
 from tidings.operators.windows import keep_first_duplicate, zip_explode
 from tidings.plans.combine import extract_articles
+from tidings.plans.shape import unpack
+from tidings.plans.storage import materialize
 from tidings.sources.readers import enrich_packets, parse_crawl_index
 from workload.registry import query, sentences_sql, words_sql
 
@@ -359,6 +361,41 @@ def discourse_labels(t):
     )
 
 
+@query()
+def turn_labels(t):
+    """Who speaks in each turn, told from its words and the turns around it; learned from the turns themselves."""
+    model = sequence_labels.learn_sequence_model(t.conversations, "conv_id", "turn", "role", "text")
+    return sequence_labels.label_sequences(model, t.conversations.select("conv_id", "turn", "text"), "conv_id", "turn", "text")
+
+
+@query()
+def learned_sentences(t):
+    """Sentences cut by abbreviations and sentence starters that the documents themselves give away."""
+    docs = t.spread("documents", "doc_id").select("doc_id", "text")
+    known = materialize(boundaries.abbreviations(boundaries.stop_counts(docs, "text")), "abbreviations")
+    starters = materialize(boundaries.sentence_starters(docs, "text", known), "starters")
+    out = boundaries.split_sentences(docs, ["doc_id"], "text", known, starters)
+    return out.select("doc_id", "sent_idx", F.md5("sentence").alias("sentence"))
+
+
+SHORT_SQL = r"(SELECT DISTINCT lower(k) AS word FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}]+')) AS k FROM documents) WHERE length(k) <= 3)"
+
+
+@query(rf"""
+WITH short AS {SHORT_SQL},
+p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+(\p{{Lu}})', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS l FROM documents),
+c AS (SELECT doc_id, i, l[i] AS piece, lower(regexp_extract(l[i - 1], '(\p{{L}}[\p{{L}}\p{{N}}.&''-]*)\.$', 1)) AS before FROM p, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)),
+m AS (SELECT doc_id, i, piece, sum(CASE WHEN i > 1 AND (word IS NOT NULL OR length(before) = 1) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM c LEFT JOIN short ON before = word)
+SELECT doc_id, CAST(n - 1 AS INTEGER) AS sent_idx, md5(string_agg(piece, ' ' ORDER BY i)) AS sentence FROM m GROUP BY doc_id, n""")
+def sentences_by_rule(t):
+    """The rule with a given table: every word of at most three letters counts as an abbreviation."""
+    docs = t.spread("documents", "doc_id").select("doc_id", "text")
+    letters = F.regexp_extract_all("text", F.lit(r"(\p{L}+)"))
+    short = unpack(docs, [], letters, "word").where(F.length("word") <= 3).select(F.lower("word").alias("word")).distinct()
+    out = boundaries.split_sentences(docs, ["doc_id"], "text", short)
+    return out.select("doc_id", "sent_idx", F.md5("sentence").alias("sentence"))
+
+
 @query()
 def sentence_quote_types(t):
     rows = t.conversations.select("conv_id", "turn", F.explode(text.sentences(F.col("text"))).alias("sentence"))
