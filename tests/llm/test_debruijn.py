@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tidings.llm import debruijn
-from tidings.llm.debruijn import WINDOW, chain_labels, grams, joined_spans, node_runs, remove_repeated_passages
+from tidings.llm.debruijn import WINDOW, chain_labels, grams, joined_spans, node_runs, remove_repeated_passages, stretches
 
 
 def windows(words):
@@ -122,11 +122,18 @@ def test_hashes_and_names():
         again = grams(np.concatenate([h[5:9], h[100 : 100 + size]]), size)
         assert len(made) == 300 - size + 1 and len(set(made.tolist())) == len(made) and made[100] == again[-1]
     assert len(grams(h[:3], 4)) == 0
-    m, at, nodes, twice = node_runs(h)
+    _, m, at, nodes, twice = node_runs(h, np.array([300]))
     assert nodes.sum() == 300 - WINDOW + 2 and not twice.any()
-    moved = node_runs(np.concatenate([h[:7], h[50:250]]))
+    # the same words in other surroundings, and texts too short for a node beside them
+    more = np.concatenate([h[:34], h[:7], h[50:250], h[:20]])
+    text, *moved = node_runs(more, np.array([34, 207, 0, 20]))
+    assert set(text.tolist()) == {1} and moved[2].sum() == 207 - WINDOW + 2
     name = lambda runs, i: next(x for x, a, n in zip(*runs[:3]) if a <= i < a + n)
     assert all(name((m, at, nodes), 100 + i) == name(moved, 57 + i) for i in range(50))
+    start, end = np.array([3, 10, 100, 100]), np.array([50, 57, 101, 100])
+    made = stretches(h, start, end)
+    assert len(set(made.tolist())) == 4
+    assert stretches(np.concatenate([h[7:], h]), start + 293, end + 293).tolist() == made.tolist()
 
 
 def test_chains():

@@ -8,10 +8,10 @@ one going out nothing branches, and the two belong to one path: a passage that a
    wherever it stands. Consecutive nodes of one name form a run. Names that occur once hold no repeated edge; they go
    before any text moves. Equal runs are one run with a weight.
 2. Compaction inside a name. The runs of a share of the names form one collection. A run brings one word more on either side, so
-   every edge into or out of its nodes is there with its full count, and whether a node branches is known. Edges of equal
-   hash are compared word by word. Chains of edges become pieces, each named by one of its edges.
-3. Compaction between names, by Spark joins. An edge between nodes of two shares is in a piece of either; the pieces that
-   meet at it are linked, and the components of the links are the paths.
+   every edge into or out of its nodes is there with its full count, and whether a node branches is known. Edges are
+   equal if two unrelated 64-bit hashes of their words are. Chains of edges become pieces, each named by one of its edges.
+3. Compaction between names, by Spark joins. An edge between nodes of two shares ends a piece of one
+   and begins a piece of the other; that links the two, and doubling pointers along the links finds each chain's first piece.
 4. Verification by source coordinates. Pieces go back to every place where their run stands. A path's pieces that follow each
    other in a text become one span. A span has at least ``WINDOW`` words and each of its windows has at least two
    sources, itself included.
@@ -25,20 +25,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidings.plans.skew import salted_join
-from tidings.llm.common import WordHashes, as_bytes, components, lists_of, map_batches, materialize, mixed, odd_numbers, prepare, row_key
+from tidings.llm.common import WordHashes, as_bytes, lists_of, map_batches, materialize, mixed, odd_numbers, prepare, row_key
 
 WINDOW = 35  # words of a window whose repeats are removed
 NODE = WINDOW - 1
 GRAM = 10  # words of a gram that names nodes
-SHARD_BYTES = 6_000_000  # text that one collection holds
+SHARD_BYTES = 3_000_000  # text that one collection holds
 HOT_RUNS = 50_000  # different runs of one name that may meet in one collection
 STEPS = odd_numbers(12, 11)
-PIECES = "m bigint, d bigint, spans array<bigint>, edges array<bigint>, labels array<bigint>"
+BASE = odd_numbers(1, 17)[0]
+BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+PIECES = "m bigint, d bigint, spans array<bigint>, edges array<bigint>, labels array<bigint>, ends array<boolean>"
 
 
 def grams(h: np.ndarray, size: int) -> np.ndarray:
@@ -58,10 +59,24 @@ def grams(h: np.ndarray, size: int) -> np.ndarray:
         span, k = 2 * span, k + 1
 
 
-def node_runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of nodes of one name in a text: name, first node, number of nodes, whether an edge may occur twice in it."""
+def stretches(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words from ``start`` to ``end``, wherever they stand: differences of running sums of a polynomial."""
+    n = len(h)
+    up, down = np.full(n + 1, BASE, np.uint64), np.full(n + 1, BASE_INVERSE, np.uint64)
+    up[:1] = down[:1] = 1
+    up, down = np.cumprod(up), np.cumprod(down)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mixed(h) * up[:n], out=total[1:])
+    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * STEPS[-1])
+
+
+def node_runs(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of nodes of one name in texts that stand one after another.
+
+    Number of the text, name, first node, number of nodes, whether an edge may occur twice in it.
+    """
     if len(h) < WINDOW:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     g = mixed(grams(h, GRAM))
     # 52 bits of hash, then the place: equal grams in one node count as several
     best = (g & np.uint64(0xFFFFFFFFFFFFF000)) | (np.arange(len(g), dtype=np.uint64) & np.uint64(0xFFF))
@@ -70,11 +85,24 @@ def node_runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         best, reach = np.minimum(best[:-reach], best[reach:]), 2 * reach
     if reach < wide:
         best = np.minimum(best[: len(best) - (wide - reach)], best[wide - reach :])
+    first = np.cumsum(sizes) - sizes
+    text = np.repeat(np.arange(len(sizes)), sizes)[: len(best)]
+    at = np.arange(len(best)) - first[text]
+    inside = (at + NODE <= sizes[text]) & (sizes[text] >= WINDOW)
     name = (best >> np.uint64(12)).view(np.int64)
-    start = np.concatenate(([0], np.flatnonzero(name[1:] != name[:-1]) + 1))
+    new = inside.copy()
+    new[1:] &= (name[1:] != name[:-1]) | ~inside[:-1] | (at[1:] == 0)
+    start = np.flatnonzero(new)
+    kept = np.flatnonzero(inside)
+    nodes = np.diff(np.append(np.searchsorted(kept, start), len(kept)))
     moved = np.concatenate(([0], np.cumsum(best[1:] != best[:-1])))
-    end = np.append(start[1:], len(name))
-    return name[start], start, end - start, moved[end - 1] > moved[start]
+    return text[start], name[start], at[start], nodes, moved[start + nodes - 1] > moved[start]
+
+
+def hashed(texts: list[bytes | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, and the number of words of each."""
+    found = [hashes.of((t or b"").split()) for t in texts]
+    return np.concatenate(found), np.array([len(h) for h in found])
 
 
 def name_counts(docs: DataFrame, text_column: str) -> DataFrame:
@@ -82,10 +110,9 @@ def name_counts(docs: DataFrame, text_column: str) -> DataFrame:
     hashes = WordHashes()
 
     def run(texts):
-        found = [node_runs(hashes.of((x or b"").split())) for x in as_bytes(texts)]
-        names, at = np.unique(np.concatenate([r[0] for r in found]), return_inverse=True)
-        twice = np.concatenate([r[3] for r in found]).astype(np.int64) + 1
-        return [names, np.bincount(at, twice, len(names)).astype(np.int64)]
+        _, m, _, _, twice = node_runs(*hashed(as_bytes(texts), hashes))
+        names, at = np.unique(m, return_inverse=True)
+        return [names, np.bincount(at, twice.astype(np.int64) + 1, len(names)).astype(np.int64)]
 
     counted = map_batches(docs, [F.col(text_column)], run, "m bigint, c bigint")
     return counted.groupBy("m").agg(F.sum("c").alias("c")).where("c > 1").select("m")
@@ -96,20 +123,13 @@ def occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     hashes = WordHashes()
 
     def run(k1, k2, texts):
-        parts, lengths = [], []
-        for text in as_bytes(texts):
-            h = hashes.of((text or b"").split())
-            m, at, nodes, _ = node_runs(h)
-            raw, n = h.tobytes(), len(h)
-            d = [
-                xxhash.xxh3_64_intdigest(raw[8 * max(a - 1, 0) : 8 * min(a + k + NODE, n)], seed=a > 0)
-                for a, k in zip(at.tolist(), nodes.tolist())
-            ]
-            parts.append((m, np.array(d, np.uint64).view(np.int64), at, nodes))
-            lengths.append(len(m))
-        rows = pa.array(np.repeat(np.arange(len(lengths)), lengths))
-        m, d, at, nodes = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(4))
-        return [k1.take(rows), k2.take(rows), m, d, at.astype(np.int32), nodes.astype(np.int32)]
+        h, sizes = hashed(as_bytes(texts), hashes)
+        text, m, at, nodes, _ = node_runs(h, sizes)
+        first = (np.cumsum(sizes) - sizes)[text]
+        left = (at > 0).astype(np.int64)
+        d = stretches(h, first + at - left, first + np.minimum(at + nodes + NODE, sizes[text]))
+        rows = pa.array(text)
+        return [k1.take(rows), k2.take(rows), m, (d ^ left.view(np.uint64)).view(np.int64), at.astype(np.int32), nodes.astype(np.int32)]
 
     return map_batches(docs, [*row_key(id_column, text_column), F.col(text_column)], run, "_k1 string, _k2 bigint, m bigint, d bigint, at int, nodes int")
 
@@ -135,20 +155,18 @@ def segments(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: st
 
 
 class Edges:
-    """All edges of a collection of runs, in text order: hash, end nodes, place in the words, run, weight, whose they are."""
+    """All edges of a collection of runs, in text order: two hashes, end nodes, place in the words, run, weight, whose they are."""
 
     def __init__(self, texts: list[bytes], weights: np.ndarray, left: np.ndarray, nodes: np.ndarray):
-        hashes = WordHashes()
-        words = [hashes.of(t.split()) for t in texts]
-        sizes = np.array([len(w) for w in words])
+        words, sizes = hashed(texts, WordHashes())
         first = np.cumsum(sizes) - sizes
-        self.words = np.concatenate(words)
         counts = sizes - WINDOW + 1
         self.run = np.repeat(np.arange(len(sizes)), counts)
         self.step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         self.place = np.repeat(first, counts) + self.step
-        self.hash = grams(self.words, WINDOW)[self.place]
-        node = grams(self.words, NODE)
+        self.hash = grams(words, WINDOW)[self.place]
+        self.second = stretches(words, self.place, self.place + WINDOW)
+        node = grams(words, NODE)
         self.source, self.target = node[self.place], node[self.place + 1]
         self.weight = weights[self.run]
         self.left = left.astype(np.int64)
@@ -158,12 +176,9 @@ class Edges:
 
 def repeated_edges(e: Edges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each edge the number of its kind among the repeated ones, or -1; the first edge of each kind; whether it is at home here."""
-    order = np.argsort(e.hash, kind="stable")
-    place, h = e.place[order], e.hash[order]
-    same = h[1:] == h[:-1]
-    at = np.flatnonzero(same)
-    for j in range(WINDOW):  # the words decide, not the hash
-        same[at] &= e.words[place[at] + j] == e.words[place[at + 1] + j]
+    order = np.lexsort((e.second, e.hash))
+    h, second = e.hash[order], e.second[order]
+    same = (h[1:] == h[:-1]) & (second[1:] == second[:-1])
     start = np.concatenate(([0], np.flatnonzero(~same) + 1))
     own = np.add.reduceat(e.weight[order] * e.own[order], start)
     count = np.where(own > 0, own, np.add.reduceat(e.weight[order] * ~e.own[order], start))
@@ -192,7 +207,10 @@ def chain_labels(h: np.ndarray, source: np.ndarray, target: np.ndarray, inner: n
 
 
 def compacted(parts: DataFrame, key: str) -> DataFrame:
-    """``PIECES`` of the runs of each group: spans (first window, windows, piece) by run, edges on the border with their piece."""
+    """``PIECES`` of the runs of each group: spans (first window, windows, piece) by run; edges on the border with their piece.
+
+    ``ends`` tells that the piece ends with the edge; else it begins with it.
+    """
 
     def run(table):
         e = Edges(as_bytes(table["words"].combine_chunks()), table["weight"].to_numpy(), table["left"].to_numpy(), table["nodes"].to_numpy())
@@ -211,11 +229,13 @@ def compacted(parts: DataFrame, key: str) -> DataFrame:
         ], 1).ravel().astype(np.int64)
         spans = lists_of(flat, 3 * np.bincount(owner, minlength=table.num_rows))
         none = pa.nulls(table.num_rows, pa.list_(pa.int64()))
-        made = pa.table({"m": table["m"], "d": table["d"], "spans": spans, "edges": none, "labels": none})
+        made = pa.table({
+            "m": table["m"], "d": table["d"], "spans": spans, "edges": none, "labels": none, "ends": pa.nulls(table.num_rows, pa.list_(pa.bool_()))
+        })
         some = int(border.sum())
         rest = pa.table({
             "m": pa.nulls(1, pa.int64()), "d": pa.nulls(1, pa.int64()), "spans": pa.nulls(1, pa.list_(pa.int64())),
-            "edges": lists_of(h[border].view(np.int64), [some]), "labels": lists_of(label[border].view(np.int64), [some]),
+            "edges": lists_of(h[border].view(np.int64), [some]), "labels": lists_of(label[border].view(np.int64), [some]), "ends": lists_of(home[border], [some]),
         })
         return pa.concat_tables([made.filter(pa.array(np.bincount(owner, minlength=table.num_rows) > 0)), rest])
 
@@ -229,14 +249,12 @@ def in_shards(parts: DataFrame, size: int) -> DataFrame:
 
 
 def edge_rows(parts: DataFrame) -> DataFrame:
-    """The edges of runs as rows; ``step`` counts from the run's first node, ``words`` are a second hash."""
+    """The edges of runs as rows; ``step`` counts from the run's first node, ``words`` is the second hash."""
 
     def run(m, d, weight, left, nodes, words):
         e = Edges(as_bytes(words), weight.to_numpy(), left.to_numpy(zero_copy_only=False), nodes.to_numpy())
         at = pa.array(e.run)
-        raw = e.words.tobytes()
-        second = np.array([xxhash.xxh3_64_intdigest(raw[8 * p : 8 * (p + WINDOW)]) for p in e.place.tolist()], np.uint64)
-        signed = [x.view(np.int64) for x in (e.hash, second, e.source, e.target)]
+        signed = [x.view(np.int64) for x in (e.hash, e.second, e.source, e.target)]
         inner = e.step - e.left[e.run] + 1 < nodes.to_numpy()[e.run]
         return [m.take(at), d.take(at), e.weight, (e.step - e.left[e.run]).astype(np.int32), *signed, e.own, inner]
 
@@ -262,11 +280,14 @@ def compacted_hot(parts: DataFrame) -> DataFrame:
         F.flatten(F.collect_list(F.array(F.col("step").cast("long"), F.lit(1).cast("long"), "edge"))).alias("spans")
     )
     # an edge names its own piece; a link is told as a border of its own between two pieces
-    told = links.select(F.xxhash64("a", "b").alias("edge"), F.explode(F.array("a", "b")).alias("label")).union(kinds.select("edge", F.col("edge")))
+    outside = kinds.join(inner.withColumnRenamed("node", "target"), "target", "left_anti").where("at_home > 0")
+    told = outside.select("edge", F.col("edge").alias("label"), F.lit(True).alias("ends")).union(kinds.where("at_home = 0").select("edge", "edge", F.lit(False)))
+    link = F.xxhash64("a", "b")
+    told = told.union(links.select(link, "a", F.lit(True))).union(links.select(link, "b", F.lit(False)))
     none = lambda kind: F.lit(None).cast(kind)
-    lists = "array<bigint>"
-    borders = told.select(none("bigint"), none("bigint"), none(lists), F.array("edge"), F.array("label"))
-    return spans.select("m", "d", "spans", none(lists).alias("edges"), none(lists).alias("labels")).union(borders)
+    borders = told.select(none("bigint"), none("bigint"), none("array<bigint>"), F.array("edge"), F.array("label"), F.array("ends"))
+    blank = [none("array<bigint>").alias("edges"), none("array<bigint>").alias("labels"), none("array<boolean>").alias("ends")]
+    return spans.select("m", "d", "spans", *blank).union(borders)
 
 
 def pieces(docs: DataFrame, places: DataFrame, id_column: str, text_column: str, hot_runs: int) -> DataFrame:
@@ -283,15 +304,37 @@ def pieces(docs: DataFrame, places: DataFrame, id_column: str, text_column: str,
     return materialize(cold.unionByName(compacted_hot(parts.join(hot, "m", "left_semi"))), "pieces")
 
 
+def chain_heads(links: DataFrame) -> DataFrame:
+    """``path`` of each ``piece`` that has one ``before`` it: the first piece of its chain, or the smallest of a ring.
+
+    Pointers double: each round a piece takes over where the piece it points to has got, so the rounds are the logarithm of
+    the longest chain. Pieces that begin a chain are not in the result; they are their own path.
+    """
+    state = materialize(links.select("piece", F.col("before").alias("path"), F.least("piece", "before").alias("low"), F.lit(True).alias("moved")), "chains")
+    for _ in range(int(state.count()).bit_length() + 1):
+        ahead = state.select(F.col("piece").alias("path"), F.col("path").alias("far"), F.col("low").alias("far_low"))
+        state = materialize(
+            state.join(ahead, "path", "left").select(
+                "piece", F.coalesce("far", "path").alias("path"), F.least("low", "far_low").alias("low"), F.col("far").isNotNull().alias("moved")
+            ),
+            "chains",
+        )
+        if state.where("moved").isEmpty():
+            break
+    # what moves after as many rounds as there could be pieces is a ring
+    return state.select("piece", F.when(F.col("moved"), F.col("low")).otherwise(F.col("path")).alias("path"))
+
+
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", hot_runs: int = HOT_RUNS) -> DataFrame:
     """Rows of ``docs`` that hold repeats, by row key, with ``spans``: flat list of first word, words and path, in any order."""
     prepare(docs.sparkSession)
     names = name_counts(docs, text_column)
     places = materialize(occurrences(docs, id_column, text_column).join(names, "m"), "places")
     made = pieces(docs, places, id_column, text_column, hot_runs)
-    border = made.where("edges IS NOT NULL").select(F.explode(F.arrays_zip("edges", "labels")).alias("x")).select("x.edges", "x.labels")
-    links = border.groupBy("edges").agg(F.min("labels").alias("a"), F.max("labels").alias("b")).where("a <> b").select("a", "b")
-    paths = components(links).select(F.col("node").alias("piece"), F.col("label").alias("path"))
+    border = made.where("edges IS NOT NULL").select(F.explode(F.arrays_zip("edges", "labels", "ends")).alias("x")).select("x.*")
+    side = lambda ends: F.max(F.when(F.col("ends") == ends, F.col("labels")))
+    links = border.groupBy("edges").agg(side(False).alias("piece"), side(True).alias("before")).where("piece <> before").select("piece", "before")
+    paths = chain_heads(links)
     span = F.explode(F.expr("transform(sequence(0, size(spans) div 3 - 1), i -> struct(spans[3 * i] AS first, spans[3 * i + 1] AS windows, spans[3 * i + 2] AS piece))"))
     found = made.where("spans IS NOT NULL").select("m", "d", span.alias("s")).select("m", "d", "s.*")
     found = salted_join(found, paths, ["piece"], "left")
@@ -303,7 +346,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def joined_spans(flat: np.ndarray) -> np.ndarray:
     """Spans of words (start, end, path): pieces of one path that follow each other are one."""
-    s = np.unique(flat.reshape(-1, 3), axis=0)
+    s = flat.reshape(-1, 3)
     if not len(s):
         return s
     s = s[np.lexsort((s[:, 0], s[:, 2]))]
@@ -335,17 +378,19 @@ def remove_repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_co
     def run(found, *columns):
         sizes, removed, flat, counts, kept = [], [], [], [], []
         for text, these in zip(as_bytes(columns[at]), found.to_pylist()):
-            words = (text or b"").split()
+            words, gone = (text or b"").split(), 0
             cut = joined_spans(np.array(these or [], np.int64))
-            depth = np.zeros(len(words) + 1, np.int64)
-            np.add.at(depth, cut[:, 0], 1)
-            np.add.at(depth, cut[:, 1], -1)
-            gone = np.cumsum(depth[:-1]) > 0
             sizes.append(len(words))
-            removed.append(int(gone.sum()))
             flat.append(cut)
             counts.append(len(cut))
-            kept.append(b" ".join(w for w, x in zip(words, gone.tolist()) if not x) if removed[-1] else b" ".join(words))
+            if len(cut):
+                # passages are in order; what lies between is kept
+                reach = np.concatenate(([0], np.maximum.accumulate(cut[:, 1]))).tolist()
+                between = list(zip(reach, [*cut[:, 0].tolist(), len(words)]))
+                left = [w for a, b in between for w in words[a : max(a, b)]]
+                words, gone = left, len(words) - len(left)
+            removed.append(gone)
+            kept.append(b" ".join(words))
         rows = np.concatenate(flat).reshape(-1, 3)
         items = pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(3)], ["start", "end", "path"])
         offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
