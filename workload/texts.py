@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidings.functions import arrays, html, text, urls
 from tidings.operators import predicates as pred
-from tidings.operators import boundaries, scoring, sequence_labels
+from tidings.operators import boundaries, gazetteer, scoring, sequence_labels
 from tidings.operators.aggregates import concat_by_key, ordered_lists
 from tidings.operators.windows import keep_first_duplicate, zip_explode
 from tidings.plans.combine import extract_articles
@@ -423,6 +425,24 @@ def document_entities(t):
     return out.select("doc_id", F.explode("ents").alias("entity"))
 
 
+@query(f"""
+WITH b AS (SELECT item_id, {words_sql('text')} AS w FROM benchmark), d AS (SELECT doc_id, {words_sql('text')} AS w FROM documents),
+g AS (SELECT DISTINCT array_to_string(w[1:n], ' ') AS k, n, 'opening' AS type FROM b, (SELECT unnest([2, 3, 5]) AS n) WHERE len(w) >= n
+      UNION SELECT DISTINCT array_to_string(w[-3:], ' '), 3, 'close' FROM b WHERE len(w) >= 3),
+p AS (SELECT doc_id, i, n, array_to_string(w[i:i+n-1], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), (SELECT unnest([2, 3, 5]) AS n) WHERE i + n - 1 <= len(w)),
+m AS (SELECT doc_id, i, n, k, type FROM p JOIN g USING (n, k)),
+s AS (SELECT *, max(i + n) OVER (PARTITION BY doc_id ORDER BY i, n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT doc_id, i, n FROM m))
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS at, CAST(n AS INTEGER) AS n, k AS entity, type FROM m JOIN s USING (doc_id, i, n) WHERE reach IS NULL OR i + n > reach""")
+def typed_entities(t):
+    """Openings and closing words of the benchmark items as a typed list of names."""
+    words = text.tokens(F.col("text"))
+    part = lambda kind, n, cut: t.benchmark.where(F.size(words) >= n).select(F.array_join(cut, " ").alias("name"), F.lit(kind).alias("type"))
+    opening = [part("opening", n, F.slice(words, 1, n)) for n in (2, 3, 5)]
+    names = reduce(lambda a, b: a.unionByName(b), [*opening, part("close", 3, F.slice(words, -3, 3))])
+    out = gazetteer.typed_entities(t.spread("documents", "doc_id"), "doc_id", "text", names)
+    return out.withColumnRenamed("doc", "doc_id")
+
+
 @query()
 def attributed_sources(t):
     docs = t.spread("documents", "doc_id").select("doc_id", text.sentences(F.col("text")).alias("s"))
