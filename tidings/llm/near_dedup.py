@@ -10,8 +10,8 @@ they share is among the ``k - SHARED + 1`` least frequent of either. A line that
 documents carries is in nobody's prefix.
 
 Large groups never become all pairs: documents with the same shingle set are one class, the members
-of a list first meet a few hubs of it only, and after that only members that are still in different
-components are compared.
+of a list first meet one hub of it only, and after that only members that are still in different
+components are compared, list by list inside tasks, which hand on the links that join components.
 """
 
 from __future__ import annotations
@@ -32,9 +32,10 @@ WIDTH = 5  # words in a shingle
 K = 64  # values that a sketch retains
 SHARED = 30  # retained values that similar documents share at least
 PERCENT = 75  # 100 * intersection >= PERCENT * union
-SLACK = 0.27  # estimates this much below the threshold still go on to the exact test: five standard errors
-HUBS = (1, 8)  # members of each list that the others meet, round by round, before all that is left
-SHORT = 48  # longest list whose members meet pair by pair
+SLACK = 0.32  # estimates this much below the threshold still go on to the exact test: six standard errors
+HUBS = (1,)  # members of each list that the others meet, round by round, before all that is left
+SHORT = 2  # longest list whose members meet as rows
+PACK_ROWS = 2_000  # members of short lists that one task takes on together
 FACTORS = odd_numbers(WIDTH, 2)
 
 
@@ -147,15 +148,20 @@ def meeting(some: DataFrame, placed: DataFrame, tried: list[DataFrame]) -> DataF
 
 
 def long_list_links(long: DataFrame, texts: DataFrame, block_rows: int = 1_000) -> DataFrame:
-    """Links between members of long lists, compared exactly by block and block; no pair becomes a row.
+    """Links between members of lists, compared exactly inside tasks; no pair becomes a row.
 
-    ``long`` has ``value``, ``cls``, ``n``, ``label``, ``size`` and ``prefix``. A list of ``m`` members is cut into
-    ``m / block_rows`` blocks, and a task holds two of them. A pair is compared in the list of the
-    smallest value that both prefixes share. Of the links found, those that join two labels are handed on.
+    ``long`` has ``value``, ``cls``, ``n``, ``label``, ``size`` and ``prefix``. Lists of up to ``block_rows`` members are packed
+    together. A longer list of ``m`` members is cut into ``m / block_rows`` blocks, and a task holds two of them. A pair is compared in
+    the list of the smallest value that both prefixes share. Of the links found, those that join two labels are handed on.
     """
+    packs = max(1, long.count() // PACK_ROWS)
     blocks = F.ceil(F.col("size") / block_rows).cast("int")
     dealt = long.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "label", "prefix").join(texts, "cls")
+    dealt = dealt.select(
+        F.when(blocks > 1, F.col("value")).otherwise(F.pmod(F.xxhash64("value"), F.lit(packs))).alias("pack"), "value",
+        F.when(blocks > 1, F.least("block", "other")).otherwise(-1).alias("i"), F.when(blocks > 1, F.greatest("block", "other")).otherwise(-1).alias("j"),
+        "block", "cls", "label", "prefix",
+    ).join(texts, "cls")
 
     def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         sizes = [len(s) for s in sets]
@@ -173,38 +179,49 @@ def long_list_links(long: DataFrame, texts: DataFrame, block_rows: int = 1_000)
         return total
 
     def run(table):
-        value, i, j = (table[c][0].as_py() for c in ("value", "i", "j"))
-        cls, label, block = (table[c].to_pylist() for c in ("cls", "label", "block"))
+        i, j = (table[c][0].as_py() for c in ("i", "j"))
+        value, cls, label, block = (table[c].to_pylist() for c in ("value", "cls", "label", "block"))
         prefix = [np.array(p, np.int64) for p in table["prefix"].to_pylist()]
-        block = np.array(block)
+        text, hashes, sets = as_bytes(table["text"].combine_chunks()), WordHashes(), {}
+        value, block = np.array(value), np.array(block)
         code = np.unique(np.array(label, object), return_inverse=True)[1]
-        todo = (code[:, None] != code[None, :]) & np.triu(np.ones((len(cls), len(cls)), bool), 1)
-        if i != j:
-            todo &= block[:, None] != block[None, :]
-        todo &= overlaps([p[p < value] for p in prefix]) == 0
-        rows = np.flatnonzero(todo.any(0) | todo.any(1))
+        root = {int(c): int(c) for c in code}
         a, b = [], []
-        if len(rows):
-            hashes, text = WordHashes(), as_bytes(table["text"].combine_chunks())
-            sets = [shingle_set(text[r], hashes) for r in rows]
-            common, n = overlaps(sets), np.array([len(s) for s in sets])
-            similar = todo[np.ix_(rows, rows)] & (100 * common >= PERCENT * (n[:, None] + n[None, :] - common))
-            root = {int(c): int(c) for c in code}
-
-            def top(x):
-                while root[x] != x:
-                    x = root[x]
-                return x
 
+        def top(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        def set_of(row):
+            if cls[row] not in sets:
+                sets[cls[row]] = shingle_set(text[row], hashes)
+            return sets[cls[row]]
+
+        for this in np.unique(value):
+            members = np.flatnonzero(value == this)
+            joined = np.array([top(int(c)) for c in code[members]])  # what the lists before have linked
+            todo = (joined[:, None] != joined[None, :]) & np.triu(np.ones((len(members), len(members)), bool), 1)
+            if i != j:
+                todo &= block[members][:, None] != block[members][None, :]
+            if not todo.any():
+                continue
+            todo &= overlaps([prefix[r][prefix[r] < this] for r in members]) == 0
+            rows = np.flatnonzero(todo.any(0) | todo.any(1))
+            if not len(rows):
+                continue
+            full = [set_of(members[r]) for r in rows]
+            common, n = overlaps(full), np.array([len(s) for s in full])
+            similar = todo[np.ix_(rows, rows)] & (100 * common >= PERCENT * (n[:, None] + n[None, :] - common))
             for x, y in zip(*np.nonzero(similar)):
-                x, y = rows[x], rows[y]
+                x, y = members[rows[x]], members[rows[y]]
                 if (p := top(int(code[x]))) != (q := top(int(code[y]))):
                     root[p] = q
                     a.append(min(cls[x], cls[y]))
                     b.append(max(cls[x], cls[y]))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return dealt.groupBy("value", "i", "j").applyInArrow(run, "a binary, b binary")
+    return dealt.groupBy("pack", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -245,7 +262,7 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         tried.append(found)
         known = components(links)
 
-    # whoever is still apart: short lists pair by pair, long ones by blocks
+    # whoever is still apart: lists of two as rows, the others inside tasks
     placed = apart(lists, known)
     sized = placed.join(placed.groupBy("value").agg(F.count(F.lit(1)).alias("size")), "value")
     short, long = sized.where(F.col("size") <= SHORT), sized.where(F.col("size") > SHORT)
