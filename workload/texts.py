@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidings.functions import arrays, html, text, urls
 from tidings.operators import predicates as pred
-from tidings.operators import boundaries, gazetteer, scoring, sequence_labels
+from tidings.operators import boundaries, domains, gazetteer, scoring, sequence_labels
 from tidings.operators.aggregates import concat_by_key, ordered_lists
 from tidings.operators.windows import keep_first_duplicate, zip_explode
 from tidings.plans.combine import extract_articles
@@ -21,6 +21,25 @@ HOST_SQL = "regexp_replace(regexp_extract({0}, '^[a-z]+://([^/?#]*)', 1), ':[0-9
 
 
 # ---- URLs and crawl lines -------------------------------------------------------------------------
+SUFFIX_RULES = ["org", "com", "example.org", "*.com", "!www.com"]
+
+
+@query(rf"""
+WITH h AS (SELECT page_id, lower({HOST_SQL.format('url')}) AS host FROM pages),
+l AS (SELECT page_id, host, string_split(host, '.') AS l FROM h),
+r(rule) AS (VALUES {", ".join(f"('{x}')" for x in SUFFIX_RULES)}),
+k AS (SELECT regexp_replace(rule, '^(!|\*\.)', '') AS suffix, starts_with(rule, '!') AS exception,
+        len(string_split(regexp_replace(rule, '^(!|\*\.)', ''), '.')) + CASE WHEN rule[1] = '!' THEN -1 WHEN rule[1] = '*' THEN 1 ELSE 0 END AS n FROM r),
+f AS (SELECT page_id, n, row_number() OVER (PARTITION BY page_id ORDER BY exception DESC, n DESC) AS rn FROM l JOIN k ON host = suffix OR ends_with(host, '.' || suffix))
+SELECT page_id, host, CASE WHEN len(l) > coalesce(n, 1) AND NOT regexp_full_match(host, '[0-9.]+') THEN array_to_string(l[-(coalesce(n, 1) + 1):], '.') END AS domain
+FROM l LEFT JOIN (FROM f WHERE rn = 1) USING (page_id)""")
+def registered_domains(t):
+    """Domains of the pages by a table of suffix rules with a wildcard and an exception."""
+    rules = t._spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string")
+    rows = t.pages.select("page_id", F.lower(urls.url_host(F.col("url"))).alias("host"))
+    return domains.registered_domains(rows, "host", rules)
+
+
 @query("""
 SELECT url, regexp_replace(url, '[?#].*$', '') AS clean, trim(split_part(url, '?', 1)) AS stripped FROM pages""")
 def url_clean(t):
