@@ -104,7 +104,7 @@ def multi_sort(df: DataFrame, *order: str | Column) -> DataFrame:
     return df.orderBy(*order)
 
 
-def with_position(ordered: DataFrame, name: str = "position") -> DataFrame:
+def stand_numbers(ordered: DataFrame, name: str = "position") -> DataFrame:
     """Number the rows of a sorted frame from 1, in the order in which they stand.
 
     The rows are stored once with their number inside their partition; what the partitions before hold is one row per partition.

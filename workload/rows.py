@@ -121,7 +121,7 @@ def top_orders(t):
 
 @query("SELECT doc_id, lang, n_chars, row_number() OVER (ORDER BY lang NULLS FIRST, n_chars DESC NULLS LAST, doc_id) AS position FROM documents")
 def multi_sort(t):
-    return win.with_position(win.multi_sort(t.documents.select("doc_id", "lang", "n_chars"), "lang", F.desc("n_chars"), "doc_id"))
+    return win.stand_numbers(win.multi_sort(t.documents.select("doc_id", "lang", "n_chars"), "lang", F.desc("n_chars"), "doc_id"))
 
 
 @query("""
@@ -139,7 +139,7 @@ SELECT doc_id, n, row_number() OVER (ORDER BY n DESC, doc_id) AS position FROM (
 def longest_documents(t):
     rows = t.documents.select("doc_id", text.tokens(F.col("text")).alias("w"))
     out = win.sort_by_length(rows, "w", "doc_id")
-    return win.with_position(out.select("doc_id", F.size("w").cast("long").alias("n")))
+    return win.stand_numbers(out.select("doc_id", F.size("w").cast("long").alias("n")))
 
 
 @query("""
@@ -213,7 +213,7 @@ def index_slice(t):
 @query("""
 SELECT doc_id, row_number() OVER (ORDER BY CAST('0x' || substr(md5('11:' || doc_id), 1, 13) AS BIGINT), doc_id) AS position FROM documents""")
 def seeded_order(t):
-    return win.with_position(pred.seeded_order(t.documents.select("doc_id"), "doc_id", seed=11))
+    return win.stand_numbers(pred.seeded_order(t.documents.select("doc_id"), "doc_id", seed=11))
 
 
 @query("SELECT doc_id FROM labels WHERE quality + toxic = 1")
