@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidings.plans.storage import materialize, new_path
 from tidings.session import tune
 
+PLAN_CHARS = 50_000  # of a plan's text that the driver keeps
 BATCH_ROWS = 1_000  # rows that travel to Python at once; long texts are what memory has to hold
 
 # A-Z in lower case, every other byte as it is
@@ -25,6 +26,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Session settings that the operators count on."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # the driver keeps the plan of each of the last thousand jobs as text
+    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
     return spark
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,12 +96,36 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(counts: np.ndarray, labels: list[str], max_loss: float = 0.002, epochs: int = 25, rate: float = 2.0, seed: int = 1) -> LanguageModel:
-    """Train on four fifths of the rows, calibrate on the rest. ``counts`` (32-bit floats) become shares."""
+class Shares:
+    """Bucket shares of rows, kept as the buckets that each row has; dense only for the rows asked for."""
+
+    def __init__(self, places: pa.Array, counts: pa.Array):
+        self.ends = places.offsets.to_numpy()
+        self.places, values = places.values.to_numpy().astype(np.uint16), counts.values.to_numpy()
+        row = np.repeat(np.arange(len(places)), np.diff(self.ends))
+        self.sizes = np.bincount(row, values, len(places)).astype(np.float32)
+        self.shares = values.astype(np.float32) / np.maximum(self.sizes, 1)[row]
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), BUCKETS), np.float32)
+        for line, r in zip(out, rows):
+            here = slice(self.ends[r], self.ends[r + 1])
+            line[self.places[here]] = self.shares[here]
+        return out
+
+    def times(self, rows: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Rows times ``table``, some rows at a time."""
+        return np.concatenate([self[rows[at : at + CHUNK]] @ table for at in range(0, len(rows), CHUNK)])
+
+    def mean(self, rows: np.ndarray) -> np.ndarray:
+        return sum(self[rows[at : at + CHUNK]].sum(0) for at in range(0, len(rows), CHUNK)) / len(rows)
+
+
+def fit(x: Shares, labels: list[str], max_loss: float = 0.002, epochs: int = 25, rate: float = 2.0, seed: int = 1) -> LanguageModel:
+    """Train on four fifths of the rows, calibrate on the rest."""
     languages = sorted(set(labels))
-    y = np.array([languages.index(x) for x in labels])
-    x, sizes = counts, counts.sum(1)
-    x /= np.maximum(sizes[:, None], 1)  # in place: the rows are the driver's largest object
+    y = np.array([languages.index(label) for label in labels])
+    sizes = x.sizes
     rng = np.random.default_rng(seed)
     shuffled = rng.permutation(len(y))
     held = shuffled[: len(y) // 5] if len(y) >= 5 else shuffled
@@ -122,16 +147,16 @@ def fit(counts: np.ndarray, labels: list[str], max_loss: float = 0.002, epochs:
             bias -= step * error.sum(0)
             embed -= 20 * step * (batch.T @ back)  # an n-gram is a small share of a text
     table = embed @ weight
-    logits = x[held] @ table + bias
+    logits = x.times(held, table) + bias
     scales = np.geomspace(0.05, 20, 61)
     loss = [-np.log(softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in scales]
     temperature = float(scales[int(np.argmin(loss))])
     p = softmax(logits / temperature)
     right = p.max(1)[p.argmax(1) == y[held]]
     threshold = float(np.quantile(right, max_loss, method="lower")) if len(right) else 0.0
-    shares = np.mean([x[train[y[train] == i]].mean(0) for i in np.unique(y[train])], 0)
+    shares = np.mean([x.mean(train[y[train] == i]) for i in np.unique(y[train])], 0)
     known = np.log((shares * BUCKETS + FLOOR) / (1 + FLOOR)).astype(np.float32)
-    found = x[held] @ known
+    found = x.times(held, known)
     usual = float(found.mean())
     least = float(np.quantile(familiarity(found * sizes[held], sizes[held], usual), max_loss, method="lower"))
     return LanguageModel(languages, table.astype(np.float32), bias, temperature, threshold, known, usual, least)
@@ -165,10 +190,10 @@ def train(
     found = found.sort_by([("k1", "ascending"), ("k2", "ascending"), ("lang", "ascending")])
     if not found.num_rows:
         return None
-    x = np.zeros((found.num_rows, BUCKETS), np.float32)
-    for line, places, counts in zip(x, found["places"], found["counts"]):
-        line[places.values.to_numpy()] = counts.values.to_numpy()
-    return fit(x, found["lang"].to_pylist(), **how)
+    whole = lambda c: found[c].combine_chunks()
+    rows, labels = Shares(whole("places"), whole("counts")), found["lang"].to_pylist()
+    del found
+    return fit(rows, labels, **how)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text_column: str = "text") -> DataFrame:
