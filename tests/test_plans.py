@@ -316,3 +316,19 @@ def test_lookups_shuffle_little(spark):
     assert exchanges(joins.prior_coverage(df)) <= 10
     for side in ("past", "future", "nearest"):
         assert exchanges(joins.nearest_capture(df, caps, ["key"], "ts", "at", "v", side)) <= 10
+
+
+@pytest.mark.parametrize("how", ["left", "left_anti", "inner"])
+def test_rows_without_a_key_are_spread(spark, how):
+    left = spark.createDataFrame([(i, None if i % 3 else "hot") for i in range(300)] + [(300, "cold")], "i int, k string")
+    right = spark.createDataFrame([("hot", 1), ("cold", 2), (None, 3)], "k string, v int")
+    out = skew.salted_join(left, right, ["k"], how, hot_rows=20)
+    plain = left.join(right, "k", how).select(out.columns)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_numbers_of_sorted_rows(spark, pieces):
+    rows = spark.range(500).select((F.col("id") * 37 % 500).alias("v"))
+    out = win.stand_numbers(rows.orderBy(F.desc("v")), "n")
+    assert out.columns == ["v", "n"] and out.where("n <> 500 - v").isEmpty() and out.count() == 500
+    assert win.stand_numbers(rows.limit(0).orderBy("v")).collect() == []
