@@ -172,5 +172,5 @@ def doc_position_id(doc: Column, position: Column) -> Column:
 
 def capitalised_phrases(text: Column) -> Column:
     """Runs of capitalised words, the default stand-in for named entities."""
-    phrase = r"((?:\p{Lu}[\p{L}\p{N}&.\-]*\p{L})(?:\s+\p{Lu}[\p{L}\p{N}&.\-]*\p{L})*)"
+    phrase = r"((?:\p{Lu}[\p{L}\p{N}&.\-]*\p{L})(?:\s+\p{Lu}[\p{L}\p{N}&.\-]*\p{L})*+)"
     return F.array_distinct(F.regexp_extract_all(text, F.lit(phrase), F.lit(1)))

@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from tidings import lexicon
 from tidings.functions import arrays, html, text, urls
 from tidings.operators import predicates as pred
-from tidings.operators import boundaries, domains, gazetteer, scoring, sequence_labels
+from tidings.operators import boundaries, coreference, domains, gazetteer, scoring, sequence_labels
 from tidings.operators.aggregates import concat_by_key, ordered_lists
 from tidings.operators.windows import keep_first_duplicate, zip_explode
 from tidings.plans.combine import extract_articles
@@ -436,6 +437,56 @@ def resolved_sentences(t):
     return out.select("doc_id", F.posexplode("coref_resolved_sents").alias("sent_idx", "sentence"))
 
 
+def _listed(words):
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_HE, _SHE, _ANY = (_listed(lexicon.TITLES[k]) for k in ("he", "she", "any"))
+_PIECE_SQL = r"\p{Lu}[\p{L}\p{N}\-]*(?: \p{Lu}[\p{L}\p{N}\-]*)*|[\p{L}\p{N}\-]+"
+COREFERENCE_SQL = rf"""
+WITH s AS (SELECT doc_id, unnest(range(0, len(l))) AS sent_idx, unnest(l) AS sentence FROM (SELECT doc_id, {sentences_sql("text")} AS l FROM documents)),
+w AS (SELECT doc_id, sent_idx, sentence, regexp_extract_all(sentence, '{_PIECE_SQL}') AS p FROM s),
+m AS (SELECT * FROM (SELECT doc_id, sent_idx, unnest(range(0, len(p))) AS pos, unnest(p) AS mention FROM w)
+      WHERE regexp_matches(mention, '^\p{{Lu}}') OR mention IN ({_listed(lexicon.PRONOUN_NAMES)})),
+k AS (SELECT *, CASE WHEN lower(mention) IN ({_listed(lexicon.PRONOUN_NAMES)}) THEN lower(mention) END AS pronoun FROM m),
+n AS (SELECT doc_id, mention, min((sent_idx, pos)) AS first, string_split(mention, ' ') AS ws, len(string_split(mention, ' ')) AS n FROM k WHERE pronoun IS NULL GROUP BY doc_id, mention),
+f AS (SELECT doc_id, array_to_string(ws[-j:], ' ') AS form, 0 AS sieve, n, first, mention FROM n, (SELECT unnest([1, 2, 3]) AS j) WHERE n > j
+      UNION ALL SELECT doc_id, array_to_string(ws[1:j], ' '), 1, n, first, mention FROM n, (SELECT unnest([1, 2, 3]) AS j) WHERE n > j
+      UNION ALL SELECT doc_id, array_to_string(list_transform(ws, lambda x: x[1]), ''), 2, n, first, mention FROM n WHERE n > 1),
+t AS (SELECT doc_id, form, mention AS target, sieve FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, form ORDER BY sieve, n DESC, first, mention) = 1),
+r AS (SELECT n.doc_id, n.mention, a.sieve, coalesce(c.target, b.target, a.target, n.mention) AS referent FROM n
+      LEFT JOIN t a ON a.doc_id = n.doc_id AND a.form = n.mention LEFT JOIN t b ON b.doc_id = n.doc_id AND b.form = a.target
+      LEFT JOIN t c ON c.doc_id = n.doc_id AND c.form = b.target WHERE n.n > 1 OR a.sieve IS NOT NULL),
+g AS (SELECT k.*, r.sieve, r.referent, string_split(r.referent, ' ') AS v FROM k LEFT JOIN r ON r.doc_id = k.doc_id AND r.mention = k.mention AND k.pronoun IS NULL),
+h AS (SELECT *, list_has_any(v, [{_listed(lexicon.ORGANISATION_WORDS)}]) AS body, list_has_any(v, [{_HE}]) AS he, list_has_any(v, [{_SHE}]) AS she, list_has_any(v, [{_ANY}]) AS person FROM g),
+q AS (SELECT *, CASE pronoun
+        WHEN 'he' THEN last_value(CASE WHEN NOT body AND NOT she THEN referent END IGNORE NULLS) OVER so_far
+        WHEN 'she' THEN last_value(CASE WHEN NOT body AND NOT he THEN referent END IGNORE NULLS) OVER so_far
+        WHEN 'it' THEN last_value(CASE WHEN NOT he AND NOT she AND NOT person THEN referent END IGNORE NULLS) OVER so_far
+        WHEN 'they' THEN last_value(referent IGNORE NULLS) OVER so_far END AS meant
+      FROM h WINDOW so_far AS (PARTITION BY doc_id ORDER BY sent_idx, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+links AS (SELECT doc_id, CAST(sent_idx AS INTEGER) AS sent_idx, CAST(pos AS INTEGER) AS "at", mention,
+            CASE WHEN pronoun IS NOT NULL THEN 'pronoun' ELSE ['suffix', 'prefix', 'acronym'][sieve + 1] END AS sieve, CASE WHEN pronoun IS NULL THEN referent ELSE meant END AS referent
+          FROM q WHERE CASE WHEN pronoun IS NULL THEN sieve IS NOT NULL ELSE meant IS NOT NULL END)"""
+
+
+@query(f"{COREFERENCE_SQL} SELECT * FROM links")
+def resolved_mentions(t):
+    """Short names, initials and pronouns of whole texts, with the full name that each stands for."""
+    rows = coreference.sentence_rows(t.spread("documents", "doc_id"), "doc_id", "text")
+    return coreference.resolve_mentions(materialize(rows, "sentences")).withColumnRenamed("doc", "doc_id")
+
+
+@query(rf"""{COREFERENCE_SQL},
+new AS (SELECT doc_id, sent_idx, map_from_entries(list((l."at", l.referent))) AS new FROM links l GROUP BY doc_id, sent_idx)
+SELECT doc_id, CAST(w.sent_idx AS INTEGER) AS sent_idx, md5(array_to_string(list_transform(range(1, len(g) + 1), lambda j: g[j] || coalesce(new[CAST(j - 1 AS INTEGER)], p[j], '')), '')) AS sentence
+FROM (SELECT *, regexp_split_to_array(sentence, '{_PIECE_SQL}') AS g FROM w) w LEFT JOIN new USING (doc_id, sent_idx)""")
+def resolved_full_names(t):
+    """All sentences with every reference spelled out."""
+    out = coreference.resolved_texts(t.spread("documents", "doc_id"), "doc_id", "text")
+    return out.select(F.col("doc").alias("doc_id"), "sent_idx", F.md5("sentence").alias("sentence"))
+
+
 @query(rf"""
 WITH d AS (SELECT doc_id, array_to_string({sentences_sql("replace(text, chr(10), ' ')")}, ' ') AS t FROM documents)
 SELECT DISTINCT doc_id, unnest(regexp_extract_all(t, '((?:\p{{Lu}}[\p{{L}}\p{{N}}&.\-]*\p{{L}})(?:\s+\p{{Lu}}[\p{{L}}\p{{N}}&.\-]*\p{{L}})*)', 1)) AS entity FROM d""")
