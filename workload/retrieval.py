@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidings.operators import evaluate, joins, retrieval, vector_index
+from tidings.functions.text import sentences
+from tidings.operators import evaluate, halving, joins, retrieval, vector_index
+from tidings.plans.shape import unpack
 from tidings.plans.storage import materialize
 from workload.registry import query, words_sql
 
@@ -253,3 +255,20 @@ def _label_features(t):
 @query()
 def verdict_classifier(t):
     return evaluate.verdict_classifier(materialize(_label_features(t)), "article_url", splits=2)
+
+
+def _sentence_scores(t):
+    """Three numbers for every sentence of the labelled documents, five sentences to a passage."""
+    rows = unpack(t.labels.select("doc_id").join(t.documents.select("doc_id", "text"), "doc_id"), ["doc_id"], sentences(F.col("text")), "s", "at")
+    share = lambda pattern: F.regexp_count("s", F.lit(pattern)) / F.length("s")
+    return rows.select(
+        F.col("doc_id").alias("article_url"), (F.col("doc_id") % 10).alias("press_release_url"), F.floor(F.col("at") / 5).alias("press_release_idx"),
+        share(r"[^\p{L}\s]").alias("contradiction"), share(r"\s").alias("entailment"), F.log1p(F.length("s")).alias("neutral"),
+    )
+
+
+@query()
+def parameter_halving(t):
+    """All 216 settings of the k values over all labelled documents."""
+    out = halving.halving_search(materialize(_sentence_scores(t), "pairs"), _label_features(t), "article_url", inner=(1, 3), outer=(1, 5, 25))
+    return out.withColumns({"f1": F.round("f1", 6), "log_loss": F.round("log_loss", 6)})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidings import lexicon
 from tidings.functions import arrays, html, text, urls
 from tidings.operators import predicates as pred
-from tidings.operators import boundaries, coreference, domains, gazetteer, scoring, sequence_labels
+from tidings.operators import boundaries, coreference, domains, gazetteer, scoring, sequence_labels, summaries
 from tidings.operators.aggregates import concat_by_key, ordered_lists
 from tidings.operators.windows import keep_first_duplicate, zip_explode
 from tidings.plans.combine import extract_articles
@@ -527,6 +527,13 @@ def group_summaries(t):
     return out.select("conv_id", "role", F.coalesce("summary", F.lit("")).alias("summary"))
 
 
+@query()
+def ranked_summaries(t):
+    """The sentence of each speaker of each conversation that the others are most like."""
+    out = summaries.graph_summaries(t.conversations, ["conv_id", "role"], "turn", "text")
+    return out.select("conv_id", "role", "sentence", F.round("rank", 4).alias("rank"))
+
+
 @query("""
 WITH l AS (SELECT conv_id AS url, string_split(string_agg(text, '<NEW_SENT>' ORDER BY turn), '<NEW_SENT>') AS s FROM conversations GROUP BY conv_id),
 r AS (SELECT url, i - 1 AS k, len(s) AS n, s[i] AS sentence FROM l, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i))
