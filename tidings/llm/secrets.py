@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidings.llm.common import prepare, row_key, without
 
 MAX_STRINGS = 64  # alternatives followed at once while a query is derived
+CHUNK = 256  # matches of a text placed by one fold
 
 
 @dataclass(frozen=True)
@@ -113,6 +114,11 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], text_column: str, keys:
     return met.groupBy("_k1", "_k2").agg(F.collect_set("kind").alias("_rules"))
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of an expression that is evaluated one time, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def match_spans(text: Column, rule: Rule) -> Column:
     """Start and end (code points) of leftmost non-overlapping matches that are long enough."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -122,15 +128,29 @@ def match_spans(text: Column, rule: Rule) -> Column:
     rows = F.zip_with(F.slice(parts, 1, F.size(found)), F.zip_with(found, checked, lambda m, g: F.struct(F.length(m).alias("m"), F.length(g).alias("g"))),
                       lambda p, x: F.struct(F.length(p).alias("p"), x["m"].alias("m"), x["g"].alias("g")))
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    placed = F.aggregate(
-        rows, F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["p"] + x["m"]).alias("at"),
-            F.when(x["g"] >= rule.least, F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["p"]).alias("start"), (acc["at"] + x["p"] + x["m"]).alias("end")))))
-            .otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    width = lambda x: x["p"] + x["m"]
+
+    def placed_from(chunk: Column, start: Column) -> Column:
+        return F.aggregate(
+            chunk, F.struct(start.alias("at"), empty.alias("spans")),
+            lambda acc, x: F.struct(
+                (acc["at"] + width(x)).alias("at"),
+                F.when(x["g"] >= rule.least, F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["p"]).alias("start"), (acc["at"] + width(x)).alias("end")))))
+                .otherwise(acc["spans"]).alias("spans"),
+            ),
+            lambda acc: acc["spans"],
+        )
+
+    def in_chunks(rows: Column) -> Column:
+        """A growing array is copied at every step, so it grows over one chunk only; chunks start where the ones before end."""
+        cuts = F.sequence(F.lit(1), F.greatest(F.size(rows), F.lit(1)), F.lit(CHUNK))
+        sums = lambda chunks: F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + width(x)))
+        starts = lambda chunks: F.aggregate(
+            sums(chunks), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)), lambda acc: F.slice(acc, 1, F.size(acc) - 1)
+        )
+        return once(F.transform(cuts, lambda at: F.slice(rows, at, CHUNK)), lambda chunks: F.flatten(F.zip_with(chunks, starts(chunks), placed_from)))
+
+    placed = once(rows, in_chunks)
     return F.when(F.coalesce(F.rlike(text, F.lit(rule.pattern)), F.lit(False)), placed).otherwise(empty)
 
 
