@@ -103,7 +103,7 @@ def resolve_mentions(sentences: DataFrame, short: int = SHORT) -> DataFrame:
 
 def resolved_texts(docs: DataFrame, doc: str, body: str, sieves: Sequence[str] = SIEVES, short: int = SHORT) -> DataFrame:
     """(doc, sent_idx, sentence): all sentences of whole texts, mentions found by ``sieves`` replaced by the full name."""
-    rows = materialize(sentence_rows(docs, doc, body), "sentences")
+    rows = sentence_rows(docs, doc, body)  # texts are cut twice rather than stored as sentences
     links = resolve_mentions(rows, short).where(F.col("sieve").isin(*sieves))
     # repeated documents repeat their links; a text under an id that others have is told apart by its mentions
     spot = lambda at, mention: F.concat(at.cast("string"), F.lit(":"), mention)
