@@ -20,7 +20,7 @@ from tidings.plans.skew import HOT_ROWS, row_numbers, salted_join, top_rows
 from tidings.plans.storage import materialize
 
 DAMPING = 0.85
-TOLERANCE = 1e-2  # change of a sentence's rank, as a share of the mean rank, that no longer counts
+TOLERANCE = 1e-3  # change of a sentence's rank, as a share of the mean rank, that no longer counts
 
 
 def _same(keys: Sequence[str], prefix: str = "_r_"):
