@@ -167,6 +167,44 @@ def test_dense_search_equals_brute_force(spark, block):
         assert [r.doc for r in sorted(out, key=lambda r: r["rank"]) if r.query == q] == expect
 
 
+def test_dense_search_of_many_blocks_shuffles_no_scores(spark):
+    """Groups of queries meet all vectors in one task each; repeated and null ids count as one query."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(1, 90)]
+    rows += [(5, rows[20][1]), (5, rows[30][1]), (None, rows[2][1]), (None, rows[3][1]), (95, None), (96, None)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    out = retrieval.dense_top_k(df, df, "id", "id", "v", k=7, queries_per_block=10, vectors_per_block=16)
+    plan = plan_of(out)
+    assert "Window" not in plan and plan.count("Exchange") == 1
+    unit = retrieval.unit_rows(pd.Series([r[1] for r in rows]), 4)
+    scores = np.round(unit @ unit.T, 6) + 0.0
+    expect = set()
+    for query in {r[0] for r in rows}:
+        pairs = [(-scores[i, j], rows[j][0] is not None, rows[j][0] or 0) for i, r in enumerate(rows) if r[0] == query for j in range(len(rows))]
+        expect |= {(query, d if known else None, -s, n + 1) for n, (s, known, d) in enumerate(sorted(pairs)[:7])}
+    got = [(r["query"], r["doc"], r["score"] + 0.0, r["rank"]) for r in out.collect()]
+    assert set(got) == expect and len(got) == len(expect)
+
+
+def test_products_of_vectors_are_bounded():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    queries, docs = rng.normal(size=(700, 3)), rng.normal(size=(3_000, 3))
+    biggest = []
+    best = retrieval._best
+    try:
+        retrieval._best = lambda scores, k: biggest.append(scores.size) or best(scores, k)
+        found = retrieval.best_of_block(np.arange(700), queries, np.arange(3_000), docs, 4, 6)
+    finally:
+        retrieval._best = best
+    assert max(biggest) <= 1 << 20 and sum(biggest) == 700 * 3_000
+    assert (found["doc"].to_numpy().reshape(700, 4) == best(np.round(queries @ docs.T, 6), 4)).all()
+
+
 def test_hard_negatives(spark):
     from datetime import datetime, timedelta
 

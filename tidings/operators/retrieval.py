@@ -7,9 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidings.functions.draws import draw
 from tidings import lexicon
@@ -320,6 +323,9 @@ def similar_top_k(
 # ---- dense vectors -----------------------------------------------------------------------------------
 QUERIES_PER_BLOCK = 2_048
 VECTORS_PER_BLOCK = 32_768
+PRODUCT = 1 << 20  # scores that a task holds at once
+KEPT = 4_000_000  # results that the queries of one group keep, unless one block of queries keeps more
+QUERIES_PER_GROUP = 65_536
 
 
 def unit_rows(vectors: pd.Series, width: int | None = None) -> np.ndarray:
@@ -349,16 +355,14 @@ def best_of_block(
 ) -> pd.DataFrame:
     """Best k of one block of vectors for each query, ties at the cut by smaller id."""
     by_id = np.argsort(doc_ids, kind="stable")
-    doc_ids = doc_ids[by_id]
-    scores = np.round(queries @ docs[by_id].T, digits)
-    top = _best(scores, k)
-    return pd.DataFrame(
-        {
-            "query": np.repeat(query_ids, top.shape[1]),
-            "doc": doc_ids[top].ravel(),
-            "score": np.take_along_axis(scores, top, axis=1).ravel(),
-        }
-    )
+    doc_ids, docs = doc_ids[by_id], docs[by_id]
+    width, step = min(k, len(docs)), max(1, PRODUCT // max(1, len(docs)))
+    found, values = np.empty((len(queries), width), np.int64), np.empty((len(queries), width))
+    for a in range(0, len(queries), step):
+        scores = np.round(queries[a : a + step] @ docs.T, digits)
+        found[a : a + step] = _best(scores, k)
+        values[a : a + step] = np.take_along_axis(scores, found[a : a + step], axis=1)
+    return pd.DataFrame({"query": np.repeat(query_ids, width), "doc": doc_ids[found].ravel(), "score": values.ravel()})
 
 
 def _better(kept: pd.DataFrame | None, new: pd.DataFrame, n_queries: int, k: int) -> pd.DataFrame:
@@ -376,6 +380,134 @@ def _better(kept: pd.DataFrame | None, new: pd.DataFrame, n_queries: int, k: int
     )
 
 
+def unit_matrix(vectors: pa.Array, width: int) -> np.ndarray:
+    """``unit_rows`` of an Arrow list column."""
+    lengths = pc.list_value_length(vectors)
+    rows = np.zeros((len(vectors), width or pc.max(lengths).as_py() or 0))
+    there = vectors.is_valid().to_numpy(zero_copy_only=False)
+    if there.any():
+        if pc.min(lengths).as_py() != rows.shape[1] or pc.max(lengths).as_py() != rows.shape[1]:
+            raise ValueError("vectors of different lengths")
+        rows[there] = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, rows.shape[1])
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+
+
+class Best:
+    """The best ``k`` of the vectors that have come by, for a block of queries.
+
+    Vectors come in the order that decides ties, so a later one has to be better than the worst that is kept.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, digits: int):
+        self.queries, self.k, self.digits = queries, k, digits
+        self.cut = np.full(len(queries), -np.inf)
+        self.parts, self.waiting = [], 0  # (row, score, place, id); the first are what was kept last
+
+    def meet(self, vectors: np.ndarray, place: int, ids: np.ndarray) -> None:
+        step = max(1, PRODUCT // len(self.queries))
+        for a in range(0, len(vectors), step):
+            raw = self.queries @ vectors[a : a + step].T
+            row, column = np.nonzero(raw > (self.cut + 0.49 * 10.0**-self.digits)[:, None])
+            score = np.round(raw[row, column], self.digits)
+            better = score > self.cut[row]
+            row, column, score = row[better], column[better] + a, score[better]
+            self.parts.append((row, score, column + place, ids[column]))
+            self.waiting += len(row)
+            if self.waiting > max(len(self.queries) * self.k, PRODUCT):
+                self.settle()
+
+    def settle(self) -> tuple[np.ndarray, ...]:
+        """What is kept, by query, best first."""
+        row, score, place, ids = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((-score, row))  # stable: equal scores stay as they came
+        counts = np.bincount(row, minlength=len(self.queries))
+        first = np.cumsum(counts) - counts
+        order = order[np.arange(len(row)) - first[row[order]] < self.k]
+        kept = row[order], score[order], place[order], ids[order]
+        full = counts >= self.k
+        ends = np.cumsum(np.minimum(counts, self.k)) - 1
+        self.cut[full] = kept[1][ends[full]]
+        self.parts, self.waiting = [kept], 0
+        return kept
+
+
+def _plain(ids: pa.Array) -> np.ndarray:
+    return np.array(ids.to_pylist(), dtype=object) if ids.null_count or not pa.types.is_integer(ids.type) else ids.to_numpy()
+
+
+def _ranked(ids: pa.Array, blocks: list[Best], size: int, k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Result rows of a group of queries; rows of one query id are one query."""
+    codes = ids.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    repeated = np.bincount(codes) > 1
+    several = []
+
+    def rows(at, score, doc):
+        new = np.append(True, codes[at[1:]] != codes[at[:-1]])
+        start = np.flatnonzero(new)
+        rank = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
+        keep = rank < k
+        columns = ids.take(pa.array(at[keep])), pa.array(doc[keep], schema.field("doc").type), score[keep], (rank[keep] + 1).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=schema)
+
+    for b, block in enumerate(blocks):
+        row, score, place, doc = block.settle()
+        block.parts = []
+        at = row + b * size
+        again = repeated[codes[at]]
+        if again.any():
+            several.append((at[again], score[again], place[again], doc[again]))
+        if not again.all():
+            yield rows(at[~again], score[~again], doc[~again])
+    if several:
+        at, score, place, doc = (np.concatenate(x) for x in zip(*several, strict=True))
+        order = np.lexsort((place, -score, codes[at]))
+        yield rows(at[order], score[order], doc[order])
+
+
+def nearest_in_groups(k: int, digits: int, queries_per_block: int, vectors_per_block: int, schema: pa.Schema):
+    """Task function over rows sorted by group, queries before vectors, vectors by id."""
+    size = min(queries_per_block, 512)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, asked, ids, blocks, place = None, [], None, None, 0
+        for batch in batches:
+            g, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(g)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                if g[a] != group:
+                    if blocks:
+                        yield from _ranked(ids, blocks, size, k, schema)
+                    group, asked, ids, blocks, place = g[a], [], None, None, 0
+                rows = batch.slice(a, b - a)
+                if kind[a] == 0:
+                    asked.append((rows.column(2), rows.column(4)))
+                    continue
+                if not asked and blocks is None:
+                    continue  # nobody asks in this group
+                if blocks is None:
+                    ids = pa.concat_arrays([x[0] for x in asked])
+                    given = pa.concat_arrays([x[1] for x in asked])
+                    matrix = unit_matrix(given, pc.max(pc.list_value_length(rows.column(4))).as_py() or 0)
+                    blocks, asked = [Best(matrix[i : i + size], k, digits) for i in range(0, len(ids), size)], []
+                    width = matrix.shape[1]
+                for c in range(0, b - a, vectors_per_block):
+                    part = rows.slice(c, vectors_per_block)
+                    vectors, doc = unit_matrix(part.column(4), width), _plain(part.column(3))
+                    width = vectors.shape[1]
+                    for block in blocks:
+                        if not block.queries.shape[1]:  # nulls only, so far on both sides
+                            block.queries = np.zeros((len(block.queries), width))
+                        block.meet(vectors, place, doc)
+                    place += len(doc)
+        if blocks:
+            yield from _ranked(ids, blocks, size, k, schema)
+
+    return run
+
+
 def dense_top_k(
     queries: DataFrame,
     vectors: DataFrame,
@@ -389,10 +521,10 @@ def dense_top_k(
 ) -> DataFrame:
     """The ``k`` nearest vectors of each query by cosine, exactly.
 
-    Each block of vectors is scored against a block of queries as one matrix product; a task hands
-    on its best ``k`` per query, so scores are never a table. Up to ``queries_per_block``
-    queries (the count is checked) travel to the tasks as one small matrix and the vectors stay
-    where they are. More queries meet the vectors block by block, in groups of bounded size.
+    Up to ``queries_per_block`` queries (the count is checked) travel to the tasks as one small matrix, the vectors stay
+    where they are, and a task hands on its best ``k`` per query. More queries are dealt into groups, as many as there are
+    cores or as bounded results call for. All vectors stream past each group in order of their id, at most
+    ``vectors_per_block`` at a time, so a task holds the best so far and one product of at most ``PRODUCT`` scores, and no scores are shuffled.
     """
     q = queries.select(F.col(query_id).alias("query"), F.col(vector).alias("vector"))
     v = vectors.select(F.col(vector_id).alias("doc"), F.col(vector).alias("vector"))
@@ -420,20 +552,18 @@ def dense_top_k(
 
         best = v.mapInPandas(score, out)
     else:
-        n_qb = -(-n_queries // queries_per_block)
-        n_vb = max(1, -(-v.count() // vectors_per_block))
-        block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        q_blocks = q.withColumn("qb", block("query", n_qb)).withColumn("vb", every(n_vb))
-        v_blocks = v.withColumn("vb", block("doc", n_vb)).withColumn("qb", every(n_qb))
-
-        def score_blocks(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-            if not len(queries) or not len(docs):
-                return pd.DataFrame({"query": [], "doc": [], "score": []})
-            asked = queries["query"].to_numpy(), unit_rows(queries["vector"])
-            return best_of_block(*asked, docs["doc"].to_numpy(), unit_rows(docs["vector"], asked[1].shape[1]), k, digits)
-
-        best = q_blocks.groupBy("qb", "vb").cogroup(v_blocks.groupBy("qb", "vb")).applyInPandas(score_blocks, out)
+        per_group = min(QUERIES_PER_GROUP, max(queries_per_block, KEPT // k))
+        n = max(q.sparkSession.sparkContext.defaultParallelism, -(-n_queries // per_group))
+        kinds = {c: d.schema[c].dataType for c, d in (("query", q), ("doc", v))}
+        row = lambda df, kind, g: df.select(
+            g.alias("_g"), F.lit(kind).alias("_kind"),
+            *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()], "vector",
+        )
+        asked = row(q, 0, F.pmod(F.xxhash64("query"), F.lit(n)).cast("int"))
+        met = row(v, 1, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        dealt = asked.unionByName(met).repartitionById(n, F.col("_g")).sortWithinPartitions("_g", "_kind", "doc")
+        ranked = T.StructType([*out.fields, T.StructField("rank", T.IntegerType())])
+        return dealt.mapInArrow(nearest_in_groups(k, digits, queries_per_block, vectors_per_block, to_arrow_schema(ranked)), ranked)
     return top_rows(best, ["query"], [F.desc("score"), "doc"], k, "rank")
 
 
