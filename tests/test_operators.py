@@ -189,6 +189,32 @@ def test_dense_search_of_many_blocks_shuffles_no_scores(spark):
     assert set(got) == expect and len(got) == len(expect)
 
 
+def test_pair_cosines_make_no_rows_of_terms(spark):
+    """Pairs meet whole vectors: repeated pairs and terms, unknown and null documents, two tables."""
+    left = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5), (1, "b", 0.25), (2, "c", 1.0), (3, None, 1.0)], "doc int, term string, weight double")
+    right = spark.createDataFrame([("x", "b", 2.0), ("x", "a", 1.0), ("y", "c", 3.0), ("y", "d", None)], "doc string, term string, weight double")
+    rows = [(1, "x"), (1, "x"), (1, "y"), (2, "y"), (2, "z"), (3, "x"), (9, "y"), (None, "x"), (1, None)]
+    pairs = spark.createDataFrame(rows, "t int, c string")
+    out = retrieval.pair_cosines(pairs, left, right, "t", "c")
+    value = {(1, "x"): 2.0, (2, "y"): 3.0}
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(str((*r, value.get(r, 0.0))) for r in rows)
+    assert "term" not in "".join(x for x in plan_of(out).splitlines() if "Join" in x)
+    # one table for both sides, and more candidates than one step takes
+    many = spark.range(1, 2_500).select(F.col("id").cast("int").alias("doc"), F.explode(F.array(F.lit("a"), F.concat(F.lit("t"), F.col("id") % 7))).alias("term"), (F.col("id") / 10).alias("weight"))
+    asked = many.where("doc > 1").select(F.lit(1).alias("t"), F.col("doc").alias("c")).distinct()
+    got = {r.c: r.cosine for r in retrieval.pair_cosines(asked, many, many, "t", "c").collect()}
+    assert len(got) == 2_498 and all(abs(v - c / 100 * (1 + (c % 7 == 1))) < 1e-9 for c, v in got.items())
+
+
+def test_texts_are_dealt_once_for_all_that_goes_by_document(spark):
+    docs = spark.createDataFrame([(1, "profit rose and rose"), (2, "the board met"), (2, "profit"), (None, "profit fell")], "id int, body string")
+    plan = plan_of(retrieval.tfidf_weights(docs, "id", "body", min_df=0.0, max_df=1.0))
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    index = retrieval.build_index(docs, "id", "body")
+    assert plan_of(index.postings).count("Exchange hashpartitioning(doc") == 2 and "hashpartitioning(doc#" in plan_of(index.postings)
+    assert "term" not in "".join(x for x in plan_of(index.postings).splitlines() if "Exchange" in x)
+
+
 def test_products_of_vectors_are_bounded():
     import numpy as np
 

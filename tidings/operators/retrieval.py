@@ -19,15 +19,25 @@ from tidings import lexicon
 from tidings.functions import text
 from tidings.functions.dates import parse_interval
 from tidings.plans.shape import unpack
-from tidings.plans.skew import HOT_ROWS, hot_keys, salted_join, top_rows
+from tidings.plans.skew import HOT_ROWS, salted_join, top_rows
 from tidings.plans.storage import materialize
 
 K1, B = 1.2, 0.75
+IDF_TERMS = 1_000_000  # terms of a broadcast idf table
+PAIRS_PER_PIECE = 50_000  # pairs of documents that meet in one group
+
+
+def by_document(docs: DataFrame, doc_id: str, body: str) -> DataFrame:
+    """(doc, body) with the rows of a document in one partition."""
+    return docs.select(F.col(doc_id).alias("doc"), F.col(body).alias("body")).repartition("doc")
 
 
 def term_counts(docs: DataFrame, doc_id: str, body: str, stop_words: list[str] | None = None) -> DataFrame:
-    """(doc, term, tf): tokens are counted inside each row's partition before any shuffle."""
-    rows = unpack(docs, [F.col(doc_id).alias("doc")], text.tokens(F.col(body)), "term")
+    """(doc, term, tf): texts are dealt by document, once, and what follows by document needs no further shuffle.
+
+    A text is smaller than its (doc, term) rows.
+    """
+    rows = unpack(by_document(docs, doc_id, body), ["doc"], text.tokens(F.col("body")), "term")
     if stop_words:
         rows = rows.where(~F.col("term").isin(stop_words))
     return rows.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -66,8 +76,9 @@ def build_index(docs: DataFrame, doc_id: str, body: str) -> Index:
     Documents without a token still count towards the collection size and the mean length.
     """
     counts = term_counts(docs, doc_id, body)
-    lengths = docs.select(F.col(doc_id).alias("doc"), F.size(text.tokens(F.col(body))).alias("len"))
-    mean_len = lengths.select(F.avg("len")).scalar()
+    length = F.size(text.tokens(F.col(body))).alias("len")
+    mean_len = docs.select(length).select(F.avg("len")).scalar()
+    lengths = by_document(docs, doc_id, body).select("doc", F.size(text.tokens(F.col("body"))).alias("len"))
     rel = lengths.select("doc", (F.col("len") / mean_len).alias("rel_len"))
     frequencies = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return Index(counts.join(rel, "doc"), frequencies, docs.select(F.count(F.lit(1))).scalar())
@@ -107,7 +118,7 @@ def bm25_scores(
     while document frequencies and collection size stay those of the whole index. A term that
     repeats in a query counts each time. Unknown terms match no posting.
     """
-    terms = _weighted_terms(index, queries, query_id, body).drop("df")
+    terms = materialize(_weighted_terms(index, queries, query_id, body).drop("df"), "query-terms")
     # only postings of query terms are read on from here
     postings = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     if include is not None:
@@ -266,25 +277,86 @@ def tfidf_weights(
         (F.col("_df") >= n * min_df) & (F.col("_df") <= n * max_df)
     )
     idf = df.select("term", (F.log((1.0 + n) / (1.0 + F.col("_df"))) + 1.0).alias("_idf"))
+    idf = materialize(idf, "idf")
+    if idf.count() <= IDF_TERMS:
+        idf = F.broadcast(idf)  # counts stay where their documents are
     raw = counts.join(idf, "term").select("doc", "term", (F.col("tf") * F.col("_idf")).alias("_w"))
-    norms = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return raw.join(norms, "doc").select("doc", "term", (F.col("_w") / F.col("_norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc")))  # the terms of one document
+    return raw.where(F.col("doc").isNotNull()).select("doc", "term", (F.col("_w") / norm).alias("weight"))
+
+
+def packed_vectors(weights: DataFrame) -> DataFrame:
+    """(doc, terms, weights): one row per vector."""
+    known = weights.where(F.col("term").isNotNull() & F.col("weight").isNotNull())
+    # the terms of one document
+    return known.groupBy("doc").agg(F.collect_list(F.struct("term", "weight")).alias("_v")).select(
+        "doc", F.col("_v.term").alias("terms"), F.col("_v.weight").alias("weights")
+    )
+
+
+def _dots(a: str, b: str, name: str):
+    """Group function: products of the vectors of each pair, one target's candidates at a time."""
+
+    def run(pairs: pa.Table, vectors: pa.Table) -> pa.Table:
+        total = np.zeros(len(pairs))
+        if len(pairs) and len(vectors):
+            code = pc.list_flatten(vectors["terms"]).combine_chunks().dictionary_encode().indices.to_numpy()
+            weight = pc.list_flatten(vectors["weights"]).combine_chunks().to_numpy()
+            end = np.cumsum(pc.list_value_length(vectors["terms"]).to_numpy())
+            start = np.append(0, end[:-1])
+            side = vectors["side"].to_numpy()
+            of = {}
+            for column, ids, sides in ((a, "left", (0, 2)), (b, "right", (1, 2))):
+                mine = np.flatnonzero(np.isin(side, sides))
+                found = pc.index_in(pairs[column], vectors[ids].take(pa.array(mine)).combine_chunks()).combine_chunks()
+                known = found.is_valid().to_numpy(zero_copy_only=False)
+                of[column] = np.where(known, mine[found.fill_null(0).to_numpy()] if len(mine) else -1, -1)
+            both = np.flatnonzero((of[a] >= 0) & (of[b] >= 0))
+            both = both[np.argsort(of[a][both], kind="stable")]
+            edges = np.flatnonzero(np.diff(of[a][both], prepend=-1, append=-1))
+            dense = np.zeros(int(code.max(initial=0)) + 1)
+            for i, j in zip(edges[:-1], edges[1:]):
+                left, rows = of[a][both[i]], both[i:j]
+                span = slice(start[left], end[left])
+                np.add.at(dense, code[span], weight[span])
+                for k in range(0, len(rows), 1_000):
+                    some = rows[k : k + 1_000]
+                    first, n = start[of[b][some]], end[of[b][some]] - start[of[b][some]]
+                    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    total[some] = np.bincount(np.repeat(np.arange(len(some)), n), dense[code[at]] * weight[at], len(some))
+                dense[code[span]] = 0.0
+        return pa.table({a: pairs[a], b: pairs[b], name: pa.array(total)})
+
+    return run
 
 
 def pair_cosines(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str, name: str = "cosine") -> DataFrame:
     """Cosine of two weight vectors for every given pair; 0 when they share no term.
 
-    The pairs lead: each pair picks up its left vector, then meets the right one on (doc, term),
-    so no two documents are compared that nobody asked for. Documents in very many pairs are
-    salted; they are counted among the pairs, before vectors come in. Both vector tables are
-    read several times by callers that rank: store them first.
+    The pairs lead: sorted by their documents they are cut into pieces of about ``PAIRS_PER_PIECE``, so that a document in very
+    many pairs has many pieces. Each piece gets every vector that it needs once, however many of its pairs need it, and no two
+    documents are compared that nobody asked for. Terms of pairs never become rows. Both vector tables are
+    read several times: store them first.
     """
-    keys = pairs.select(a, b).distinct()
-    busy = hot_keys(keys, [b])
-    lefts = salted_join(keys, left.select(F.col("doc").alias(a), "term", F.col("weight").alias("_wa")), [a])
-    rights = right.select(F.col("doc").alias(b), "term", F.col("weight").alias("_wb"))
-    both = salted_join(lefts, rights, [b, "term"], hot=busy)
-    dots = both.groupBy(a, b).agg(F.sum(F.col("_wa") * F.col("_wb")).alias(name))
+    keys = pairs.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
+    keys = materialize(keys, "pairs")
+    n = max(1, -(-keys.count() // PAIRS_PER_PIECE), keys.sparkSession.sparkContext.defaultParallelism)
+    # stored: both readers have to see the same pieces
+    keys = materialize(keys.repartitionByRange(n, a, b).withColumn("_piece", F.spark_partition_id()), "pieces")
+    asked = lambda c: keys.select(F.col("_piece").alias("_for"), F.col(c).alias("doc"))
+    kinds = [keys.schema[c].dataType for c in (a, b)]
+
+    def sent(weights: DataFrame, wanted: DataFrame, side: int) -> DataFrame:
+        met = packed_vectors(weights).join(wanted.distinct(), "doc")
+        ids = [F.col("doc").try_cast(t) if side in (i, 2) else F.lit(None).cast(t) for i, t in enumerate(kinds)]
+        return met.select("_for", F.lit(side).alias("side"), ids[0].alias("left"), ids[1].alias("right"), "terms", "weights")
+
+    if left is right and kinds[0] == kinds[1]:
+        vectors = sent(left, asked(a).union(asked(b)), 2)
+    else:
+        vectors = sent(left, asked(a), 0).unionByName(sent(right, asked(b), 1))
+    schema = T.StructType([*keys.select(a, b).schema.fields, T.StructField(name, T.DoubleType())])
+    dots = keys.groupBy("_piece").cogroup(vectors.groupBy("_for")).applyInArrow(_dots(a, b, name), schema)
     return pairs.join(dots, [a, b], "left").na.fill(0.0, [name])
 
 
