@@ -215,6 +215,18 @@ def test_texts_are_dealt_once_for_all_that_goes_by_document(spark):
     assert "term" not in "".join(x for x in plan_of(index.postings).splitlines() if "Exchange" in x)
 
 
+def test_excluded_pairs_are_made_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"profit rose word{i}") for i in range(6)], "id int, body string")
+    left, right = spark.createDataFrame([(1, 7)], "query int, k int"), spark.createDataFrame([(7, 2)], "k int, doc int")
+    given = []
+    bounds = retrieval.score_bounds
+    monkeypatch.setattr(retrieval, "score_bounds", lambda *args: given.append(args[5]) or bounds(*args))
+    asked = spark.createDataFrame([(1, "profit word2")], "id int, body string")
+    out = retrieval.search(retrieval.build_index(docs, "id", "body"), asked, "id", "body", cutoff=10, exclude=left.join(right, "k"))
+    assert sorted(r.doc for r in out.collect()) == [0, 1, 3, 4, 5]
+    assert "parquet" in plan_of(given[0]) and "Join" not in plan_of(given[0])
+
+
 def test_products_of_vectors_are_bounded():
     import numpy as np
 

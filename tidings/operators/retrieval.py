@@ -220,6 +220,8 @@ def search(
     """
     if include is None:
         slack = 1e-9 if digits is None else 10.0**-digits
+        if exclude is not None:  # asked for thresholds and for candidates
+            exclude = materialize(exclude.select("query", "doc").distinct(), "excluded")
         scores = pruned_scores(index, queries, query_id, body, cutoff, exclude, slack, **weights)
     else:
         scores = bm25_scores(index, queries, query_id, body, include, exclude, **weights)
