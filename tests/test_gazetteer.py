@@ -57,3 +57,15 @@ def test_a_large_list_is_not_broadcast(spark):
         assert "BuildRight" not in plan_of(found) and found.count() == 50
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_places_that_begin_no_name_meet_nothing(spark, monkeypatch):
+    """Keys are counted, and rows shuffled, only for places that begin a name."""
+    from tidings.operators import gazetteer
+
+    seen, join = [], gazetteer.salted_join
+    monkeypatch.setattr(gazetteer, "salted_join", lambda left, *a, **k: seen.append(left.count()) or join(left, *a, **k))
+    docs = spark.createDataFrame([(1, "one two three " * 50 + "acme corp")], "id int, text string")
+    names = spark.createDataFrame([("Acme Corp", "org")], "name string, type string")
+    assert [tuple(r) for r in gazetteer.typed_entities(docs, "id", "text", names).collect()] == [(1, 150, 2, "acme corp", "org")]
+    assert seen == [1]

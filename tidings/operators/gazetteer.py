@@ -49,8 +49,8 @@ def typed_entities(
     table = materialize(name_table(names, name, kind), "names")
     longest = table.agg(F.max("n")).first()[0] or 1
     keys = table.select("key").distinct()
-    # most places begin no name: they go before anything meets
-    places = salted_join(name_places(docs, doc, body, longest), keys, ["key"], "left_semi", hot_rows=hot_rows)
+    # most places begin no name: they go before anything is counted, shuffled or met
+    places = materialize(name_places(docs, doc, body, longest).join(keys, "key", "left_semi"), "places")
     met = salted_join(places, table, ["key"], hot_rows=hot_rows).where(F.slice("window", 1, F.col("n")) == F.col("words"))
     spans = met.groupBy("doc", "at", "n").agg(F.first("words").alias("words"), F.collect_set("type").alias("types"))
     # the matches of one text; of those that start together only the longest is not inside another
