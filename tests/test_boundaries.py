@@ -75,3 +75,18 @@ def test_empty_tables(spark, learned):
     assert split_sentences(none, ["id"], "text", known, starters).collect() == []
     alone = spark.createDataFrame([(1, "A met Dr. No. End")], "id int, text string")
     assert split_sentences(alone, ["id"], "text", known.limit(0), starters.limit(0)).count() == 3
+
+
+def test_texts_are_cut_once_for_all_joins(spark, monkeypatch):
+    """What the joins read, to count keys and to join, is stored: no pattern runs again."""
+    from conftest import plan_of
+    from tidings.operators import boundaries
+
+    plans, join = [], boundaries.salted_join
+    monkeypatch.setattr(boundaries, "salted_join", lambda left, *a, **k: plans.append(plan_of(left)) or join(left, *a, **k))
+    docs = spark.createDataFrame([(1, "He met Mr. Smith. They left.")], "id int, text string")
+    known = spark.createDataFrame([("mr",)], "word string")
+    out = boundaries.split_sentences(docs, ["id"], "text", known)
+    assert sorted(r.sentence for r in out.collect()) == ["He met Mr. Smith.", "They left."]
+    boundaries.sentence_starters(docs, "text", known).collect()
+    assert len(plans) == 2 and not any("regexp_replace" in p for p in plans)

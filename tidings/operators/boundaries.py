@@ -70,7 +70,7 @@ def candidates(docs: DataFrame, keys: Sequence[str], body: str) -> DataFrame:
 
 def sentence_starters(docs: DataFrame, body: str, known: DataFrame, threshold: float = STARTER) -> DataFrame:
     """(word, ratio) of words that begin sentences more often than chance: after an end with no abbreviation (``known``: word) before it."""
-    rows = candidates(docs, [], body).where("inner")
+    rows = materialize(candidates(docs, [], body).where("inner").select("before", "first"), "inner-ends")  # cut once, read twice
     sure = salted_join(rows, known.select(F.col("word").alias("before")), ["before"], "left_anti")
     begins = sure.where(~F.coalesce(F.length("before") == 1, F.lit(False)) & (F.col("first") != "")).groupBy(F.col("first").alias("word")).agg(F.count(F.lit(1)).alias("begins"))
     total = stop_counts(docs, body).select("word", "total")
@@ -90,7 +90,7 @@ def split_sentences(docs: DataFrame, keys: Sequence[str], body: str, known: Data
     rows. White space at an end that is none becomes one space.
     """
     keys = list(keys)
-    rows = candidates(docs, keys, body)
+    rows = materialize(candidates(docs, keys, body).select(*keys, "at", "piece", "before", "first"), "pieces")  # each join counts its keys first
     marked = salted_join(rows, known.select(F.col("word").alias("before"), F.lit(True).alias("_known")).distinct(), ["before"], "left")
     held = F.coalesce(F.col("_known"), F.lit(False)) | F.coalesce(F.length("before") == 1, F.lit(False))
     if starters is not None:
