@@ -59,3 +59,16 @@ def test_edges(spark):
     assert s.rank_sentences(rows.where("false"), ["k"], "body").count() == 0
     blank = s.rank_sentences(rows.withColumn("body", F.lit(None).cast("string")), ["k"], "body").collect()
     assert {r["rank"] for r in blank} == {1 - s.DAMPING} and len(blank) == rows.count()
+
+
+def test_steps_are_not_stored_and_long_passages_take_as_many(spark, monkeypatch):
+    """Passages inside tasks, split ones and both together: the same number of steps and the same ranks."""
+    stored, keep = [], s.materialize
+    monkeypatch.setattr(s, "materialize", lambda df, label: stored.append(label) or keep(df, label))
+    ranks = lambda hot_rows: {(r["k"], r["i"]): r["rank"] for r in s.rank_sentences(table(spark), ["k"], "body", hot_rows=hot_rows).collect()}
+    inside = ranks(1_000_000)
+    assert "at-words" not in stored and "ranks" not in stored
+    for hot_rows in (3, 17):  # all passages are long, only one is
+        stored.clear()
+        assert ranks(hot_rows) == pytest.approx(inside, abs=1e-9)
+        assert "at-words" in stored
