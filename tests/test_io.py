@@ -112,3 +112,27 @@ def test_sql_reader_and_criteria(spark):
     out = readers.read_sql(spark, "SELECT max(id) AS m FROM numbers", numbers=spark.range(5))
     assert out.first()["m"] == 4
     assert match_criteria(spark.range(5).withColumn("b", F.lit("x")), id=3, b="x").count() == 1
+
+
+def test_annotation_files_share_folders(spark, tmp_path, monkeypatch):
+    """150 conversations, one of them without an id, need no folder each; a table without rows gives none."""
+    import workload
+    from workload import staging
+
+    monkeypatch.setattr(staging, "_path", lambda t, label: str(tmp_path / label))
+    rows = [(i or None, turn, role, f"said  {i}\n{turn}") for i in range(150) for turn, role in enumerate(["system", "user"])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "in" / "conversations.parquet"))
+    got = workload.QUERIES["annotation_pairs"](spark, str(tmp_path / "in")).collect()
+    assert sorted((r.conv_id or 0, r.sent_id, r.label, r.sentence) for r in got) == [(i, "S2", "user", f"said {i} 1") for i in range(150)]
+    files = [p for p in (tmp_path / "annotated").rglob("*") if p.is_file()]
+    assert len(files) == 300 and len({p.parent for p in files}) <= 128
+
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "none" / "conversations.parquet"))
+    monkeypatch.setattr(staging, "_path", lambda t, label: f"file://{tmp_path}/empty")
+    assert workload.QUERIES["annotation_pairs"](spark, str(tmp_path / "none")).count() == 0
+
+
+def test_names_that_make_no_file_are_errors(spark, tmp_path):
+    for name in (None, "", "a/b", "_a", ".a"):
+        with pytest.raises(Exception, match="no file can be written"):
+            writers.write_named_texts(spark.createDataFrame([(name, "x")], "k string, v string"), str(tmp_path / "files"), "k", "v", ".txt")

@@ -146,15 +146,12 @@ def annotation_pairs(t):
     )
     for kind, column, head in (("txt", "t", "URL http://a.org\nH head\n"), ("ann", "a", "")):
         bodies = concat_by_key(lines, "conv_id", column, "turn", "\n", "body")
-        files = bodies.select(F.concat(F.lit(head), "body").alias("value"), F.concat(F.col("conv_id"), F.lit(f".{kind}")).alias("name"))
-        files.write.partitionBy("name").text(f"{root}/validation/{kind}")
-    folder = lambda kind: f"{root}/validation/{kind}/name=*"
-    # the file key is the folder name here, so pairs are read through it
-    whole = lambda kind: t._spark.read.text(folder(kind), wholetext=True).select(
-        F.regexp_extract(F.input_file_name(), rf"name=(\d+)\.{kind}", 1).cast("long").alias("conv_id"), "value"
-    )
-    out = readers.pair_annotations(whole("txt"), whole("ann"), "conv_id").where("url = 'http://a.org' AND headline = 'head'")
-    return out.select("conv_id", "sent_id", "label", "sentence")
+        files = bodies.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("name"), F.concat(F.lit(head), "body").alias("value"))
+        writers.write_named_texts(files, f"{root}/validation/{kind}", "name", "value", f".{kind}")
+    pairs = readers.read_annotation_pairs(t._spark, f"{root}/validation/txt/*", f"{root}/validation/ann/*")
+    out = pairs.where("url = 'http://a.org' AND headline = 'head'")
+    conv_id = F.substring_index("key", "/", -1).try_cast("long").alias("conv_id")
+    return out.select(conv_id, "sent_id", "label", "sentence")
 
 
 @query("SELECT DISTINCT regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), ':[0-9]*$', '') AS host FROM pages")
