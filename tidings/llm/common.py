@@ -110,16 +110,13 @@ def components(links: DataFrame) -> DataFrame:
     (pointer jumping), so the number of rounds follows the logarithm of the longest path. Labels
     are stored each round in the shared folder. Nothing but the number of changes reaches the driver.
     """
-    both = materialize(
-        links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),
-        "links",
-    )
-    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    # one pass over the links, whose plan may hold much work; every node is its own neighbour
+    sides = F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in "ab"])).alias("side")
+    both = materialize(links.where("a <> b").select(sides).select("side.*").distinct(), "links")
+    labels = materialize(both.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        lowered = labels.join(near.withColumnRenamed("a", "node"), "node").select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
-        )
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"))
+        lowered = near.agg(F.min("label").alias("label"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         new = materialize(
             lowered.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")),

@@ -264,7 +264,7 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     # whoever is still apart: lists of two as rows, the others inside tasks
     placed = apart(lists, known)
-    sized = placed.join(placed.groupBy("value").agg(F.count(F.lit(1)).alias("size")), "value")
+    sized = materialize(placed.join(placed.groupBy("value").agg(F.count(F.lit(1)).alias("size")), "value"), "sized-lists")
     short, long = sized.where(F.col("size") <= SHORT), sized.where(F.col("size") > SHORT)
     prefixes = lists.join(long.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.collect_list("value").alias("prefix"))
     links = (
