@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tidings.llm import url_rules
+from tidings.llm import mixing, url_rules
 from tidings.llm.mixing import mix, rake
 from tidings.llm.secrets import BASE_RULES, RULES, find_secrets, joined_spans, trigram_query
 from tidings.llm.sharding import assign_shards
@@ -142,3 +142,29 @@ def test_mixing(spark):
     assert abs((table.tokens * table.probability).sum() / table.tokens.sum() - 0.5) < 1e-6
     assert abs(table[table.kept].tokens.sum() / table.tokens.sum() - 0.5) < 0.1
     assert mix(docs.limit(0), rounds=1).collect() == []
+
+
+def test_few_cells_are_not_shuffled_round_by_round(spark, monkeypatch):
+    """Every exchange of a round is a task per partition in the driver's books; many cells go by shuffles to the same result."""
+    plans, store = [], mixing.materialize
+
+    def noted(df, label):
+        plans.append(len(re.findall(r"\bExchange ", df._jdf.queryExecution().executedPlan().toString())))
+        return store(df, label)
+
+    monkeypatch.setattr(mixing, "materialize", noted)
+    rows = [(i, "w " * (i % 9 + 1), ["s0", "s0", "s1", None][i % 4], ["en", "de", None][i % 3]) for i in range(300)] + [(None, None, "s0", "en"), (7, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    results = []
+    for few in (mixing.FEW_CELLS, 0):
+        monkeypatch.setattr(mixing, "FEW_CELLS", few)
+        plans.clear()
+        found = mix(docs, rate=0.5, rounds=2).select("doc_id", "weight", "probability", "kept").toPandas()
+        results.append(found.sort_values("doc_id").reset_index(drop=True))
+        if few:
+            assert len(plans) == 5 and plans[0] == 1 and not any(plans[1:])
+        else:
+            assert min(plans[1:4]) > 0
+    for column in ("weight", "probability"):
+        assert (results[0][column] - results[1][column]).abs().max() < 1e-9
+    assert results[0].kept.equals(results[1].kept)

@@ -86,3 +86,29 @@ def test_components_read_their_links_once(spark):
     got = {r["node"]: r["label"] for r in components(links).collect()}
     assert seen.value == len(rows)
     assert got == {**{i: 10 for i in range(10, 41)}, **{i: 7 for i in [7, 50, *range(60, 70)]}, 1: 1, 2: 1}
+
+
+def test_rounds_over_few_labels_shuffle_once(spark, monkeypatch):
+    """Each join by a shuffle is a task per partition in the driver's books; many labels go by shuffles to the same result."""
+    from tidings.llm import common
+
+    plans, store = [], common.materialize
+
+    def noted(df, label):
+        plans.append(len(re.findall(r"\bExchange ", df._jdf.queryExecution().executedPlan().toString())))
+        return store(df, label)
+
+    monkeypatch.setattr(common, "materialize", noted)
+    rows = [(i, i + 1) for i in range(10, 40)] + [(50, i) for i in range(60, 70)] + [(7, 50), (7, 7), (2, 1), (1, 2), (None, 3)]
+    links = spark.createDataFrame(rows, "a long, b long")
+    want = {**{i: 10 for i in range(10, 41)}, **{i: 7 for i in [7, 50, *range(60, 70)]}, 1: 1, 2: 1}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for few in (len(want), len(want) - 1):
+            monkeypatch.setattr(common, "FEW_LABELS", few)
+            plans.clear()
+            assert {r["node"]: r["label"] for r in common.components(links).collect()} == want
+            assert len(plans) > 3 and all(n == 1 if few == len(want) else n > 3 for n in plans[2:])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

@@ -16,6 +16,7 @@ from tidings.plans.storage import materialize, new_path
 from tidings.session import tune
 
 PLAN_CHARS = 50_000  # of a plan's text that the driver keeps
+FEW_LABELS = 50_000  # labels of nodes that are sent to every task; more are joined by a shuffle
 BATCH_ROWS = 1_000  # rows that travel to Python at once; long texts are what memory has to hold
 
 # A-Z in lower case, every other byte as it is
@@ -108,18 +109,20 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among the neighbours, then follows labels once more
     (pointer jumping), so the number of rounds follows the logarithm of the longest path. Labels
-    are stored each round in the shared folder. Nothing but the number of changes reaches the driver.
+    are stored each round in the shared folder. Up to ``FEW_LABELS`` nodes, a round shuffles once: each join by a
+    shuffle costs the driver the bookkeeping of its tasks, however few the rows.
     """
     # one pass over the links, whose plan may hold much work; every node is its own neighbour
     sides = F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in "ab"])).alias("side")
     both = materialize(links.where("a <> b").select(sides).select("side.*").distinct(), "links")
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node"), "labels")
+    to_all = F.broadcast if labels.count() <= FEW_LABELS else (lambda table: table)
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"))
+        near = both.join(to_all(labels.select(F.col("node").alias("b"), "label")), "b").groupBy(F.col("a").alias("node"))
         lowered = near.agg(F.min("label").alias("label"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         new = materialize(
-            lowered.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")),
+            lowered.join(to_all(jump), "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")),
             "labels",
         )
         if new.where("old <> label").isEmpty():

@@ -19,6 +19,7 @@ ROUNDS = 50  # most passes over the marginals
 TOLERANCE = 1e-6  # change of a marginal that no longer counts
 CAPPING_ROUNDS = 12  # each fixes the cells whose probability has reached one
 MAX_BROADCAST_CELLS = 100_000
+FEW_CELLS = 100_000  # cells that are one partition; more are shuffled in every round
 
 
 def word_count(text_column: str) -> Column:
@@ -36,6 +37,14 @@ def form_topic(text_column: str) -> Column:
     )
 
 
+def gathered(cells: DataFrame, few: bool) -> DataFrame:
+    """``cells``; few of them in one partition, which sums and joins need not shuffle.
+
+    Rounds over few cells would otherwise be many almost empty tasks, and the driver keeps books of each.
+    """
+    return cells.coalesce(1) if few else cells
+
+
 def tempered(cells: DataFrame, column: str, power: float) -> DataFrame:
     """Target shares that lean from the present shares (power 1) to equal ones (power 0)."""
     held = cells.groupBy(column).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("_p")).where("_p > 0")
@@ -48,22 +57,24 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
 
     A value without a target keeps its tokens. Rounds end when the last one changed no marginal by more than
     ``tolerance`` of itself. Each round is stored, so a lost executor costs one round. Joins are
-    shuffled: the number of cells has no bound.
+    shuffled, as the number of cells has no bound; up to ``FEW_CELLS`` are one partition, and no round shuffles.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    fitted = cells.withColumn("fitted", F.col("tokens").cast("double"))
+    total, n = cells.agg(F.sum("tokens"), F.count(F.lit(1))).first()
+    total, few = total or 0, n <= FEW_CELLS
+    fitted = gathered(cells, few).withColumn("fitted", F.col("tokens").cast("double"))
     for column, share in targets.items():
         fitted = fitted.join(share.select(column, (F.col("share") * total).alias(f"{column}_goal")).hint("shuffle_hash"), column, "left")
-    fitted = materialize(fitted, "cells")
+    fitted = gathered(materialize(fitted, "cells"), few)
     for _ in range(rounds):
         fitted = fitted.withColumn("_moved", F.lit(0.0))
         for column in targets:
             goal = F.first(f"{column}_goal")
             factor = fitted.groupBy(column).agg(F.when(goal.isNotNull() & (F.sum("fitted") > 0), goal / F.sum("fitted")).otherwise(1.0).alias("_factor"))
-            fitted = fitted.join(factor.hint("shuffle_hash"), column).withColumns(
+            # said again after each join, as Spark does not see that the join of single partitions is one
+            fitted = gathered(fitted.join(factor.hint("shuffle_hash"), column), few).withColumns(
                 {"fitted": F.col("fitted") * F.col("_factor"), "_moved": F.greatest("_moved", F.abs(F.col("_factor") - 1))}
             ).drop("_factor")
-        fitted = materialize(fitted, "cells")
+        fitted = gathered(materialize(fitted, "cells"), few)
         moved = fitted.agg(F.max("_moved")).first()[0] or 0.0
         fitted = fitted.drop("_moved")
         if moved <= tolerance:
@@ -114,6 +125,7 @@ def mix(
     keys = ["source", "lang", "topic"]
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     cells = materialize(marked.groupBy(*[name(c).alias(f"_{c}") for c in keys]).agg(F.sum("tokens").alias("tokens")), "cells")
+    cells = gathered(cells, cells.count() <= FEW_CELLS)
     goals = {
         f"_{c}": targets[c].select(name(c).alias(f"_{c}"), "share") if targets and c in targets else tempered(cells, f"_{c}", powers[c]) for c in keys
     }
