@@ -131,3 +131,19 @@ def test_rounded_ties_keep_the_smaller_id(spark):
         got = retrieval.search(index, queries, "id", "text", 10, digits=digits).orderBy("rank").collect()
         assert [r.doc for r in got] == (list(range(10)) if digits == 0 else list(range(0, 20, 2)))
         assert all(math.isclose(r.score, got[0].score, abs_tol=1e-6) for r in got)
+
+
+def test_what_waits_to_be_settled_is_bounded():
+    """A group has many blocks of queries: each holds little besides its results, and single precision loses nothing."""
+    rng = np.random.default_rng(5)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, 16)))
+    queries, vectors = unit(300), unit(2_400)
+    vectors[1_200:] = vectors[:1_200]  # equal scores: the first stays
+    block = retrieval.Best(queries, 5, 6)
+    for a in range(0, len(vectors), 800):
+        block.meet(vectors[a : a + 800], a, np.arange(a, a + 800))
+        assert block.waiting <= 2 * 300 * 5 and sum(len(x[0]) for x in block.parts) <= 3 * 300 * 5
+    row, score, place, ids = block.settle()
+    scores = np.round(queries @ vectors.T, 6)
+    expect = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+    assert (ids.reshape(300, 5) == expect).all() and (place == ids).all() and (score.reshape(300, 5) == np.take_along_axis(scores, expect, axis=1)).all()

@@ -470,26 +470,42 @@ def unit_matrix(vectors: pa.Array, width: int) -> np.ndarray:
 class Best:
     """The best ``k`` of the vectors that have come by, for a block of queries.
 
-    Vectors come in the order that decides ties, so a later one has to be better than the worst that is kept.
+    Vectors come in the order that decides ties, so a later one has to be better than the worst that is kept. What waits to be
+    settled is no more than what is kept and one product, so that a group of many blocks holds little besides its results.
     """
 
     def __init__(self, queries: np.ndarray, k: int, digits: int):
         self.queries, self.k, self.digits = queries, k, digits
+        self.rough = queries.astype(np.float32)
         self.cut = np.full(len(queries), -np.inf)
         self.parts, self.waiting = [], 0  # (row, score, place, id); the first are what was kept last
 
-    def meet(self, vectors: np.ndarray, place: int, ids: np.ndarray) -> None:
-        step = max(1, PRODUCT // len(self.queries))
-        for a in range(0, len(vectors), step):
-            raw = self.queries @ vectors[a : a + step].T
-            row, column = np.nonzero(raw > (self.cut + 0.49 * 10.0**-self.digits)[:, None])
-            score = np.round(raw[row, column], self.digits)
+    def meet(self, vectors: np.ndarray, place: int, ids: np.ndarray, rough: np.ndarray | None = None) -> None:
+        """``rough``: the same vectors in single precision, which settles what can't be among the best."""
+        rough = vectors.astype(np.float32) if rough is None else rough
+        step, a = max(1, PRODUCT // len(self.queries)), 0
+        off = (vectors.shape[1] + 4) * 2.0**-23  # twice what a product of unit vectors can be off by in single precision
+        while a < len(vectors):
+            # thresholds come from few vectors first
+            b = min(len(vectors), a + min(step, max(self.k, 64, place + a)))
+            least = (self.cut + 0.49 * 10.0**-self.digits)[:, None]
+            if np.isfinite(self.cut).all():
+                row, column = np.divmod(np.flatnonzero(self.rough @ rough[a:b].T > (least - off).astype(np.float32)), b - a)
+                raw = np.concatenate([np.einsum("ij,ij->i", self.queries[row[i : i + 4_096]], vectors[a + column[i : i + 4_096]]) for i in range(0, max(1, len(row)), 4_096)])
+                near = raw > least[row, 0]
+                row, column, raw = row[near], column[near], raw[near]
+            else:
+                raw = self.queries @ vectors[a:b].T
+                row, column = np.nonzero(raw > least)
+                raw = raw[row, column]
+            score = np.round(raw, self.digits)
             better = score > self.cut[row]
             row, column, score = row[better], column[better] + a, score[better]
             self.parts.append((row, score, column + place, ids[column]))
             self.waiting += len(row)
-            if self.waiting > max(len(self.queries) * self.k, PRODUCT):
+            if self.waiting > 2 * len(self.queries) * self.k:
                 self.settle()
+            a = b
 
     def settle(self) -> tuple[np.ndarray, ...]:
         """What is kept, by query, best first."""
@@ -570,11 +586,11 @@ def nearest_in_groups(k: int, digits: int, queries_per_block: int, vectors_per_b
                 for c in range(0, b - a, vectors_per_block):
                     part = rows.slice(c, vectors_per_block)
                     vectors, doc = unit_matrix(part.column(4), width), _plain(part.column(3))
-                    width = vectors.shape[1]
+                    rough, width = vectors.astype(np.float32), vectors.shape[1]
                     for block in blocks:
                         if not block.queries.shape[1]:  # nulls only, so far on both sides
-                            block.queries = np.zeros((len(block.queries), width))
-                        block.meet(vectors, place, doc)
+                            block.queries, block.rough = (np.zeros((len(block.queries), width), t) for t in (np.float64, np.float32))
+                        block.meet(vectors, place, doc, rough)
                     place += len(doc)
         if blocks:
             yield from _ranked(ids, blocks, size, k, schema)
