@@ -147,3 +147,45 @@ def test_what_waits_to_be_settled_is_bounded():
     scores = np.round(queries @ vectors.T, 6)
     expect = np.argsort(-scores, axis=1, kind="stable")[:, :5]
     assert (ids.reshape(300, 5) == expect).all() and (place == ids).all() and (score.reshape(300, 5) == np.take_along_axis(scores, expect, axis=1)).all()
+
+
+def odd_texts(spark):
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choices([f"w{i}" for i in range(40)], [1 / (i + 1) for i in range(40)], k=n))
+    rows = [(i % 60, text(rng.randint(0, 30))) for i in range(90)] + [(None, text(9)), (None, text(5)), (70, None), (3, None), (71, "")]
+    queries = [(i, text(4)) for i in range(9)] + [(9, None), (None, "w2 w3"), (1, "w5 w39")]
+    return spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(queries, "id long, text string")
+
+
+@pytest.mark.parametrize("size", [3, 1 << 20])
+def test_texts_are_read_once_and_postings_stay_out_of_it(spark, monkeypatch, size):
+    """Repeated and null documents, null and blank texts: the same as from rows of postings, which a search doesn't make."""
+    from tidings.operators import postings
+
+    docs, queries = odd_texts(spark)
+    index = retrieval.build_index(docs, "id", "text")
+    scores = lambda out: {k: v[1] for k, v in ranked(out).items()}  # noqa: E731  documents of equal scores may change places
+    want = scores(full(index, queries, 7))
+    monkeypatch.setattr(postings, "PRODUCTS", size)
+    monkeypatch.setattr(postings, "CELLS", size)
+    monkeypatch.setattr(postings, "TEXTS", min(size, 1_000))
+    thin = retrieval.Index(None, None, index.n_docs, index.texts)
+    assert scores(retrieval.search(thin, queries, "id", "text", 7)) == want and len(want) > 60
+    monkeypatch.setattr(retrieval, "ASKED_TERMS", 2)  # by rows of postings; the bound of a term doesn't know of repeated documents
+    once = docs.where("id IS NOT NULL").dropDuplicates(["id"]).localCheckpoint()
+    index = retrieval.build_index(once, "id", "text")
+    assert scores(retrieval.search(index, queries, "id", "text", 7)) == scores(full(index, queries, 7))
+
+
+def test_documents_in_several_batches_are_one(spark, monkeypatch):
+    from tidings.operators import postings
+
+    docs = spark.createDataFrame([(i % 3, "a b a") for i in range(40)] + [(None, "a")] * 9, "doc long, body string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        rows = postings.asked_counts(docs, ["a", "b", "c"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.doc: (sorted(r.lens), dict(zip(r.codes, r.tfs))) for r in rows}
+    assert len(rows) == 4 and got[None] == ([1] * 9, {0: 9})
+    assert {d: (len(n), set(n), c) for d, (n, c) in got.items() if d is not None} == {0: (14, {3}, {0: 28, 1: 14}), 1: (13, {3}, {0: 26, 1: 13}), 2: (13, {3}, {0: 26, 1: 13})}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,12 +18,14 @@ from tidings.functions.draws import draw
 from tidings import lexicon
 from tidings.functions import text
 from tidings.functions.dates import parse_interval
+from tidings.operators import postings as packed
 from tidings.plans.shape import unpack
 from tidings.plans.skew import HOT_ROWS, salted_join, top_rows
 from tidings.plans.storage import materialize
 
 K1, B = 1.2, 0.75
 IDF_TERMS = 1_000_000  # terms of a broadcast idf table
+ASKED_TERMS = 1_000_000  # terms of queries that a broadcast table has a row for
 PAIRS_PER_PIECE = 50_000  # pairs of documents that meet in one group
 
 
@@ -45,11 +47,15 @@ def term_counts(docs: DataFrame, doc_id: str, body: str, stop_words: list[str] |
 
 @dataclass
 class Index:
-    """Inverted index: postings (term, doc, tf, rel_len) with term df, and the collection size."""
+    """Inverted index: postings (term, doc, tf, rel_len) with term df, and the collection size.
+
+    ``texts`` (doc, body) is what it is made of, unless it was loaded: a search that asks for few terms counts only these.
+    """
 
     postings: DataFrame
     frequencies: DataFrame
     n_docs: Column
+    texts: DataFrame | None = None
 
     def save(self, path: str, buckets: int | None = None) -> None:
         """Write the index; ``n_docs`` becomes a one-row table."""
@@ -81,14 +87,20 @@ def build_index(docs: DataFrame, doc_id: str, body: str) -> Index:
     lengths = by_document(docs, doc_id, body).select("doc", F.size(text.tokens(F.col("body"))).alias("len"))
     rel = lengths.select("doc", (F.col("len") / mean_len).alias("rel_len"))
     frequencies = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return Index(counts.join(rel, "doc"), frequencies, docs.select(F.count(F.lit(1))).scalar())
+    texts = docs.select(F.col(doc_id).alias("doc"), F.col(body).alias("body"))
+    return Index(counts.join(rel, "doc"), frequencies, docs.select(F.count(F.lit(1))).scalar(), texts)
 
 
-def _weighted_terms(index: Index, queries: DataFrame, query_id: str, body: str) -> DataFrame:
-    """(query, term, weight): times in the query times idf; unknown terms drop out."""
+def _query_terms(queries: DataFrame, query_id: str, body: str) -> DataFrame:
+    """(query, term, qtf), stored."""
     terms = term_counts(queries, query_id, body).select(F.col("doc").alias("query"), "term", F.col("tf").alias("qtf"))
+    return materialize(terms, "query-terms")
+
+
+def _weighted_terms(index: Index, terms: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(query, term, weight, df): times in the query times idf; unknown terms drop out."""
     n, df = index.n_docs, F.col("df")
-    known = terms.join(index.frequencies, "term")
+    known = terms.join(frequencies, "term")
     return known.select("query", "term", (F.col("qtf") * F.log(1.0 + (n - df + 0.5) / (df + 0.5))).alias("weight"), "df")
 
 
@@ -96,9 +108,9 @@ def _gain(k1: float, b: float) -> Column:
     return F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("rel_len")))
 
 
-def _hot_terms(index: Index, hot_rows: int) -> DataFrame:
+def _hot_terms(frequencies: DataFrame, hot_rows: int) -> DataFrame:
     shares = F.ceil(F.col("df") / hot_rows).cast("int")
-    return index.frequencies.where(F.col("df") > hot_rows).select("term", shares.alias("_shares"))
+    return frequencies.where(F.col("df") > hot_rows).select("term", shares.alias("_shares"))
 
 
 def bm25_scores(
@@ -118,7 +130,7 @@ def bm25_scores(
     while document frequencies and collection size stay those of the whole index. A term that
     repeats in a query counts each time. Unknown terms match no posting.
     """
-    terms = materialize(_weighted_terms(index, queries, query_id, body).drop("df"), "query-terms")
+    terms = materialize(_weighted_terms(index, _query_terms(queries, query_id, body), index.frequencies).drop("df"), "query-weights")
     # only postings of query terms are read on from here
     postings = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     if include is not None:
@@ -126,7 +138,7 @@ def bm25_scores(
         allowed = include.select("query", "doc").distinct()
         matched = salted_join(allowed, terms, ["query"], hot_rows=hot_rows).join(postings, ["doc", "term"])
     else:
-        matched = salted_join(postings, terms, ["term"], hot=_hot_terms(index, hot_rows))
+        matched = salted_join(postings, terms, ["term"], hot=_hot_terms(index.frequencies, hot_rows))
     if exclude is not None:
         matched = matched.join(exclude.select("query", "doc").distinct(), ["query", "doc"], "left_anti")
     return matched.groupBy("query", "doc").agg(F.sum(F.col("weight") * _gain(k1, b)).alias("score"))
@@ -136,12 +148,41 @@ def bm25_scores(
 class Bounds:
     """What lets a search leave documents out.
 
-    ``gains``: postings of the query terms (``term``, ``doc``, ``gain``), stored. ``terms``: query terms with their ``weight``, whether they
+    ``gains``: postings of the query terms (``term``, ``doc``, ``gain``). ``terms``: query terms with their ``weight``, whether they
     are ``essential``, and per query the score ``wanted`` at least and the most that the terms that are not can add (``rest``).
+    ``frequencies``: their documents (``term``, ``df``). Where the terms are few, ``scores`` gives (query, doc, score) of all documents that
+    reach what their query wants.
     """
 
     gains: DataFrame
     terms: DataFrame
+    frequencies: DataFrame
+    scores: Callable[[], DataFrame] | None = None
+
+
+def _asked_postings(index: Index, terms: DataFrame, cutoff: int, k1: float, b: float) -> tuple[DataFrame, DataFrame, DataFrame, Callable | None]:
+    """Gains of the postings of query terms, the ``cutoff`` best of each term (some tasks' best at least), frequencies, and how to score.
+
+    Texts are read once, for the terms that are asked for, and shuffled as counts of these. An index without texts, or very many terms, go by rows of postings.
+    """
+    wanted = terms.select("term").distinct()
+    if index.texts is None or terms.count() > ASKED_TERMS:
+        gains = materialize(index.postings.join(wanted, "term", "left_semi").select("term", "doc", _gain(k1, b).alias("gain")), "gains")
+        frequencies = materialize(index.frequencies.join(wanted, "term", "left_semi"), "frequencies")
+        return gains, gains, frequencies, None
+    names = sorted(r["term"] for r in wanted.collect())
+    spark = terms.sparkSession
+    codes = spark.createDataFrame(pa.table({"term": pa.array(names, pa.string()), "code": pa.array(range(len(names)), pa.int64())}))
+    counts = packed.asked_counts(index.texts, names)
+    mean = packed.mean_length(counts)
+    best = packed.best_postings(counts, len(names), mean, cutoff, k1, b)
+    frequencies = materialize(best.groupBy("code").agg(F.sum("n").alias("df")).join(codes, "code").select("term", "df"), "frequencies")
+
+    def scores(weighted: DataFrame) -> DataFrame:
+        return packed.scores_above(counts, weighted.join(codes, "term"), mean, k1, b)
+
+    named = best.where("doc is not null").join(codes, "code").select("term", "doc", "gain")
+    return packed.gain_rows(counts, codes, mean, k1, b), named, frequencies, scores
 
 
 def score_bounds(
@@ -155,10 +196,10 @@ def score_bounds(
     stay below the threshold are not essential: a document without any other term is not among the best. A query for which the best
     postings hold fewer than ``cutoff`` documents (some may be excluded) has no threshold, and all its terms are essential.
     """
-    weighted = materialize(_weighted_terms(index, queries, query_id, body), "query-terms")
-    wanted = weighted.select("term").distinct()
-    gains = materialize(index.postings.join(wanted, "term", "left_semi").select("term", "doc", _gain(k1, b).alias("gain")), "gains")
-    best = top_rows(gains, ["term"], [F.desc("gain"), "doc"], cutoff, "_rn")
+    terms = _query_terms(queries, query_id, body)
+    gains, good, frequencies, scores = _asked_postings(index, terms, cutoff, k1, b)
+    weighted = materialize(_weighted_terms(index, terms, frequencies), "query-weights")
+    best = materialize(top_rows(good, ["term"], [F.desc("gain"), "doc"], cutoff, "_rn"), "best")
     known = best.join(weighted, "term").select("query", "doc", (F.col("weight") * F.col("gain")).alias("part"))
     if exclude is not None:
         known = known.join(exclude.select("query", "doc").distinct(), ["query", "doc"], "left_anti")
@@ -170,7 +211,8 @@ def score_bounds(
     marked = most.join(least, "query", "left").withColumn("essential", F.col("wanted").isNull() | (F.sum("most").over(upward) >= F.col("wanted")))
     rest = F.sum(F.when(~F.col("essential"), F.col("most")).otherwise(0.0)).over(Window.partitionBy("query"))
     terms = marked.select("query", "term", "weight", "essential", F.coalesce("wanted", F.lit(float("-inf"))).alias("wanted"), rest.alias("rest"))
-    return Bounds(gains, materialize(terms, "bounds"))
+    terms = materialize(terms, "bounds")
+    return Bounds(gains, terms, frequencies, None if scores is None else lambda: scores(terms.select("query", "term", "weight", "wanted")))
 
 
 def candidate_scores(bounds: Bounds, index: Index, exclude: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -179,7 +221,7 @@ def candidate_scores(bounds: Bounds, index: Index, exclude: DataFrame | None = N
     Postings are kept together by document, so sums need no second shuffle.
     """
     essential = bounds.terms.where("essential").select("query", "term", "weight", "wanted", "rest")
-    matched = salted_join(bounds.gains, essential, ["term"], hot=_hot_terms(index, hot_rows))
+    matched = salted_join(bounds.gains, essential, ["term"], hot=_hot_terms(bounds.frequencies, hot_rows))
     if exclude is not None:
         matched = matched.join(exclude.select("query", "doc").distinct(), ["query", "doc"], "left_anti")
     sums = matched.groupBy("query", "doc").agg(F.sum(F.col("weight") * F.col("gain")).alias("part"), F.first("wanted").alias("wanted"), F.first("rest").alias("rest"))
@@ -192,9 +234,13 @@ def pruned_scores(
 ) -> DataFrame:
     """(query, doc, score) of documents among which the best ``cutoff`` of each query are.
 
-    Candidates come from essential terms alone; what the other terms add is looked up for the candidates only.
+    Documents of few terms are scored inside tasks, and those that reach their query's threshold go on. Otherwise candidates
+    come from essential terms alone; what the other terms add is looked up for the candidates only.
     """
     bounds = score_bounds(index, queries, query_id, body, cutoff, exclude, slack, k1, b)
+    if bounds.scores is not None:
+        found = bounds.scores()
+        return found if exclude is None else found.join(exclude.select("query", "doc").distinct(), ["query", "doc"], "left_anti")
     found = materialize(candidate_scores(bounds, index, exclude, hot_rows), "candidates")
     others = bounds.terms.where("NOT essential").select("query", "term", "weight")
     asked = found.where("rest > 0").select("query", "doc").join(others, "query")
