@@ -189,3 +189,16 @@ def test_documents_in_several_batches_are_one(spark, monkeypatch):
     got = {r.doc: (sorted(r.lens), dict(zip(r.codes, r.tfs))) for r in rows}
     assert len(rows) == 4 and got[None] == ([1] * 9, {0: 9})
     assert {d: (len(n), set(n), c) for d, (n, c) in got.items() if d is not None} == {0: (14, {3}, {0: 28, 1: 14}), 1: (13, {3}, {0: 26, 1: 13}), 2: (13, {3}, {0: 26, 1: 13})}
+
+
+def test_long_words_are_found_once(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+    from conftest import plan_of
+    from workload import retrieval as workload
+
+    spark.createDataFrame([(1, "extraordinary profit"), (2, "extraordinary board"), (3, "profit")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "extraordinary profit")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen, overlap = [], workload.joins.entity_overlap
+    monkeypatch.setattr(workload.joins, "entity_overlap", lambda t, a, *more, **kw: seen.append(plan_of(a)) or overlap(t, a, *more, **kw))
+    assert [(r["query"], r.doc) for r in entry.queries()["bm25_excluding"](spark, str(tmp_path)).collect()] == [(7, 3)]
+    assert len(seen) == 1 and "Generate" not in seen[0]

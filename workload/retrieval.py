@@ -46,10 +46,11 @@ def _long_word_pairs(t):
     from tidings.functions import text
 
     long_words = F.filter(text.tokens(F.col("text")), lambda w: F.length(w) > 9)
-    return joins.entity_overlap(
-        joins.entity_rows(t.benchmark, "item_id", long_words, one_row_per_doc=True),
-        joins.entity_rows(t.spread("documents", "doc_id"), "doc_id", long_words, one_row_per_doc=True),
-    ).select(F.col("target").alias("query"), F.col("archive").alias("doc"))
+    # stored: long words are counted and joined
+    rows = materialize(joins.entity_rows(t.spread("documents", "doc_id"), "doc_id", long_words, one_row_per_doc=True), "long-words")
+    return joins.entity_overlap(joins.entity_rows(t.benchmark, "item_id", long_words, one_row_per_doc=True), rows).select(
+        F.col("target").alias("query"), F.col("archive").alias("doc")
+    )
 
 
 FILTERED_SQL = f"""
