@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidings.plans.shape import unpack
 from tidings.functions.draws import draw
@@ -310,6 +314,41 @@ def _reduce_small(scores: DataFrame, keys: list[str], methods: Mapping[str, tupl
     return ranked.groupBy(*keys, "score").agg(F.coalesce(best, mean, *middle).alias("value"))
 
 
+def _reduce_runs(values: np.ndarray, size: np.ndarray, method: str, k: int | None) -> np.ndarray:
+    """One value for each run of ``values``, nan for an empty one."""
+    run, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    if method != "mean":
+        values = values[np.lexsort((-values if method == "top_k_mean" else values, run))]
+    if method == "median":
+        there = size > 0
+        low, high = first[there] + (size[there] - 1) // 2, first[there] + size[there] // 2
+        out = np.full(len(size), np.nan)
+        out[there] = (values[low] + values[high]) / 2
+        return out
+    if method != "mean":
+        best = np.arange(len(values)) - first[run] < k
+        values, run, size = values[best], run[best], np.minimum(size, k)
+    with np.errstate(invalid="ignore"):
+        return np.bincount(run, values, len(size)) / np.where(size > 0, size, np.nan)
+
+
+def _two_levels_of_lists(n_keys: int, level_1: Mapping, level_2: Mapping, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = lambda lists: lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        for batch in batches:
+            out = batch.columns[:n_keys]
+            for name in schema.names[n_keys:]:
+                lists = batch.column(name)
+                inner = lists.flatten()
+                per_sentence = _reduce_runs(inner.flatten().to_numpy(), sizes(inner), *level_1[name])
+                known = ~np.isnan(per_sentence)
+                size = np.bincount(np.repeat(np.arange(len(lists)), sizes(lists))[known], minlength=len(lists))
+                out.append(pa.array(_reduce_runs(per_sentence[known], size, *level_2[name]), from_pandas=True))
+            yield pa.RecordBatch.from_arrays(out, schema=schema)
+
+    return run
+
+
 def two_level_scores(
     pairs: DataFrame,
     document_keys: Sequence[str] = ("article_url", "press_release_url"),
@@ -321,11 +360,15 @@ def two_level_scores(
 
     Level 1 reduces the scores of each release sentence, level 2 those of each document pair.
     A method is (``top_k_mean`` | ``bottom_k_mean`` | ``mean`` | ``median``, k).
+    Where a row is a whole document pair, with a list for each release sentence as its scores, nothing is shuffled.
     """
     for method, _ in [*level_1.values(), *level_2.values()]:
         if method not in METHODS:
             raise ValueError(f"unknown method {method!r}")
     docs, names = list(document_keys), list(level_1)
+    if all(isinstance(pairs.schema[s].dataType, T.ArrayType) for s in names):
+        schema = T.StructType([*[pairs.schema[c] for c in docs], *[T.StructField(s, T.DoubleType()) for s in names]])
+        return pairs.select(*docs, *names).mapInArrow(_two_levels_of_lists(len(docs), level_1, level_2, to_arrow_schema(schema)), schema)
     long = pairs.select(
         *docs, sentence_key,
         F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("value")) for s in names]))
